@@ -73,3 +73,16 @@ def image_sources(html: Column) -> Column:
 
 def snippet(text: Column, chars: int) -> Column:
     return F.concat(F.substring(text, 1, chars), F.lit("..."))
+
+
+def table_cells(html: Column) -> Column:
+    """All ``<table>`` elements of a page as arrays of rows of cell texts."""
+    tables = F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))
+    rows = F.transform(tables, lambda t: F.regexp_extract_all(t, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)))
+    cell = F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>")
+    return F.transform(
+        rows,
+        lambda table: F.transform(
+            table, lambda row: F.transform(F.regexp_extract_all(row, cell, F.lit(1)), html_text)
+        ),
+    )

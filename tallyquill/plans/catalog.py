@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from tallyquill.plans import inventory
+from tallyquill.plans import documents, inventory
 
-MODULES = (inventory,)
+MODULES = (inventory, documents)
 
-QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
-ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+QUERIES = {name: query for module in MODULES for name, query in module.register.queries.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.register.oracles.items()}

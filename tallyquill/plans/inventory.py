@@ -6,24 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyquill.operators import arima, inventory
 from tallyquill.plans import tables as t
+from tallyquill.plans.registry import Registry, with_
 
-QUERIES = {}
-ORACLES = {}
-
-
-def register(name, sql=None):
-    def keep(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return keep
-
-
-def _with(*ctes):
-    return "WITH " + ",\n".join(ctes) + "\n"
-
+register = Registry()
 
 S = t.SALES_SQL
 DEMAND = """demand AS (SELECT product_id, warehouse, coalesce(sum(units_sold), 0) AS units
@@ -42,7 +27,7 @@ STATE = f"""inventory AS (SELECT product_id, max(product_name) AS product_name,
 
 @register(
     "replenishment",
-    _with(S, REPLENISH)
+    with_(S, REPLENISH)
     + """SELECT product_id, product_name, poisson_forecast, stock,
     poisson_forecast > stock AS restock_needed,
     CASE WHEN poisson_forecast > stock THEN '🚨 Restock Needed' ELSE '✅ Stock OK' END AS status
@@ -52,7 +37,7 @@ def replenishment(spark, sf_dir):
     return inventory.replenishment(t.sales(spark, sf_dir), t.TIEBREAK)
 
 
-@register("demand_by_product_warehouse", _with(S, DEMAND) + "SELECT * FROM demand")
+@register("demand_by_product_warehouse", with_(S, DEMAND) + "SELECT * FROM demand")
 def demand_by_product_warehouse(spark, sf_dir):
     return inventory.demand(t.sales(spark, sf_dir))
 
@@ -63,7 +48,7 @@ WAREHOUSES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 @register(
     "demand_matrix",
-    _with(S, DEMAND)
+    with_(S, DEMAND)
     + "SELECT product_id, "
     + ", ".join(
         f"""coalesce(sum(units) FILTER (WHERE warehouse = '{w}'), 0) AS "{w}" """ for w in WAREHOUSES
@@ -76,7 +61,7 @@ def demand_matrix(spark, sf_dir):
 
 @register(
     "demand_share",
-    _with(S, DEMAND, SHARE) + "SELECT * FROM shares",
+    with_(S, DEMAND, SHARE) + "SELECT * FROM shares",
 )
 def demand_share(spark, sf_dir):
     return inventory.demand_share(t.sales(spark, sf_dir))
@@ -84,7 +69,7 @@ def demand_share(spark, sf_dir):
 
 @register(
     "allocation_weights",
-    _with(S, DEMAND, SHARE, t.WAREHOUSE_SQL, WEIGHT)
+    with_(S, DEMAND, SHARE, t.WAREHOUSE_SQL, WEIGHT)
     + "SELECT * FROM weights",
 )
 def allocation_weights(spark, sf_dir):
@@ -98,7 +83,7 @@ ALLOCATE = """SELECT product_id, warehouse, round_even(part * total_stock, 1) AS
 
 @register(
     "allocate_inventory",
-    _with(S, DEMAND, SHARE, t.WAREHOUSE_SQL, WEIGHT, t.PRODUCT_SQL) + ALLOCATE,
+    with_(S, DEMAND, SHARE, t.WAREHOUSE_SQL, WEIGHT, t.PRODUCT_SQL) + ALLOCATE,
 )
 def allocate_inventory(spark, sf_dir):
     return inventory.allocate(
@@ -108,7 +93,7 @@ def allocate_inventory(spark, sf_dir):
 
 @register(
     "unmatched_dimensions",
-    _with(S)
+    with_(S)
     + """SELECT DISTINCT 'warehouse' AS dimension, warehouse AS key FROM sales WHERE warehouse <> 'ASIA'
     UNION ALL SELECT DISTINCT 'product', CAST(product_id AS VARCHAR) FROM sales
     WHERE product_id IN (SELECT p_partkey FROM part WHERE p_size >= 10)""",
@@ -121,7 +106,7 @@ def unmatched_dimensions(spark, sf_dir):
 
 @register(
     "forecast_poisson",
-    _with(S)
+    with_(S)
     + """SELECT product_id, CAST(round_even(avg(units_sold), 0) AS BIGINT) AS poisson_forecast
     FROM sales GROUP BY product_id""",
 )
@@ -149,7 +134,7 @@ ARIMA_CTES = (
 
 @register(
     "forecast_arima",
-    _with(*ARIMA_CTES) + "SELECT product_id, arima_forecast FROM points LEFT JOIN best USING (product_id)",
+    with_(*ARIMA_CTES) + "SELECT product_id, arima_forecast FROM points LEFT JOIN best USING (product_id)",
 )
 def forecast_arima(spark, sf_dir):
     return arima.forecast_arima(t.sales(spark, sf_dir), t.TIEBREAK)
@@ -157,7 +142,7 @@ def forecast_arima(spark, sf_dir):
 
 @register(
     "forecast_demand",
-    _with(*ARIMA_CTES)
+    with_(*ARIMA_CTES)
     + """SELECT product_id, CAST(round_even(mean, 0) AS BIGINT) AS poisson_forecast, arima_forecast
     FROM points LEFT JOIN best USING (product_id)""",
 )
@@ -167,30 +152,30 @@ def forecast_demand(spark, sf_dir):
 
 @register(
     "latest_stock",
-    _with(S, REPLENISH) + "SELECT product_id, stock FROM replenish",
+    with_(S, REPLENISH) + "SELECT product_id, stock FROM replenish",
 )
 def latest_stock(spark, sf_dir):
     return inventory.latest_stock(t.sales(spark, sf_dir), t.TIEBREAK)
 
 
-@register("inventory_state", _with(S, STATE) + "SELECT * FROM inventory")
+@register("inventory_state", with_(S, STATE) + "SELECT * FROM inventory")
 def inventory_state(spark, sf_dir):
     return inventory.inventory_state(t.sales(spark, sf_dir), t.TIEBREAK)
 
 
-@register("inventory_read", _with(S, STATE) + "SELECT * FROM inventory WHERE warehouse = 'ASIA'")
+@register("inventory_read", with_(S, STATE) + "SELECT * FROM inventory WHERE warehouse = 'ASIA'")
 def inventory_read(spark, sf_dir):
     return inventory.read_inventory(inventory_state(spark, sf_dir), "ASIA")
 
 
-@register("low_stock", _with(S, STATE) + "SELECT * FROM inventory WHERE stock < 50")
+@register("low_stock", with_(S, STATE) + "SELECT * FROM inventory WHERE stock < 50")
 def low_stock(spark, sf_dir):
     return inventory.low_stock(inventory_state(spark, sf_dir))
 
 
 @register(
     "forecast_history_recent",
-    _with(S, t.HISTORY_SQL)
+    with_(S, t.HISTORY_SQL)
     + "SELECT * FROM (SELECT * FROM history ORDER BY created_at DESC, product_id LIMIT 100) ORDER BY created_at",
 )
 def forecast_history_recent(spark, sf_dir):
@@ -199,7 +184,7 @@ def forecast_history_recent(spark, sf_dir):
 
 @register(
     "forecast_history_long",
-    _with(S, t.HISTORY_SQL)
+    with_(S, t.HISTORY_SQL)
     + """SELECT created_at, product_id, product_name, 'poisson_forecast' AS variable, poisson_forecast AS value FROM history
     UNION ALL SELECT created_at, product_id, product_name, 'arima_forecast', arima_forecast FROM history""",
 )
@@ -209,7 +194,7 @@ def forecast_history_long(spark, sf_dir):
 
 @register(
     "forecast_stacked",
-    _with(S, t.HISTORY_SQL)
+    with_(S, t.HISTORY_SQL)
     + "SELECT *, poisson_forecast AS stack_base, poisson_forecast + arima_forecast AS stack_top FROM history",
 )
 def forecast_stacked(spark, sf_dir):
@@ -221,7 +206,7 @@ MOVEMENT_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
 
 @register(
     "inventory_live_update",
-    _with(
+    with_(
         S,
         """movements AS (SELECT product_id, warehouse, date, l_orderkey, l_linenumber, l_suppkey, l_extendedprice,
         CAST(CASE WHEN l_orderkey % 3 = 0 THEN units_sold ELSE -units_sold END AS BIGINT) AS delta FROM sales)""",

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core for costly per-row work when a scan has fewer splits than cores.
+
+    Only for plain scans; an input of many splits is returned as it is, unshuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as sales: part = product, supplier's region = warehouse."""
     warehouses = (
