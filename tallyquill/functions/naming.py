@@ -43,13 +43,20 @@ def content_id(text: Column) -> Column:
     return F.md5(text)
 
 
+def seconds_text(mtime: Column) -> Column:
+    """Seconds since the epoch with their fraction, as Python prints a float."""
+    micros = F.unix_micros(mtime.cast("timestamp"))
+    whole = F.floor(micros / F.lit(1_000_000)).cast("bigint")
+    fraction = F.lpad((micros - whole * 1_000_000).cast("string"), 6, "0")
+    return F.concat(whole.cast("string"), F.lit("."), F.regexp_replace(fraction, "(?<=.)0+$", ""))
+
+
 def fingerprint(content: Column, mtime: Column, mode: str) -> Column:
     """Change mark of a file: its time, its bytes, or both."""
-    seconds = mtime.cast("timestamp").cast("double").cast("string")
     if mode == "mtime":
-        return seconds
+        return seconds_text(mtime)
     if mode == "content":
         return F.md5(content)
     if mode == "both":
-        return F.md5(F.concat(content, F.encode(seconds, "UTF-8")))
+        return F.md5(F.concat(content, F.encode(seconds_text(mtime), "UTF-8")))
     raise ValueError(f"unknown fingerprint mode: {mode}")

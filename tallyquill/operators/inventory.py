@@ -56,7 +56,11 @@ def allocation_weights(sales: DataFrame, warehouse_dim: DataFrame) -> DataFrame:
 
 
 def allocate(sales: DataFrame, warehouse_dim: DataFrame, product_dim: DataFrame, digits: int = 1) -> DataFrame:
-    """Split each product's total stock over warehouses in proportion to the weights."""
+    """Split each product's total stock over warehouses in proportion to the weights.
+
+    The amount is first rounded to nine digits, so that the order in which weights are
+    summed cannot tip an exact half.
+    """
     total = F.sum("weight").over(W.partitionBy("product_id"))
     return (
         allocation_weights(sales, warehouse_dim)
@@ -65,7 +69,7 @@ def allocate(sales: DataFrame, warehouse_dim: DataFrame, product_dim: DataFrame,
         .select(
             "product_id",
             "warehouse",
-            F.bround(F.col("part") * F.col("total_stock"), digits).alias("allocation"),
+            F.bround(F.round(F.col("part") * F.col("total_stock"), 9), digits).alias("allocation"),
         )
     )
 

@@ -76,7 +76,7 @@ def allocation_weights(spark, sf_dir):
     return inventory.allocation_weights(t.sales(spark, sf_dir), t.warehouse_dim(spark, sf_dir))
 
 
-ALLOCATE = """SELECT product_id, warehouse, round_even(part * total_stock, 1) AS allocation FROM (
+ALLOCATE = """SELECT product_id, warehouse, round_even(round(part * total_stock, 9), 1) AS allocation FROM (
   SELECT *, weight / nullif(sum(weight) OVER (PARTITION BY product_id), 0) AS part FROM weights)
   JOIN product_dim USING (product_id)"""
 
