@@ -31,7 +31,8 @@ def _counts(buckets: Column) -> Column:
 
 def _unit(counts: Column) -> Column:
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, c: total + c * c))
-    return bind(norm, lambda n: F.transform(counts, lambda c: F.round(F.try_divide(c, n), DIGITS)))
+    rounded = lambda c, n: F.rint(c / n * 10**DIGITS) / 10**DIGITS
+    return bind(norm, lambda n: F.transform(counts, lambda c: F.when(c == 0, 0.0).otherwise(rounded(c, n))))
 
 
 def hash64(text: Column) -> Column:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyquill.functions.embedding import BUCKETS, hash64
 
@@ -28,21 +29,27 @@ def piece_texts(text: Column) -> Column:
 def cluster(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     """Lloyd's algorithm from the first point and the points farthest from those chosen;
     labels are numbered by first use."""
-    centers = points[:1]
+    centers = points[:1].copy()
     while len(centers) < min(k, len(points)):
-        nearest = ((points[:, None] - centers[None]) ** 2).sum(-1).min(1)
+        nearest = _squares(points, centers).min(1)
         centers = np.vstack([centers, points[int(nearest.argmax())]])
     labels = np.zeros(len(points), dtype=int)
     for attempt in range(rounds):
-        found = ((points[:, None] - centers[None]) ** 2).sum(-1).round(9).argmin(1)
+        found = _squares(points, centers).argmin(1)
         if attempt and (found == labels).all():
             break
         labels = found
         for label in np.unique(labels):
             centers[label] = points[labels == label].mean(0)
     _, first = np.unique(labels, return_index=True)
-    order = {labels[i]: n for n, i in enumerate(sorted(first))}
-    return np.array([order[label] for label in labels])
+    order = np.zeros(k, dtype=int)
+    order[labels[np.sort(first)]] = np.arange(len(first))
+    return order[labels]
+
+
+def _squares(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances, up to the same amount for each point, cut to equal halves."""
+    return np.round((centers * centers).sum(1) - 2 * (points @ centers.T) + (points * points).sum(1)[:, None], 9)
 
 
 def chunk_semantic(docs: DataFrame, k: int = CLUSTERS, embed=hash64) -> DataFrame:
@@ -57,21 +64,28 @@ def chunk_semantic(docs: DataFrame, k: int = CLUSTERS, embed=hash64) -> DataFram
             T.StructField("text", T.StringType()),
         ]
     )
+    zeros = F.array_repeat(F.lit(0.0), BUCKETS)
     listed = docs.select("doc_id", piece_texts(F.col("text")).alias("pieces")).where("pieces IS NOT NULL")
-    vectors = listed.withColumn("vectors", F.transform("pieces", embed))
+    vectors = listed.withColumn("vectors", F.transform("pieces", lambda piece: F.coalesce(embed(piece), zeros)))
 
-    def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ends = batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
+            matrix = batch.column(2).flatten().flatten().to_numpy().reshape(int(ends[-1]), -1)
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).flatten().to_pylist()
             rows = []
-            for doc_id, pieces, embedded in zip(batch["doc_id"], batch["pieces"], batch["vectors"]):
-                points = np.array([np.zeros(BUCKETS) if v is None else v for v in embedded])
-                labels = cluster(points, k)
+            for doc_id, start, end in zip(ids, ends[:-1], ends[1:]):
+                labels = cluster(matrix[start:end], k)
                 for label in range(labels.max() + 1):
-                    members = "\n".join(p for p, own in zip(pieces, labels) if own == label)
+                    members = "\n".join(texts[start + i] for i in np.flatnonzero(labels == label))
                     rows.append((doc_id, None, label + 1, f"cluster_{label + 1}", members))
-            yield pd.DataFrame(rows, columns=schema.names).astype({"page_num": "Int32"})
+            columns = [list(column) for column in zip(*rows)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, field.type) for column, field in zip(columns, out)], schema=out
+            )
 
-    return vectors.mapInPandas(group, schema)
+    out = to_arrow_schema(schema)
+    return vectors.mapInArrow(group, schema)
 
 
 def chunk_semantic_corpus(docs: DataFrame, k: int = CLUSTERS, seed: int = 0, embed=hash64) -> DataFrame:

@@ -23,22 +23,18 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as sales: part = product, supplier's region = warehouse."""
-    warehouses = (
-        table(spark, sf_dir, "supplier")
-        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", F.col("r_name").alias("warehouse"))
-    )
     products = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("product_name"))
     return (
         table(spark, sf_dir, "lineitem")
         .join(products, F.col("l_partkey") == F.col("p_partkey"))
-        .join(warehouses, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.col("l_shipdate").cast("date").alias("date"),
             F.col("l_partkey").alias("product_id"),
             "product_name",
-            "warehouse",
+            F.col("r_name").alias("warehouse"),
             F.col("l_quantity").alias("units_sold"),
             ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 60).cast("bigint").alias("stock"),
             "l_orderkey",
