@@ -30,8 +30,9 @@ def suffix(path: Column) -> Column:
 
 
 def safe_name(name: Column, strip_edges: bool = True) -> Column:
-    """A name the vector store accepts: unsafe characters to ``_``, cut to length."""
-    cut = F.substring(F.regexp_replace(name, UNSAFE_IN_NAME, "_"), 1, NAME_LENGTH)
+    """A name the vector store accepts: unsafe characters to ``_``, cut to length. One
+    character replaces one, so the cut comes first and long names cost no more."""
+    cut = F.regexp_replace(F.substring(name, 1, NAME_LENGTH), UNSAFE_IN_NAME, "_")
     return F.regexp_replace(cut, "^_+|_+$", "") if strip_edges else cut
 
 

@@ -169,13 +169,11 @@ def chunk_chars(docs: DataFrame, size: int = CHARS_PER_CHUNK) -> DataFrame:
     return docs.select("doc_id", F.posexplode(pieces).alias("chunk_index", "text"))
 
 
-def blank_documents(docs: DataFrame, chunked: DataFrame) -> DataFrame:
-    """Documents that give no chunk, with the reason."""
-    reason = F.when(tx.is_blank(F.col("text")), "blank text").otherwise("no chunks")
-    return (
-        docs.select("doc_id", reason.alias("reason"))
-        .join(chunked.select("doc_id").distinct(), "doc_id", "left_anti")
-    )
+def blank_documents(docs: DataFrame, pieces: Column) -> DataFrame:
+    """Documents for which the array of pieces is empty, with the reason. Exploding the
+    reason instead of filtering on it evaluates the pieces once."""
+    reason = F.when(tx.is_blank(F.col("text")), "blank text").when(F.size(pieces) == 0, "no chunks")
+    return docs.select("doc_id", F.explode(F.array_compact(F.array(reason))).alias("reason"))
 
 
 def with_text(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyquill.functions.embedding import BUCKETS, hash64
+from tallyquill.session import checkpointed
 
 # Number of clusters, and the mark that ends a piece.
 CLUSTERS = 3
@@ -93,10 +93,9 @@ def chunk_semantic_corpus(docs: DataFrame, k: int = CLUSTERS, seed: int = 0, emb
     cluster numbers mean the same in every document."""
     pieces = docs.select("doc_id", F.posexplode(piece_texts(F.col("text"))).alias("position", "piece"))
     zeros = F.array_repeat(F.lit(0.0), BUCKETS)
-    points = pieces.withColumn("features", array_to_vector(F.coalesce(embed(F.col("piece")), zeros)))
-    fitted_on = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(fitted_on)
-    fitted_on.unpersist()
+    embedded = pieces.withColumn("vector", F.coalesce(embed(F.col("piece")), zeros))
+    points = checkpointed(embedded).withColumn("features", array_to_vector("vector")).drop("vector")
+    model = KMeans(k=k, seed=seed, maxIter=20).fit(points.select("features"))
     members = F.transform(
         F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda member: member["piece"]
     )

@@ -244,15 +244,15 @@ def chunk_recursive_overlap(spark, sf_dir):
 
 
 def blanked_documents(spark, sf_dir):
-    """Documents of which every tenth is blank."""
-    text = F.when(F.col("doc_id") % 10 == 0, F.lit(" \n\t ")).otherwise(F.col("text"))
+    """Documents of which the shortest are blank."""
+    text = F.when(F.length("text") < 400, F.lit(" \n\t ")).otherwise(F.col("text"))
     return documents(spark, sf_dir).withColumn("text", text)
 
 
-@register("chunk_empty_guard", "SELECT doc_id, 'blank text' AS reason FROM documents WHERE doc_id % 10 = 0")
+@register("chunk_empty_guard", "SELECT doc_id, 'blank text' AS reason FROM documents WHERE length(text) < 400")
 def chunk_empty_guard(spark, sf_dir):
-    docs = blanked_documents(spark, sf_dir)
-    return chunking.blank_documents(docs, chunking.chunk_chars(chunking.with_text(docs)))
+    pieces = chunking.char_pieces(F.col("text"), chunking.CHARS_PER_CHUNK)
+    return chunking.blank_documents(blanked_documents(spark, sf_dir), pieces)
 
 
 def all_mode_pages(spark, sf_dir):

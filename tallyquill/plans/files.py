@@ -223,11 +223,12 @@ def file_fingerprint(spark, sf_dir):
 
 
 def edited(docs):
-    """A later state of the folder: every seventh text has changed, every eleventh file is
-    gone, and files of even-numbered sources have moved."""
-    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
-    moved = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("moved/"), "source")).otherwise(F.col("source"))
-    return docs.where("doc_id % 11 <> 0").withColumn("text", text).withColumn("source", moved)
+    """A later state of the folder: very short files are gone, short ones have changed and
+    the longest have moved."""
+    size = F.length("text")
+    text = F.when(size < 1000, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    moved = F.when(size > 5000, F.concat(F.lit("moved/"), "source")).otherwise(F.col("source"))
+    return docs.where(size >= 400).select("doc_id", moved.alias("source"), "lang", text.alias("text"))
 
 
 def plain_states(spark, sf_dir):
@@ -239,9 +240,9 @@ def plain_states(spark, sf_dir):
 STATES = (
     FILES,
     "before AS (SELECT path, md5(text) AS mark, text FROM files WHERE kind IN ('txt', 'log', 'md'))",
-    """edited AS (SELECT CASE WHEN doc_id % 13 = 0 THEN 'moved/' || path ELSE path END AS path,
-      CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS text
-      FROM files WHERE kind IN ('txt', 'log', 'md') AND doc_id % 11 <> 0)""",
+    """edited AS (SELECT CASE WHEN length(text) > 5000 THEN 'moved/' || path ELSE path END AS path,
+      CASE WHEN length(text) < 1000 THEN text || ' edited' ELSE text END AS text
+      FROM files WHERE kind IN ('txt', 'log', 'md') AND length(text) >= 400)""",
     "after AS (SELECT path, md5(text) AS mark, text FROM edited)",
 )
 
@@ -262,15 +263,16 @@ def changed_files(spark, sf_dir):
 @register(
     "changed_files_by_time",
     with_(FILES)
-    + """SELECT path, make_timestamp(1704067200000000 + doc_id * 1250000 + CASE WHEN doc_id % 7 = 0 THEN 1000000 ELSE 0 END) AS "modificationTime"
-    FROM files WHERE kind IN ('txt', 'log', 'md') AND doc_id % 7 = 0""",
+    + """SELECT path, make_timestamp(1704067200000000 + doc_id * 1250000 + 1000000) AS "modificationTime"
+    FROM files WHERE kind IN ('txt', 'log', 'md') AND strlen(text) >= 2000""",
 )
 def changed_files_by_time(spark, sf_dir):
-    """Every seventh file is a second newer than its entry."""
-    before = manifest.snapshot(src.with_suffix(files(spark, sf_dir), src.PLAIN_TYPES), "mtime")
-    number = F.regexp_extract("path", r"/(\d+)[.]", 1).cast("bigint")
-    later = F.col("modificationTime") + F.make_dt_interval(secs=F.when(number % 7 == 0, 1).otherwise(0))
-    changed = manifest.modified_since(before.withColumn("modificationTime", later), before)
+    """Every long file is a second newer than its entry."""
+    plain = src.with_suffix(files(spark, sf_dir), src.PLAIN_TYPES)
+    before = manifest.snapshot(plain, "mtime")
+    moment = F.col("modificationTime") + F.make_dt_interval(secs=F.when(F.col("length") >= 2000, 1).otherwise(0))
+    after = manifest.snapshot(plain.withColumn("modificationTime", moment), "mtime")
+    changed = manifest.modified_since(after, before)
     return changed.select("path", F.col("modificationTime").cast("timestamp_ntz").alias("modificationTime"))
 
 

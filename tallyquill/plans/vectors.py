@@ -158,29 +158,29 @@ def embed_retry_failures(spark, sf_dir):
     return store.embed_with_retry(docs, model, wait_seconds=0.0).select("id", "embedding", "error", "attempts")
 
 
-def halves(spark, sf_dir):
-    """Documents in two deliveries: even ids are stored, then the rest arrives together
-    with a newer version of every id divisible by ten."""
+def deliveries(spark, sf_dir):
+    """Documents in two deliveries: short ones are stored, then the long ones arrive
+    together with a newer version of the very short ones."""
     docs = t.table(spark, sf_dir, "documents").select(
-        F.col("source").alias("collection"), "doc_id", F.concat("source", F.lit("/"), F.col("lang")).alias("source"), "text"
+        F.col("source").alias("collection"), "doc_id", F.concat("source", F.lit("/"), F.col("lang")).alias("source"), "text", "n_chars"
     )
     ids = docs.withColumn("id", naming.positional_id(F.col("collection"), F.col("doc_id")))
-    old = ids.where("doc_id % 2 = 0").withColumn("version", F.lit(1))
-    new = ids.where("doc_id % 2 = 1 OR doc_id % 10 = 0").withColumn("version", F.lit(2))
-    revised = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("revised "), "text")).otherwise(F.col("text"))
-    return old, new.withColumn("text", revised)
+    old = ids.where("n_chars < 2000").withColumn("version", F.lit(1))
+    new = ids.where("n_chars >= 2000 OR n_chars < 500").withColumn("version", F.lit(2))
+    revised = F.when(F.col("n_chars") < 500, F.concat(F.lit("revised "), "text")).otherwise(F.col("text"))
+    return old.drop("n_chars"), new.withColumn("text", revised).drop("n_chars")
 
 
-DELIVERIES = """base AS (SELECT source AS collection, doc_id, source || '/' || lang AS source, text,
+DELIVERIES = """base AS (SELECT source AS collection, doc_id, source || '/' || lang AS source, text, n_chars,
     source || '_chunk_' || doc_id AS id FROM documents),
-old AS (SELECT *, 1 AS version FROM base WHERE doc_id % 2 = 0),
-new AS (SELECT collection, doc_id, source, CASE WHEN doc_id % 10 = 0 THEN 'revised ' || text ELSE text END AS text, id, 2 AS version
-  FROM base WHERE doc_id % 2 = 1 OR doc_id % 10 = 0)"""
+old AS (SELECT * EXCLUDE (n_chars), 1 AS version FROM base WHERE n_chars < 2000),
+new AS (SELECT collection, doc_id, source, CASE WHEN n_chars < 500 THEN 'revised ' || text ELSE text END AS text, id, 2 AS version
+  FROM base WHERE n_chars >= 2000 OR n_chars < 500)"""
 
 
 @register("vector_append", with_(DELIVERIES) + "SELECT * FROM old UNION ALL SELECT * FROM new")
 def vector_append(spark, sf_dir):
-    return store.append(*halves(spark, sf_dir))
+    return store.append(*deliveries(spark, sf_dir))
 
 
 @register(
@@ -190,7 +190,7 @@ def vector_append(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1""",
 )
 def vector_upsert(spark, sf_dir):
-    old, new = halves(spark, sf_dir)
+    old, new = deliveries(spark, sf_dir)
     return store.upsert(old, new, ["id"], [F.col("version")])
 
 
@@ -199,7 +199,7 @@ def vector_upsert(spark, sf_dir):
     with_(DELIVERIES) + "SELECT * FROM new WHERE id NOT IN (SELECT id FROM old)",
 )
 def sink_chunks_skip_existing(spark, sf_dir):
-    old, new = halves(spark, sf_dir)
+    old, new = deliveries(spark, sf_dir)
     return store.add_missing(old, new, ["id"])
 
 
@@ -221,7 +221,7 @@ def vector_delete_source(spark, sf_dir):
     + "SELECT * FROM old WHERE source NOT IN (SELECT source FROM new) UNION ALL SELECT * FROM new",
 )
 def stale_tail_cleanup(spark, sf_dir):
-    return store.replace_sources(*halves(spark, sf_dir))
+    return store.replace_sources(*deliveries(spark, sf_dir))
 
 
 COPIES = """chunks AS (SELECT lang AS collection, doc_id, source, text, md5(text) AS content_id FROM documents)"""
