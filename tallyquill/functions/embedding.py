@@ -24,23 +24,29 @@ def _bucket(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") % BUCKETS
 
 
-def _counts(buckets: Column) -> Column:
+def _unit(counts: Column) -> Column:
+    """Counts divided by their Euclidean length, rounded."""
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, c: total + c * c))
+    return bind(norm, lambda n: F.transform(counts, lambda c: F.rint(c / n * 10**DIGITS) / 10**DIGITS))
+
+
+def _dense(buckets: Column) -> Column:
+    """Only buckets that occur are counted and divided; the others are filled in last."""
     every = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
-    return F.transform(every, lambda b: F.size(buckets) - F.size(F.array_remove(buckets, b)))
 
+    def filled(used: Column) -> Column:
+        counts = F.transform(used, lambda b: F.size(buckets) - F.size(F.array_remove(buckets, b)))
+        values = F.map_from_arrays(used, bind(counts, _unit))
+        return bind(values, lambda v: F.transform(every, lambda b: F.coalesce(F.try_element_at(v, b), F.lit(0.0))))
 
-def _unit(counts: Column) -> Column:
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, c: total + c * c))
-    rounded = lambda c, n: F.rint(c / n * 10**DIGITS) / 10**DIGITS
-    return bind(norm, lambda n: F.transform(counts, lambda c: F.when(c == 0, 0.0).otherwise(rounded(c, n))))
+    return bind(F.array_distinct(buckets), filled)
 
 
 def hash64(text: Column) -> Column:
     """Unit vector of token counts per hash bucket; NULL for a text without tokens."""
 
     def vector(tokens: Column) -> Column:
-        counts = bind(F.transform(tokens, _bucket), _counts)
-        return F.when(F.size(tokens) > 0, bind(counts, _unit))
+        return F.when(F.size(tokens) > 0, bind(F.transform(tokens, _bucket), _dense))
 
     return bind(tx.tokens(text), vector)
 

@@ -145,7 +145,13 @@ def embed_chunks(spark, sf_dir):
     return document_store(spark, sf_dir).select("id", "embedder_id", scaled(F.col("embedding")).alias("embedding"))
 
 
-@register("embed_retry_failures")
+@register(
+    "embed_retry_failures",
+    """SELECT doc_id AS id, CASE WHEN length(text) % 5 <> 0 THEN length(text) * 1000000 || ',' || n.spaces * 1000000 END AS embedding,
+    CASE WHEN length(text) % 5 = 0 THEN 'ValueError: refused' END AS error,
+    CAST(CASE WHEN length(text) % 5 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts
+    FROM documents, LATERAL (SELECT length(text) - length(replace(text, ' ', '')) AS spaces) n""",
+)
 def embed_retry_failures(spark, sf_dir):
     """A model that refuses some texts for good: those rows stay, with their error."""
 
@@ -155,7 +161,8 @@ def embed_retry_failures(spark, sf_dir):
         return [float(len(text)), float(text.count(" "))]
 
     docs = t.spread(t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return store.embed_with_retry(docs, model, wait_seconds=0.0).select("id", "embedding", "error", "attempts")
+    called = store.embed_with_retry(docs, model, wait_seconds=0.0)
+    return called.select("id", scaled(F.col("embedding")).alias("embedding"), "error", "attempts")
 
 
 def deliveries(spark, sf_dir):
