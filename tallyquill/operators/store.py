@@ -67,8 +67,8 @@ def latest(updates: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 def upsert(store: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add or replace rows by key; the store itself is only filtered, never sorted."""
-    newest = latest(updates, keys, order)
-    return store.join(newest.select(*keys), list(keys), "left_anti").unionByName(newest)
+    touched = updates.select(*keys).distinct()
+    return store.join(touched, list(keys), "left_anti").select(*store.columns).unionByName(latest(updates, keys, order))
 
 
 def add_missing(store: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
