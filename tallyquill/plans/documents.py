@@ -220,7 +220,24 @@ def chunk_para_fixed(spark, sf_dir):
     return chunking.chunk_chars(para_documents(spark, sf_dir))
 
 
-@register("chunk_char_overlap")
+# Packs the lines of a document one by one: ``done`` holds finished chunks, ``held`` the
+# pieces of the chunk that is being filled.
+SEP = "chr(10) || chr(10)"
+TAIL = f"length(array_to_string(p.held[j:], {SEP}))"
+KEPT = f"""list_filter(range(1, len(p.held) + 2), lambda j: j > len(p.held)
+    OR ({TAIL} <= 50 AND {TAIL} + 2 + length(q.held[1]) <= 500))[1]"""
+CHAR_OVERLAP = f"""cut AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines FROM documents),
+packed AS (SELECT doc_id, list_reduce([{{'done': []::VARCHAR[], 'held': [x]}} for x in lines], lambda p, q:
+    CASE WHEN length(array_to_string(p.held, {SEP})) + 2 + length(q.held[1]) > 500
+      THEN {{'done': list_append(p.done, array_to_string(p.held, {SEP})), 'held': list_concat(p.held[{KEPT}:], q.held)}}
+      ELSE {{'done': p.done, 'held': list_concat(p.held, q.held)}} END) AS state FROM cut WHERE len(lines) > 0),
+trimmed AS (SELECT doc_id, list_filter([regexp_replace(c, '^\\s+|\\s+$', '', 'g')
+    for c in list_append(state.done, array_to_string(state.held, {SEP}))], lambda c: c <> '') AS parts FROM packed)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, parts[i] AS text
+FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM trimmed)"""
+
+
+@register("chunk_char_overlap", "WITH " + CHAR_OVERLAP)
 def chunk_char_overlap(spark, sf_dir):
     return splitter.chunk_overlap(para_double(spark, sf_dir), splitter.SPLIT_PLANS["char_500_50"])
 
