@@ -248,12 +248,52 @@ def para_double(spark, sf_dir):
     return documents(spark, sf_dir).withColumn("text", doubled)
 
 
-@register("chunk_recursive_overlap")
+def quoted_sql(separator):
+    return "'" + separator + "'" if separator.strip() or separator in ("", " ") else " || ".join("chr(10)" for _ in separator)
+
+
+def split_sql(plan, text, separators, depth=0):
+    """Raw chunks of ``text`` as a list: cut at the first separator that occurs, pack the
+    pieces, and cut long pieces again with the separators that follow."""
+    p, q, j, x = f"p{depth}", f"q{depth}", f"j{depth}", f"q{depth}.held[1]"
+    held = f"array_to_string({p}.held, '')"
+    tail = f"length(array_to_string({p}.held[{j}:], ''))"
+    kept = f"""list_filter(range(1, len({p}.held) + 2), lambda {j}: {j} > len({p}.held)
+      OR ({tail} <= {plan.overlap} AND {tail} + length({x}) <= {plan.size}))[1]"""
+    branches = []
+    for place, separator in enumerate(separators):
+        finer = separators[place + 1 :]
+        inner = split_sql(plan, x, finer, depth + 1) if finer else f"[{x}]"
+        cut = f"string_split({text}, {quoted_sql(separator)})"
+        pieces = f"list_concat([{cut}[1]], [{quoted_sql(separator)} || w for w in {cut}[2:]])" if separator else cut
+        state = f"""list_reduce([{{'done': []::VARCHAR[], 'held': [w]}} for w in {pieces} if w <> ''], lambda {p}, {q}:
+          CASE WHEN length({x}) > {plan.size} THEN {{'done': list_concat({p}.done,
+              CASE WHEN len({p}.held) > 0 THEN [{held}] ELSE [] END, {inner}), 'held': []::VARCHAR[]}}
+            WHEN len({p}.held) > 0 AND length({held}) + length({x}) > {plan.size}
+              THEN {{'done': list_append({p}.done, {held}), 'held': list_concat({p}.held[{kept}:], {q}.held)}}
+            ELSE {{'done': {p}.done, 'held': list_concat({p}.held, {q}.held)}} END,
+          {{'done': []::VARCHAR[], 'held': []::VARCHAR[]}})"""
+        chunks = f"list_transform([{state}], lambda s{depth}: list_concat(s{depth}.done, CASE WHEN len(s{depth}.held) > 0 THEN [array_to_string(s{depth}.held, '')] ELSE [] END))[1]"
+        test = f"contains({text}, {quoted_sql(separator)})"
+        branches.append(f"WHEN {test} THEN {chunks}" if finer else f"ELSE {chunks}")
+    return f"CASE {' '.join(branches)} END" if len(branches) > 1 else branches[0].removeprefix("ELSE ")
+
+
+def recursive_sql(name, plan):
+    raw = split_sql(plan, "text", plan.separators)
+    return f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, parts[i] AS text, '{name}' AS plan
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+      FROM (SELECT doc_id, list_filter([regexp_replace(c, '^\\s+|\\s+$', '', 'g') for c in {raw}], lambda c: c <> '') AS parts FROM documents))"""
+
+
+RECURSIVE = {name: plan for name, plan in splitter.SPLIT_PLANS.items() if plan.recursive}
+
+
+@register("chunk_recursive_overlap", "\nUNION ALL ".join(recursive_sql(name, plan) for name, plan in RECURSIVE.items()))
 def chunk_recursive_overlap(spark, sf_dir):
     """All recursive plans on the same documents, tagged with the plan."""
     docs = documents(spark, sf_dir)
-    plans = {name: plan for name, plan in splitter.SPLIT_PLANS.items() if plan.recursive}
-    tagged = [splitter.chunk_overlap(docs, plan).withColumn("plan", F.lit(name)) for name, plan in plans.items()]
+    tagged = [splitter.chunk_overlap(docs, plan).withColumn("plan", F.lit(name)) for name, plan in RECURSIVE.items()]
     result = tagged[0]
     for other in tagged[1:]:
         result = result.unionByName(other)
