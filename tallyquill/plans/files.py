@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyquill.functions import naming
 from tallyquill.functions import text as tx
 from tallyquill.functions.embedding import scaled
-from tallyquill.operators import arima, chunking, inventory, manifest
+from tallyquill.operators import arima, chunking, inventory, manifest, store
 from tallyquill.plans import inventory as stock
 from tallyquill.plans import tables as t
 from tallyquill.plans import vectors as vec
@@ -362,8 +362,6 @@ def audit_log(spark, sf_dir):
 )
 def inventory_upsert(spark, sf_dir):
     """Set the stock of every pair sold in the last year to what was sold."""
-    from tallyquill.operators.store import upsert
-
     rows = t.sales(spark, sf_dir)
     held = inventory.inventory_state(rows, t.TIEBREAK).drop("last_updated").withColumn("version", F.lit(1))
     arrived = (
@@ -372,7 +370,7 @@ def inventory_upsert(spark, sf_dir):
         .agg(F.max("product_name").alias("product_name"), F.sum("units_sold").cast("bigint").alias("stock"))
         .withColumn("version", F.lit(2))
     )
-    return upsert(held, arrived, ["product_id", "warehouse"], [F.col("version")]).drop("version")
+    return store.upsert(held, arrived, ["product_id", "warehouse"], [F.col("version")]).drop("version")
 
 
 @register(
