@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyquill.llm import license_scan, mixing, quality_rules, sharding
+from tallyquill.llm import decontamination, license_scan, mixing, quality_rules, sharding
 from tallyquill.llm.exprs import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,6 +172,48 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *RULE_COLUMNS)
 
 
+# --- 6: benchmark decontamination ------------------------------------------------------
+
+
+def leak_sql(docs: str = "documents") -> str:
+    """CTEs that end in ``leaks``: hits and items for each row of a table."""
+    size = decontamination.WINDOW
+    return f"""doc_words AS MATERIALIZED (SELECT doc_id, {split_sql(LOWER_SQL, ASCII_MARKS)} AS w FROM {docs}),
+item_words AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {split_sql(LOWER_SQL, ASCII_MARKS)} AS w FROM benchmark),
+item_windows AS MATERIALIZED (
+  SELECT DISTINCT item, w[i:i + {size - 1}] AS g, least(len(w), {size}) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS i FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+hits AS (
+  SELECT DISTINCT doc_id, i, x.n, item FROM (
+    SELECT doc_id, n, i, w[i:i + n - 1] AS g
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, sizes)) x
+  JOIN item_windows v ON v.g = x.g AND v.n = x.n),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS l FROM hits GROUP BY doc_id),
+leaks AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+    sha256(coalesce(i.l, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+  FROM doc_words d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id))"""
+
+
+@query("op6_decontamination", f"WITH {leak_sql()} SELECT * FROM leaks")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(
+        table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("items") > 0).alias("contaminated"),
+    )
+
+
 # --- 8: mixing -------------------------------------------------------------------------
 
 
