@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyquill.llm import decontamination, license_scan, mixing, quality_rules, sharding
+from tallyquill.llm import decontamination, license_scan, mixing, near_dedup, quality_rules, sharding
 from tallyquill.llm.exprs import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,3 +257,37 @@ mixed AS (
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+# --- 10: near duplicates ---------------------------------------------------------------
+
+
+def near_sql(docs: str = "documents", size: int = 3, percent: int = 85) -> str:
+    """CTEs that end in ``near``: component of each row of a table of distinct ids."""
+    lower = LOWER_SQL
+    return f"""near_words AS (SELECT doc_id, {split_sql(lower)} AS w FROM {docs}),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, w[i:i + {size - 1}] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS i FROM near_words WHERE len(w) > 0)),
+set_sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+near_links AS MATERIALIZED (
+  SELECT x, y FROM common c JOIN set_sizes a ON a.doc_id = x JOIN set_sizes b ON b.doc_id = y
+  WHERE 100 * c.n >= {percent} * (a.n + b.n - c.n)),
+both_ways AS MATERIALIZED (SELECT x, y FROM near_links UNION ALL SELECT y, x FROM near_links),
+reached AS (
+  SELECT x AS doc_id, y AS other FROM both_ways
+  UNION SELECT r.doc_id, l.y FROM reached r JOIN both_ways l ON l.x = r.other),
+near AS (
+  SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles,
+    least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id,
+    d.doc_id <= coalesce(r.least, d.doc_id) AS kept
+  FROM near_words d LEFT JOIN set_sizes s USING (doc_id)
+  LEFT JOIN (SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id) r USING (doc_id))"""
+
+
+@query("op10_near_dedup", f"WITH RECURSIVE {near_sql()} SELECT * FROM near")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"))
