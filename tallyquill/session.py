@@ -1,34 +1,22 @@
-"""Session helpers: the shared folder, lineage cuts and size-checked collects."""
+"""Session helpers: the shared folder, written intermediate tables and size-checked collects."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
 
 class TooLarge(Exception):
     """A side that was expected to be small exceeds its bound."""
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder of this machine.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.conf.get("spark.app.id", "local")
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tallyquill-")
-    return _LOCAL_FOLDERS[app]
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``, else a folder
+    inside the warehouse. Each application has its own part of it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/tallyquill-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -36,12 +24,30 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh_path`` named, once nothing reads it any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete what this application has left in the shared folder."""
+    discard(spark, shared_folder(spark))
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it back: lineage is cut, and a lost executor
+    loses nothing. Returns the table and its folder."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so a lost executor loses no result."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
