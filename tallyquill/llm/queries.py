@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyquill.llm import decontamination, license_scan, mixing, near_dedup, quality_rules, sharding
+from tallyquill.llm import decontamination, license_scan, mixing, near_dedup, quality_rules, sharding, substring_dedup
 from tallyquill.llm.exprs import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,6 +259,31 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+# --- 9: substring dedup ----------------------------------------------------------------
+
+SUBSTRING_SQL = f"""WITH split AS MATERIALIZED (SELECT doc_id, {split_sql("text")} AS w FROM documents),
+places AS MATERIALIZED (
+  SELECT doc_id, i, w[i:i + {substring_dedup.SIZE - 1}] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring_dedup.SIZE - 2})) AS i FROM split)),
+firsts AS (SELECT g, min(doc_id) AS first FROM places GROUP BY g HAVING min(doc_id) < max(doc_id)),
+removed AS (
+  SELECT doc_id, list(DISTINCT p) AS p FROM (
+    SELECT doc_id, unnest(range(i, i + {substring_dedup.SIZE})) AS p
+    FROM places JOIN firsts USING (g) WHERE first < doc_id) GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, string_agg(x, ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM split) d
+  LEFT JOIN (SELECT doc_id, unnest(p) AS i, true AS gone FROM removed) r USING (doc_id, i)
+  WHERE gone IS NULL GROUP BY d.doc_id)
+SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split s LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op9_substring_dedup", SUBSTRING_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 # --- 10: near duplicates ---------------------------------------------------------------
 
 
