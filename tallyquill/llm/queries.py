@@ -10,7 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyquill.llm import decontamination, license_scan, mixing, near_dedup, quality_rules, sharding, substring_dedup
+from tallyquill.llm import (
+    chat_format,
+    decontamination,
+    license_scan,
+    mixing,
+    near_dedup,
+    quality_rules,
+    sharding,
+    substring_dedup,
+)
 from tallyquill.llm.exprs import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,6 +223,39 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 7: chat formatting ----------------------------------------------------------------
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def _escaped_sql(column: str) -> str:
+    """Length of a role or text once it is escaped."""
+    single = f"length({column}) - length(replace({column}, '{chat_format.ESCAPE}', ''))"
+    marked = " + ".join(
+        f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in chat_format.CONTROL
+    )
+    return f"length({column}) + {single} + {marked}"
+
+
+CHAT_SQL = f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({_escaped_sql("role")} + {_escaped_sql("text")}
+    + {len(chat_format.OPEN + chat_format.HEAD + chat_format.CLOSE)})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+@query("op7_chat_format", CHAT_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
+    return chat_format.digests(chat_format.format_conversations(rows.unionAll(probe)))
+
+
 # --- 8: mixing -------------------------------------------------------------------------
 
 
