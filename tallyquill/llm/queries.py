@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from tallyquill.llm import (
     chat_format,
     decontamination,
+    html_text,
     license_scan,
     mixing,
     near_dedup,
+    quality_classifier,
     quality_rules,
     sharding,
     substring_dedup,
@@ -181,6 +183,22 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *RULE_COLUMNS)
 
 
+# --- 4: quality classifier -------------------------------------------------------------
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.choose(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+# --- 5: HTML extraction ----------------------------------------------------------------
+
+
+@query("op5_html_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 # --- 6: benchmark decontamination ------------------------------------------------------
 
 
