@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed word n-grams are counted: one on target text (labelled good and
-not toxic), one on all raw text. A document's weight is the ratio of its likelihoods under both.
+Two generative models of hashed word n-grams are counted: one on target text (labelled good),
+one on all raw text. A document's weight is the ratio of its likelihoods under both.
 Documents are drawn without replacement in proportion to their weights by the Gumbel top-k
 rule: a Gumbel variable, fixed by the document's id, is added to the log weight, and the k
 highest sums are chosen. By default k is the share of target text among the labelled documents.
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from tallyquill.llm import tokens
 from tallyquill.session import written
 
-#: Hash buckets: 2^15 for single words, 2^13 for pairs; the count that every bucket has
+#: Hash buckets: 2^18 for single words, 2^12 for pairs; the count that every bucket has
 #: beforehand in both models, so that rare n-grams say little.
-WORD_BITS, PAIR_BITS = 15, 13
+WORD_BITS, PAIR_BITS = 18, 12
 BUCKETS = (1 << WORD_BITS) + (1 << PAIR_BITS)
-SMOOTHING = 5.0
+SMOOTHING = 20.0
 MOST_LABELS = 50_000
 SEED = 1
 
@@ -52,9 +52,9 @@ def _split(texts: pa.Array) -> tokens.Words:
     return tokens.words_of(texts, tokens.SPACE)
 
 
-def labelled(labels: DataFrame, id: str, quality: str, toxic: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+def labelled(labels: DataFrame, id: str, quality: str, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the sample, sorted, and whether each is target text. Bounded by ``most``."""
-    good = (F.col(quality) == 1) & (F.coalesce(F.col(toxic), F.lit(0)) == 0)
+    good = F.col(quality) == 1
     rows = (
         labels.where(F.col(id).isNotNull() & F.col(quality).isNotNull())
         .groupBy(F.col(id).cast("long").alias("id"))
@@ -153,10 +153,10 @@ def kth_highest(rows: DataFrame, column: str, k: int) -> int | None:
 
 def choose(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", quality: str = "quality",
-    toxic: str = "toxic", share: float | None = None, most_labels: int = MOST_LABELS, seed: int = SEED,
+    share: float | None = None, most_labels: int = MOST_LABELS, seed: int = SEED,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_grams, log_weight, score, kept."""
-    ids, good = labelled(labels, id, quality, toxic, most_labels)
+    ids, good = labelled(labels, id, quality, most_labels)
     if share is None:
         share = float(good.mean()) if len(good) else 1.0
     context = docs.sparkSession.sparkContext
