@@ -54,7 +54,7 @@ LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 SHARDS = 16
 
 
-def _jump_sql(shards: int, source: str) -> str:
+def jump_sql(shards: int, source: str) -> str:
     """The walk unrolled: one table for each possible step."""
     steps = [
         f"{source}_0 AS (SELECT *, 0::BIGINT AS b, 0::BIGINT AS j, "
@@ -80,8 +80,8 @@ sized AS (
   FROM documents, crc_table),
 grown AS (SELECT DISTINCT doc_id FROM documents),
 small AS (SELECT DISTINCT doc_id FROM documents),
-{_jump_sql(SHARDS, "small")},
-{_jump_sql(SHARDS + 1, "grown")},
+{jump_sql(SHARDS, "small")},
+{jump_sql(SHARDS + 1, "grown")},
 placed AS (
   SELECT s.*, a.b AS shard, g.b AS grown_shard FROM sized s
   JOIN small_{SHARDS} a ON a.doc_id IS NOT DISTINCT FROM s.doc_id
