@@ -16,9 +16,10 @@ With 32 bands of 4, a pair at a similarity of 0.85 shares no band with probabili
 0.8 with 5e-8. Every link is confirmed on the full sets.
 
 Defined results. A null or empty text has an empty set and is linked with nothing. A text with fewer
-words than a shingle is one shingle. Rows with one id are one node: its component is linked
-with all their texts. A null id counts as the largest id. Ties need no rule: links do not
-depend on an order, and the least id names the component. An empty table gives an empty result.
+words than a shingle is one shingle. Rows with one id are one node, linked with whatever one of
+their texts is linked with. Rows without id come after all ids, rows of equal text being one
+document; a component of such rows alone has no id. Ties need no rule: links do not depend on an
+order, and the least id names the component. An empty table gives an empty result. Ids lie below 2^62.
 Columns besides id and text are not looked at; ``keep`` returns the rows with their own columns.
 """
 
@@ -41,8 +42,9 @@ ROWS = 4
 GROUP_SHINGLES = 1 << 20
 GROUP_CLASSES = 4096
 #: Elements whose orders of positions are kept in memory together.
-ELEMENTS = 1 << 17
-NO_ID = (1 << 63) - 1
+ELEMENTS = 1 << 16
+#: Nodes of rows without id begin here; ids must be smaller.
+NO_ID = 1 << 62
 
 
 def shingles(words: tokens.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +134,8 @@ def _described(text: str, size: int, bands: int, rows_each: int, least: int):
             else:
                 listed = pa.array(keys, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), pa.array(counts), pa.array(digests[0]), pa.array(digests[1]), listed],
-                ["id", "n", "d1", "d2", "bands"],
+                [piece.column("id"), piece.column("h"), pa.array(counts), *map(pa.array, digests), listed],
+                ["id", "h", "n", "d1", "d2", "bands"],
             )
 
     return describe
@@ -258,45 +260,55 @@ def _groups(classes: DataFrame) -> DataFrame:
     return small.unionAll(dealt)
 
 
-def group(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept. ``percent`` is the
-    least similarity of a link in hundredths."""
+def _node(id: Column, text: Column) -> Column:
+    """The id as a long; for a row without id a number from ``NO_ID`` on, by its text."""
+    return F.coalesce(id.cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(NO_ID))
+
+
+def _grouped(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
+    """One row per row of ``docs``: node, h (hash of the text), n, component."""
     narrow = docs.select(
-        F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text")
+        _node(F.col(id), F.col(text)).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")
     )
     # A set below this size has no near copy but equal sets.
-    least = -(-percent // (100 - percent)) if percent < 100 else NO_ID
+    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
     described, _ = written(
         narrow.mapInArrow(
-            _described("text", size, BANDS, ROWS, least), "id long, n long, d1 long, d2 long, bands array<long>"
+            _described("text", size, BANDS, ROWS, least), "id long, h long, n long, d1 long, d2 long, bands array<long>"
         ),
         "sets",
     )
     classes, _ = written(
         described.where("n > 0")
         .groupBy("d1", "d2", "n")
-        .agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.any_value("bands").alias("bands")),
+        .agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")),
         "classes",
     )
     keys = _groups(classes.where(F.col("bands").isNotNull()))
-    texts = narrow.join(keys, F.col("id") == F.col("rep")).select("key", "id", "text")
+    texts = narrow.select("id", "text").join(keys, F.col("id") == F.col("rep")).select("key", "id", "text")
     links = (
         texts.repartition("key")
         .sortWithinPartitions("key", "id")
         .mapInArrow(_verifier(size, percent), "a long, b long")
     )
-    # Rows of one id may be in several classes; ids of one class that name others are links too.
     stars, _ = components(links.unionAll(_shared_ids(described, classes)))
-    placed = (
-        described.join(classes.select("d1", "d2", F.col("n").alias("n_"), "rep"), ["d1", "d2"], "left")
+    return (
+        described.select("id", "h", "n", "d1", "d2")
+        .join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
         .withColumn("node", F.coalesce("rep", "id"))
         .join(stars, F.col("node") == F.col("a"), "left")
-        .withColumn("component", F.coalesce("b", "node"))
+        .select("id", "h", "n", F.coalesce("b", "node").alias("component"))
     )
-    return placed.select(
-        F.nullif("id", F.lit(NO_ID)).alias(id),
+
+
+def group(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept. ``percent`` is the
+    least similarity of a link in hundredths."""
+    named = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return _grouped(docs, id, text, size, percent).select(
+        named("id").alias(id),
         F.col("n").alias("n_shingles"),
-        F.nullif("component", F.lit(NO_ID)).alias("component_id"),
+        named("component").alias("component_id"),
         (F.col("id") == F.col("component")).alias("kept"),
     )
 
@@ -307,16 +319,24 @@ def _shared_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
     return (
         described.where("n > 0")
         .join(repeated, "id")
-        .join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+        .join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"])
         .select(F.col("id").alias("a"), F.col("rep").alias("b"))
     )
 
 
 def keep(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs`` for each component, with its own columns: the row with the least id, and of
-    several such rows the first by text."""
-    kept = group(docs, id, text, size, percent).where("kept").select(F.col(id).alias("kept_id")).distinct()
+    several such rows the one whose text, then whole row, has the least hash."""
+    kept = (
+        _grouped(docs, id, text, size, percent)
+        .where("id = component")
+        .groupBy(F.col("id").alias("kept_id"))
+        .agg(F.min("h").alias("kept_h"))
+    )
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("row")).join(kept, F.col(f"row.`{id}`").eqNullSafe(F.col("kept_id")), "left_semi")
-    first = Window.partitionBy(f"row.{id}").orderBy(F.col(f"row.`{text}`").asc_nulls_last())
-    return rows.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
+    column = lambda c: F.col(f"row.`{c}`")
+    rows = docs.select(whole.alias("row"), _node(F.col(id), F.col(text)).alias("node"))
+    same = (F.col("node") == F.col("kept_id")) & (F.xxhash64(column(text)) == F.col("kept_h"))
+    first = Window.partitionBy("node").orderBy(F.xxhash64("row"))
+    placed = rows.join(kept, same, "left_semi").withColumn("place", F.row_number().over(first))
+    return placed.where("place = 1").select("row.*")

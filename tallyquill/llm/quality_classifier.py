@@ -121,8 +121,8 @@ def _scorer(ratios, seed: int):
         table = ratios.value
         for piece in tokens.pieces(batches, "text"):
             row, bucket = grams(_split(piece.column("text")))
-            weight = np.bincount(row, weights=table[bucket], minlength=piece.num_rows)
-            n = np.bincount(row, minlength=piece.num_rows)
+            weight = np.bincount(row, weights=table[bucket], minlength=piece.num_rows).astype(np.float64)
+            n = np.bincount(row, minlength=piece.num_rows).astype(np.int64)
             total = weight + gumbel(piece.column("id").fill_null(-1).to_numpy(zero_copy_only=False), seed)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("id"), pa.array(n), pa.array(weight), pa.array(total), pa.array(rank_of(total))],

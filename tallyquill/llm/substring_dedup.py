@@ -3,7 +3,7 @@
 A window is 13 words in a row. A word goes if a window over it also starts in a
 document with a smaller id.
 
-1. Candidates. The least hash among a window's 4-word phrases depends on the window alone, so
+1. Candidates. The least hash among a window's 6-word phrases depends on the window alone, so
    equal windows agree in it. Only these few hashes per document are shuffled; those of one
    document alone are out.
 2. Stretches. Windows in a row with the same shared hash form a stretch of text. Stretches go to
@@ -39,7 +39,7 @@ from tallyquill.llm import tokens
 from tallyquill.session import written
 
 SIZE = 13
-PHRASE = 4
+PHRASE = 6
 #: Documents with one hash from which its windows are dealt one by one.
 HOT = 10_000
 #: Words of stretches in one automaton.
@@ -151,8 +151,8 @@ def _falling(n: int) -> np.ndarray:
 
 
 def _located(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by key -> places of windows that a document before the stretch's
-    last one has. Automata hold whole keys, as many as fit."""
+    """Stretches sorted by key -> runs of words (begin, end) under windows that a document
+    before the stretch's last one has. Automata hold whole keys, as many as fit."""
     held: list[tuple] = []
     key, size = None, 0
     for batch in batches:
@@ -183,18 +183,25 @@ def _occurrences(stretches: list[tuple]) -> pa.RecordBatch:
     for window, lo in first.items():
         if lo < last[window]:
             automaton.add_word(window, lo)
-    out: dict[str, list] = {"key": [], "seg": [], "places": [], "firsts": []}
+    out: dict[str, list] = {"key": [], "seg": [], "begins": [], "ends": [], "firsts": []}
     if len(automaton):
         automaton.make_automaton()
         for line, (key, seg, _, hi, _) in zip(lines, stretches, strict=True):
-            found = [(end - SIZE + 1, lo) for end, lo in automaton.iter(line) if lo < hi]
-            if found:
-                out["key"].append(key)
-                out["seg"].append(seg)
-                out["places"].append([place for place, _ in found])
-                out["firsts"].append([lo for _, lo in found])
-    kinds = {"key": pa.int64(), "seg": pa.int64(), "places": pa.list_(pa.int32()), "firsts": pa.list_(pa.int64())}
-    return pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, kind in kinds.items()], list(kinds))
+            begins, ends, firsts = [], [], []
+            for last, lo in automaton.iter(line):
+                if lo >= hi:
+                    continue
+                if ends and ends[-1] == last and firsts[-1] == lo:
+                    ends[-1] = last + 1  # the next window of the same document
+                else:
+                    begins.append(last + 1 - SIZE)
+                    ends.append(last + 1)
+                    firsts.append(lo)
+            if begins:
+                for name, value in zip(out, (key, seg, begins, ends, firsts), strict=True):
+                    out[name].append(value)
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, kind in zip(out, kinds, strict=True)], list(out))
 
 
 def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,18 +216,19 @@ def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kept text of documents with covered windows."""
+    """Kept text of documents with covered words."""
     for batch in batches:
         removed, texts = [], []
-        for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("text", "begins", "ends")]
+        for text, begins, ends in zip(*columns, strict=True):
             words = text.encode().split()
-            edges = np.zeros(len(words) + 1, dtype=np.int64)
-            begin = np.unique(np.array(starts, dtype=np.int64))
-            edges[begin] += 1
-            np.subtract.at(edges, begin + SIZE, 1)
-            kept = np.flatnonzero(np.cumsum(edges[:-1]) == 0)
-            removed.append(len(words) - len(kept))
-            texts.append(b" ".join([words[i] for i in kept.tolist()]).decode())
+            kept, at, gone = [], 0, 0
+            starts, stops = tokens.merged(np.array(begins, dtype=np.int64), np.array(ends, dtype=np.int64))
+            for begin, end in zip(starts.tolist(), stops.tolist(), strict=True):
+                kept += words[at:begin]
+                at, gone = end, gone + end - begin
+            removed.append(gone)
+            texts.append(b" ".join(kept + words[at:]).decode())
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("h"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
             ["id", "h", "n_removed", "kept"],
@@ -263,19 +271,21 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .sortWithinPartitions("key")
         .select("key", "seg", "lo", "hi", "text")
-        .mapInArrow(_located, "key long, seg long, places array<int>, firsts array<long>")
+        .mapInArrow(_located, "key long, seg long, begins array<int>, ends array<int>, firsts array<long>")
     )
-    earlier = F.filter(F.arrays_zip("places", "firsts"), lambda x: x["firsts"] < F.col("id"))
-    starts = (
+    earlier = F.filter(F.arrays_zip("begins", "ends", "firsts"), lambda x: x["firsts"] < F.col("id"))
+    moved = lambda side: F.transform("runs", lambda x: F.col("start") + x[side]).alias(side)
+    runs = (
         stretches.select("id", "h", "start", "key", "seg")
         .join(found, ["key", "seg"])
-        .select("id", "h", F.transform(earlier, lambda x: F.col("start") + x["places"]).alias("starts"))
-        .where(F.size("starts") > 0)
+        .select("id", "h", "start", earlier.alias("runs"))
+        .where(F.size("runs") > 0)
+        .select("id", "h", moved("begins"), moved("ends"))
         .groupBy("id", "h")
-        .agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        .agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")])
     )
-    covered = candidates.select("id", "h", "text").dropDuplicates(["id", "h"]).join(starts, ["id", "h"])
-    return covered.select("id", "h", "text", "starts").mapInArrow(_cut, "id long, h long, n_removed long, kept string")
+    covered = candidates.select("id", "h", "text").dropDuplicates(["id", "h"]).join(runs, ["id", "h"])
+    return covered.mapInArrow(_cut, "id long, h long, n_removed long, kept string")
 
 
 def remove(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

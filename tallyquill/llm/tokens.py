@@ -22,7 +22,7 @@ MARKS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 #: Bytes of text that are looked at together. A longer text is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
