@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class TooLarge(Exception):
     """A side that was expected to be small exceeds its bound."""
 
@@ -37,10 +40,17 @@ def discard_all(spark: SparkSession) -> None:
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: lineage is cut, and a lost executor
-    loses nothing. Returns the table and its folder."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    loses nothing. Shuffle files of the write are removed when it is done, not when the
+    driver happens to collect its garbage. Returns the table and its folder."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
