@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,19 +14,13 @@ WHITESPACE = r"(?U)\s+"
 EDGE_WHITESPACE = r"(?U)^\s+|\s+$"
 NON_WORD = r"[^\p{L}\p{N}]+"
 
-# Named HTML entities that occur in plain prose, with the ampersand
-# last so that an escaped entity is not unescaped twice.
-HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-)
+# Named HTML entities with their semicolon, from the standard table.
+HTML_ENTITIES = {name: text for name, text in html5.items() if name.endswith(";")}
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+# What a number names that is no character, and the characters of Windows-1252
+# that pages write by their byte.
+NO_CHARACTER = "\ufffd"
+WINDOWS_1252 = {0x80 + i: c for i, c in enumerate("€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ")}
 
 
 def strip(text: Column) -> Column:
@@ -51,8 +47,7 @@ def paragraphs(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut after ``.``, ``!`` or ``?`` followed by whitespace; blank pieces are dropped."""
-    marked = F.regexp_replace(text, r"(?U)([.!?])\s+", "$1\u0001")
-    return F.filter(F.split(marked, "\u0001"), lambda s: F.length(strip(s)) > 0)
+    return F.filter(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: F.length(strip(s)) > 0)
 
 
 def html_text(html: Column) -> Column:
@@ -61,9 +56,36 @@ def html_text(html: Column) -> Column:
     for hidden in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->"):
         text = F.regexp_replace(text, hidden, "")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    for entity, char in HTML_ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    return unescaped(text)
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point."""
+    known = F.create_map(*[x for k, v in WINDOWS_1252.items() for x in (F.lit(k), F.lit(v))])
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(known, code), F.when(valid, plain), F.lit(NO_CHARACTER))
+
+
+def unescaped(text: Column) -> Column:
+    """Entities with a semicolon to their characters, once: numbers of both bases and all
+    standard names. What is no entity stays as it is."""
+    named = F.create_map(*[x for k, v in HTML_ENTITIES.items() for x in (F.lit(k), F.lit(v))])
+
+    def decoded(entity: Column) -> Column:
+        """Of the text between ``&`` and ``;``."""
+        low = F.lower(entity)
+        number = F.when(low.startswith("#x"), F.conv(F.substring(entity, 3, 6), 16, 10)).when(
+            low.startswith("#"), F.substring(entity, 2, 7)
+        )
+        name = F.try_element_at(named, F.concat(entity, F.lit(";")))
+        whole = F.concat(F.lit("&"), entity, F.lit(";"))
+        return F.when(number.isNotNull(), _character(number.cast("int"))).otherwise(F.coalesce(name, whole))
+
+    between = F.split(text, ENTITY)
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)), decoded)
+    pairs = F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pairs, "")).otherwise(text)
 
 
 def image_sources(html: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyquill.operators.inventory import forecast_poisson
+from tallyquill.operators.inventory import forecast_poisson, poisson_forecast
 
 # The coefficient grid, in order of preference on equal fit.
 STEPS_OF_TENTHS = np.arange(-9, 10) / 10.0
@@ -271,16 +271,19 @@ def forecast_arima(sales: DataFrame, tiebreak: Sequence[str], steps: int = 1) ->
 
 
 def forecast_demand(sales: DataFrame, tiebreak: Sequence[str], model: str = "both", steps: int = 1) -> DataFrame:
-    """Poisson, ARIMA or both forecasts per product; both come from one pass."""
+    """Poisson, ARIMA or both forecasts per product. Both: every product with a row, its name,
+    the Poisson forecast over all of its rows, and the ARIMA forecast of its dated series, NULL
+    where that is too short."""
     if model == "poisson":
         return forecast_poisson(sales)
     if model == "arima":
         return forecast_arima(sales, tiebreak, steps)
     if model != "both":
         raise ValueError(f"unknown model: {model}")
-    mean = F.col("total") / F.col("count")
-    return forecast_series(sales, tiebreak, steps).select(
-        "product_id",
-        F.bround(mean).cast("bigint").alias("poisson_forecast"),
-        F.col("forecast").alias("arima_forecast"),
+    named = [F.max("product_name").alias("product_name")] if "product_name" in sales.columns else []
+    means = (
+        sales.where("product_id IS NOT NULL")
+        .groupBy("product_id")
+        .agg(*named, poisson_forecast(F.col("units_sold")).alias("poisson_forecast"))
     )
+    return means.join(forecast_arima(sales, tiebreak, steps), "product_id", "left")

@@ -139,7 +139,8 @@ def chunk_sections(docs: DataFrame, heading: str = tx.SECTION_HEADING) -> DataFr
     """Cut whole documents at headings, which stay as chunks of their own. Pieces are
     trimmed; empty ones are kept."""
     joined = F.replace(F.col("text"), F.lit(PAGE_BREAK), F.lit("\n"))
-    pieces = F.split(F.regexp_replace(joined, heading, "\u0001$1\u0001"), "\u0001")
+    between, headings = F.split(joined, heading), F.regexp_extract_all(joined, F.lit(heading), F.lit(1))
+    pieces = F.flatten(F.zip_with(between, headings, lambda a, b: F.array_compact(F.array(a, b))))
     position = F.col("position") + 1
     return docs.select("doc_id", F.posexplode(pieces).alias("position", "piece")).select(
         "doc_id",

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyquill.session import bounded_table
+
 # Alert threshold, history length and status texts of the dashboard.
 LOW_STOCK = 50
 HISTORY_ROWS = 100
@@ -24,14 +26,25 @@ def demand(sales: DataFrame) -> DataFrame:
     )
 
 
+def warehouse_names(warehouse_dim: DataFrame, most: int = 1_000) -> list[str]:
+    """Names of the dimension, which become columns; more than ``most`` are refused."""
+    names = bounded_table(warehouse_dim.select("warehouse").where("warehouse IS NOT NULL").distinct(), most)
+    return sorted(names.column(0).to_pylist())
+
+
 def demand_matrix(sales: DataFrame, warehouses: Sequence[str]) -> DataFrame:
     """One row per product and one 0-filled column per listed warehouse.
 
-    Warehouses are the columns because their list is short and known; products, which
-    grow with the data, stay rows.
+    Warehouses are the columns because their list is short and known, from the dimension
+    table; products, which grow with the data, stay rows. ``unlisted`` has the demand of
+    warehouses that are not in the list.
     """
-    wide = demand(sales).groupBy("product_id").pivot("warehouse", list(warehouses)).agg(F.sum("units"))
-    return wide.fillna(0.0, subset=list(warehouses))
+    listed = list(warehouses)
+    rows = demand(sales)
+    other = F.sum(F.when(~F.col("warehouse").isin(listed), F.col("units")))
+    sums = [F.sum(F.when(F.col("warehouse") == w, F.col("units"))).alias(w) for w in listed]
+    wide = rows.groupBy("product_id").agg(*sums, other.alias("unlisted"))
+    return wide.fillna(0.0, subset=[*listed, "unlisted"])
 
 
 def demand_share(sales: DataFrame) -> DataFrame:

@@ -52,6 +52,17 @@ def _squares(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.round((centers * centers).sum(1) - 2 * (points @ centers.T) + (points * points).sum(1)[:, None], 9)
 
 
+def _with_zeros(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of any width as a matrix; a piece without a vector gets zeros."""
+    present = vectors.is_valid().to_numpy(zero_copy_only=False)
+    values = vectors.flatten().to_numpy()
+    width = len(values) // max(1, int(present.sum()))
+    matrix = np.zeros((len(vectors), max(1, width)))
+    if width:
+        matrix[present] = values.reshape(-1, width)
+    return matrix
+
+
 def chunk_semantic(docs: DataFrame, k: int = CLUSTERS, embed=hash64) -> DataFrame:
     """Cluster the pieces of each document on its own. The unit of work is one document,
     so no document meets another and nothing is shuffled."""
@@ -64,14 +75,13 @@ def chunk_semantic(docs: DataFrame, k: int = CLUSTERS, embed=hash64) -> DataFram
             T.StructField("text", T.StringType()),
         ]
     )
-    zeros = F.array_repeat(F.lit(0.0), BUCKETS)
     listed = docs.select("doc_id", piece_texts(F.col("text")).alias("pieces")).where("pieces IS NOT NULL")
-    vectors = listed.withColumn("vectors", F.transform("pieces", lambda piece: F.coalesce(embed(piece), zeros)))
+    vectors = listed.withColumn("vectors", F.transform("pieces", embed))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
-            matrix = batch.column(2).flatten().flatten().to_numpy().reshape(int(ends[-1]), -1)
+            matrix = _with_zeros(batch.column(2).flatten())
             ids, texts = batch.column(0).to_pylist(), batch.column(1).flatten().to_pylist()
             rows = []
             for doc_id, start, end in zip(ids, ends[:-1], ends[1:]):
@@ -88,11 +98,13 @@ def chunk_semantic(docs: DataFrame, k: int = CLUSTERS, embed=hash64) -> DataFram
     return vectors.mapInArrow(group, schema)
 
 
-def chunk_semantic_corpus(docs: DataFrame, k: int = CLUSTERS, seed: int = 0, embed=hash64) -> DataFrame:
+def chunk_semantic_corpus(
+    docs: DataFrame, k: int = CLUSTERS, seed: int = 0, embed=hash64, width: int = BUCKETS
+) -> DataFrame:
     """Cluster the pieces of all documents together with one distributed fit, so that
-    cluster numbers mean the same in every document."""
+    cluster numbers mean the same in every document. ``width`` is that of the embedder."""
     pieces = docs.select("doc_id", F.posexplode(piece_texts(F.col("text"))).alias("position", "piece"))
-    zeros = F.array_repeat(F.lit(0.0), BUCKETS)
+    zeros = F.array_repeat(F.lit(0.0), width)
     embedded = pieces.withColumn("vector", F.coalesce(embed(F.col("piece")), zeros))
     points = checkpointed(embedded).withColumn("features", array_to_vector("vector")).drop("vector")
     model = KMeans(k=k, seed=seed, maxIter=20).fit(points.select("features"))

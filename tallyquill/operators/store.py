@@ -1,17 +1,24 @@
-"""The vector store as one table: (collection, id, source, text, embedding, ...)."""
+"""The vector store as one table: (collection, id, source, text, embedding, ...).
+
+The functions up to ``dedup_nearest`` say what a change means, from table to table. The stored
+table is a Parquet folder partitioned by collection (or by another column with few values); a
+change reads and rewrites only the partitions it touches.
+"""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyquill.functions.embedding import HASH64, hash64
 from tallyquill.functions.text import snippet
+from tallyquill.session import discard, written
 
 # Lengths shown by the inspection reports.
 SAMPLE_CHARS = 50
@@ -66,7 +73,7 @@ def latest(updates: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 
 def upsert(store: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Add or replace rows by key; the store itself is only filtered, never sorted."""
+    """Add or replace rows by key."""
     touched = updates.select(*keys).distinct()
     return store.join(touched, list(keys), "left_anti").select(*store.columns).unionByName(latest(updates, keys, order))
 
@@ -99,15 +106,71 @@ def dedup_content(chunks: DataFrame, order: Sequence[str], stored: DataFrame | N
 
 
 def dedup_nearest(chunks: DataFrame, order: Sequence[str], embedder=hash64) -> DataFrame:
-    """Keep a chunk only when no earlier chunk lies at distance 0 from it. Chunks at
-    distance 0 have equal vectors, so equality of vectors replaces a search per chunk;
-    chunks without a vector are compared by text."""
+    """Keep a chunk only when no earlier chunk of its collection lies at distance 0 from it.
+    Chunks at distance 0 have equal vectors, so equality of vectors replaces a search per
+    chunk; chunks without a vector are compared by text."""
     vector_id = F.coalesce(F.md5(F.to_json(embedder(F.col("text")))), F.md5("text"))
-    return first_copies(chunks.withColumn("vector_id", vector_id), ["vector_id"], order)
+    return first_copies(chunks.withColumn("vector_id", vector_id), ["collection", "vector_id"], order)
+
+
+# --- the stored table -----------------------------------------------------------------
+
+
+def create(rows: DataFrame, path: str, by: str = "collection") -> None:
+    rows.write.partitionBy(by).parquet(path)
+
+
+def add(rows: DataFrame, path: str, by: str = "collection") -> None:
+    """Append chunks; nothing that is stored is read."""
+    rows.write.mode("append").partitionBy(by).parquet(path)
+
+
+def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The stored table. The schema is given, so that names of collections stay text."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def _rewrite(stored: DataFrame, path: str, touched: DataFrame, by: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace the partitions named in ``touched`` by what ``change`` makes of their rows.
+
+    The new rows are written aside first; partitions left without rows are deleted. Only the
+    names of those are collected, no more than the change touches.
+    """
+    spark = stored.sparkSession
+    touched = touched.select(by).distinct()
+    affected = stored.join(touched, by, "left_semi").select(*stored.columns)
+    after, aside = written(change(affected).select(*stored.columns), "change")
+    emptied = [row[0] for row in touched.join(after.select(by).distinct(), by, "left_anti").collect()]
+    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    for name in emptied:
+        discard(spark, f"{path}/{by}={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(name))}")
+    discard(spark, aside)
+
+
+def upsert_into(
+    stored: DataFrame, path: str, updates: DataFrame, keys: Sequence[str], order: Sequence[Column], by: str = "collection"
+) -> None:
+    """Add or replace rows by key. A key stays in its collection."""
+    _rewrite(stored, path, updates, by, lambda rows: upsert(rows, updates, keys, order))
+
+
+def replace_sources_in(stored: DataFrame, path: str, updates: DataFrame, by: str = "collection") -> None:
+    """Replace everything the changed sources had, wherever it is stored."""
+    old = stored.join(updates.select("source").distinct(), "source", "left_semi").select(by)
+    _rewrite(stored, path, old.unionByName(updates.select(by)), by, lambda rows: replace_sources(rows, updates))
+
+
+def delete_sources_in(stored: DataFrame, path: str, sources: DataFrame, by: str = "collection") -> None:
+    """Delete all chunks of the listed sources."""
+    touched = stored.join(sources.select("source").distinct(), "source", "left_semi").select(by)
+    _rewrite(stored, path, touched, by, lambda rows: delete_sources(rows, sources))
+
+
+# --- reading --------------------------------------------------------------------------
 
 
 def get(store: DataFrame, collection: str, fields: Sequence[str]) -> DataFrame:
-    """Chosen fields of one collection; filter and columns reach the scan."""
+    """Chosen fields of one collection; of a stored table only its partition is read."""
     return store.where(F.col("collection") == collection).select("id", *fields)
 
 

@@ -8,6 +8,7 @@ from tallyquill.functions import naming
 from tallyquill.functions import text as tx
 from tallyquill.functions.embedding import scaled
 from tallyquill.operators import arima, chunking, inventory, manifest, store
+from tallyquill.plans import documents as dp
 from tallyquill.plans import inventory as stock
 from tallyquill.plans import tables as t
 from tallyquill.plans import vectors as vec
@@ -30,7 +31,12 @@ def escaped(text):
     return text
 
 
-def files(spark, sf_dir, edit=None):
+def plain_files(spark, sf_dir, edit=None):
+    """All documents as files of nine types whose bytes are the text."""
+    return files(spark, sf_dir, edit, plain=True)
+
+
+def files(spark, sf_dir, edit=None, plain=False):
     """Documents as files of nine types, in the shape of Spark's binary file source."""
     docs = t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     if edit is not None:
@@ -38,16 +44,25 @@ def files(spark, sf_dir, edit=None):
     number = F.col("doc_id").cast("string")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
     body = (
-        F.when(kind == "csv", F.concat(F.lit("doc_id,source,note\n"), number, F.lit(","), "source", F.lit(",\n")))
+        F.when(
+            kind == "csv",
+            F.concat(
+                F.lit("doc_id,source,note,text\n"), number, F.lit(","), "source", F.lit(',,"'),
+                F.replace("text", F.lit('"'), F.lit('""')), F.lit('"\n'),
+            ),
+        )
         .when(
             kind == "json",
-            F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct("doc_id", "source"))).otherwise("{broken"),
+            F.concat(
+                F.to_json(F.struct("doc_id", "source", F.hex(F.encode("text", "UTF-8")).alias("body"))),
+                F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise("{broken"),
+            ),
         )
         .when(kind == "xml", F.concat(F.lit("<doc><id>"), number, F.lit("</id><body>"), escaped(F.col("text")), F.lit("</body></doc>")))
         .when(kind == "html", F.concat(F.lit("<html><body><p>"), escaped(F.col("text")), F.lit("</p></body></html>")))
         .otherwise(F.col("text"))
     )
-    content = F.encode(body, "UTF-8")
+    content = F.encode(F.col("text") if plain else body, "UTF-8")
     return docs.select(
         F.concat("source", F.lit("/"), number, F.lit(".v1."), kind).alias("path"),
         F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("doc_id") * 1_250_000).alias("modificationTime"),
@@ -61,9 +76,10 @@ FILES = f"""files AS (SELECT doc_id, source, text, {KIND_SQL} AS kind,
   source || '/' || doc_id || '.v1.' || {KIND_SQL} AS path FROM documents)"""
 EXTRACTED = """extracted AS (SELECT path, kind AS suffix,
   CASE WHEN kind IN ('txt', 'log', 'md', 'html') THEN text
-       WHEN kind = 'csv' THEN 'doc_id' || chr(9) || 'source' || chr(9) || 'note' || chr(10) || doc_id || chr(9) || source || chr(9) || 'NaN'
+       WHEN kind = 'csv' THEN 'doc_id' || chr(9) || 'source' || chr(9) || 'note' || chr(9) || 'text' || chr(10)
+         || doc_id || chr(9) || source || chr(9) || 'NaN' || chr(9) || text
        WHEN kind = 'json' AND doc_id % 2 = 0 THEN '{' || chr(10) || '    "doc_id": ' || doc_id || ',' || chr(10)
-         || '    "source": "' || source || '"' || chr(10) || '}'
+         || '    "source": "' || source || '",' || chr(10) || '    "body": "' || hex(encode(text)) || '"' || chr(10) || '}'
        WHEN kind = 'xml' THEN doc_id || text END AS text,
   CASE WHEN kind IN ('pdf', 'docx') THEN 'no decoder for this type'
        WHEN kind = 'json' AND doc_id % 2 = 1 THEN 'unreadable content' END AS reason FROM files)"""
@@ -108,13 +124,21 @@ def ingest_xml_text(spark, sf_dir):
 HTML_SQL = "html"
 for pattern in ("(?is)<script.*?</script>", "(?is)<style.*?</style>", "(?s)<!--.*?-->", "(?s)<[^>]*>"):
     HTML_SQL = f"regexp_replace({HTML_SQL}, '{pattern}', '', 'g')"
-for entity, char in tx.HTML_ENTITIES:
+# The entities of the given pages, and of the line that every page gets here.
+PAGE_ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"),
+    ("&mdash;", "—"), ("&#8217;", "’"), ("&#x27;", "'"), ("&euro;", "€"), ("&#128;", "€"), ("&#x1F600;", "😀"),
+)
+for entity, char in (*PAGE_ENTITIES, ("&amp;", "&")):
     HTML_SQL = f"replace({HTML_SQL}, '{entity}', {vec._quoted(char)})"
+MORE_HTML = "<p>" + " ".join(entity for entity, _ in PAGE_ENTITIES) + " &amp;lt; &none; & ;</p>"
 
 
-@register("html_to_text", f"SELECT page_id, {HTML_SQL} AS text FROM pages")
+@register("html_to_text", f"SELECT page_id, {HTML_SQL} AS text FROM (SELECT page_id, html || {vec._quoted(MORE_HTML)} AS html FROM pages)")
 def html_to_text(spark, sf_dir):
-    return t.table(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
+    """Every page with one more line of entities."""
+    html = F.concat("html", F.lit(MORE_HTML))
+    return t.table(spark, sf_dir, "pages").select("page_id", tx.html_text(html).alias("text"))
 
 
 @register("ingest_suffix_filter", with_(FILES) + "SELECT path FROM files WHERE kind IN ('txt', 'pdf', 'docx', 'csv', 'xlsx')")
@@ -168,27 +192,29 @@ def collection_name(spark, sf_dir):
     )
 
 
-SAFE = "substring(regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 63)"
+SAFE = "substring(regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 63)"
 
 
 @register(
     "collection_sanitize",
-    f"SELECT doc_id, trim({SAFE}, '_') AS name, {SAFE} AS unstripped FROM documents",
+    f"SELECT page_id, trim({SAFE}, '_') AS name, {SAFE} AS unstripped FROM pages",
 )
 def collection_sanitize(spark, sf_dir):
-    text = F.col("text")
-    return t.table(spark, sf_dir, "documents").select(
-        "doc_id", naming.safe_name(text).alias("name"), naming.safe_name(text, strip_edges=False).alias("unstripped")
+    url = F.col("url")
+    return t.table(spark, sf_dir, "pages").select(
+        "page_id", naming.safe_name(url).alias("name"), naming.safe_name(url, strip_edges=False).alias("unstripped")
     )
 
 
 @register(
     "collection_collisions",
-    f"SELECT trim({SAFE}, '_') AS name, count(*) AS files, min(doc_id) AS first_doc FROM documents GROUP BY ALL HAVING count(*) > 1",
+    "SELECT regexp_replace(source || lang, '[^a-zA-Z0-9_-]', '_', 'g') AS name, count(*) AS files, min(doc_id) AS first_doc "
+    "FROM documents GROUP BY ALL HAVING count(*) > 1",
 )
 def collection_collisions(spark, sf_dir):
     """Names that several files share after cleaning."""
-    named = t.table(spark, sf_dir, "documents").select("doc_id", naming.safe_name(F.col("text")).alias("name"))
+    name = naming.safe_name(F.concat("source", "lang"))
+    named = t.table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
     return named.groupBy("name").agg(F.count("*").alias("files"), F.min("doc_id").alias("first_doc")).where("files > 1")
 
 
@@ -213,10 +239,10 @@ MTIME = """(1704067200 + doc_id * 5 // 4) || '.' || ['0', '25', '5', '75'][(doc_
     "file_fingerprint",
     with_(FILES)
     + f"""SELECT path, {MTIME} AS by_time, md5(text) AS by_content, md5(text || {MTIME}) AS by_both
-    FROM files WHERE kind IN ('txt', 'log', 'md')""",
+    FROM files""",
 )
 def file_fingerprint(spark, sf_dir):
-    plain = src.with_suffix(files(spark, sf_dir), src.PLAIN_TYPES)
+    plain = plain_files(spark, sf_dir)
     content, mtime = F.col("content"), F.col("modificationTime")
     marks = {"by_time": "mtime", "by_content": "content", "by_both": "both"}
     return plain.select("path", *(naming.fingerprint(content, mtime, mode).alias(name) for name, mode in marks.items()))
@@ -232,17 +258,15 @@ def edited(docs):
 
 
 def plain_states(spark, sf_dir):
-    before = src.with_suffix(files(spark, sf_dir), src.PLAIN_TYPES)
-    after = src.with_suffix(files(spark, sf_dir, edited), src.PLAIN_TYPES)
-    return before, after
+    return plain_files(spark, sf_dir), plain_files(spark, sf_dir, edited)
 
 
 STATES = (
     FILES,
-    "before AS (SELECT path, md5(text) AS mark, text FROM files WHERE kind IN ('txt', 'log', 'md'))",
+    "before AS (SELECT path, md5(text) AS mark, text FROM files)",
     """edited AS (SELECT CASE WHEN length(text) > 5000 THEN 'moved/' || path ELSE path END AS path,
       CASE WHEN length(text) < 1000 THEN text || ' edited' ELSE text END AS text
-      FROM files WHERE kind IN ('txt', 'log', 'md') AND length(text) >= 400)""",
+      FROM files WHERE length(text) >= 400)""",
     "after AS (SELECT path, md5(text) AS mark, text FROM edited)",
 )
 
@@ -264,11 +288,11 @@ def changed_files(spark, sf_dir):
     "changed_files_by_time",
     with_(FILES)
     + """SELECT path, make_timestamp(1704067200000000 + doc_id * 1250000 + 1000000) AS "modificationTime"
-    FROM files WHERE kind IN ('txt', 'log', 'md') AND strlen(text) >= 2000""",
+    FROM files WHERE strlen(text) >= 2000""",
 )
 def changed_files_by_time(spark, sf_dir):
     """Every long file is a second newer than its entry."""
-    plain = src.with_suffix(files(spark, sf_dir), src.PLAIN_TYPES)
+    plain = plain_files(spark, sf_dir)
     before = manifest.snapshot(plain, "mtime")
     moment = F.col("modificationTime") + F.make_dt_interval(secs=F.when(F.col("length") >= 2000, 1).otherwise(0))
     after = manifest.snapshot(plain.withColumn("modificationTime", moment), "mtime")
@@ -302,14 +326,13 @@ def stream_modified(spark, sf_dir):
 
 @register(
     "sink_chunks",
-    """WITH chunks AS (SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents)
-    SELECT doc_id, 'page_chunks' AS chunk_type, 'page_1' AS chunk_name, text FROM chunks UNION ALL
-    SELECT doc_id, 'paragraph_chunks', 'page_1_paragraph_1', text FROM chunks""",
+    with_(dp.PAGED, dp.PAGES, dp.PARA_PAGES, dp.exploded_sql("para_pages", dp.PARAGRAPHS, "paragraph"))
+    + f"""SELECT doc_id, 'page_chunks' AS chunk_type, chunk_name, text FROM ({dp.PAGE_SQL})
+    UNION ALL SELECT doc_id, 'paragraph_chunks', chunk_name, text FROM chunks""",
 )
 def sink_chunks(spark, sf_dir):
-    paged = chunking.pages(t.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    by_page = chunking.chunk_pages(paged).withColumn("chunk_type", F.lit("page_chunks"))
-    by_paragraph = chunking.chunk_paragraphs(paged).withColumn("chunk_type", F.lit("paragraph_chunks"))
+    by_page = chunking.chunk_pages(dp.pages_text(spark, sf_dir)).withColumn("chunk_type", F.lit("page_chunks"))
+    by_paragraph = chunking.chunk_paragraphs(dp.para_pages(spark, sf_dir)).withColumn("chunk_type", F.lit("paragraph_chunks"))
     path = fresh_path(spark, "chunks")
     io.write_chunks(by_page.unionByName(by_paragraph), path)
     return spark.read.parquet(path).select("doc_id", "chunk_type", "chunk_name", "text")
@@ -370,20 +393,23 @@ def inventory_upsert(spark, sf_dir):
         .agg(F.max("product_name").alias("product_name"), F.sum("units_sold").cast("bigint").alias("stock"))
         .withColumn("version", F.lit(2))
     )
-    return store.upsert(held, arrived, ["product_id", "warehouse"], [F.col("version")]).drop("version")
+    path = fresh_path(spark, "inventory")
+    store.create(held, path, by="warehouse")
+    stored = store.read(spark, path, held.schema)
+    store.upsert_into(stored, path, arrived, ["product_id", "warehouse"], [F.col("version")], by="warehouse")
+    return store.read(spark, path, held.schema).drop("version")
 
 
 @register(
     "forecast_history_append",
     with_(*stock.ARIMA_CTES, t.HISTORY_SQL)
-    + """SELECT product_id, poisson_forecast, arima_forecast, CAST(created_at AS DATE) AS created_at FROM history
-    UNION ALL SELECT product_id, CAST(round_even(mean, 0) AS BIGINT), arima_forecast, DATE '1999-01-01'
-    FROM points LEFT JOIN best USING (product_id)""",
+    + """SELECT product_id, product_name, poisson_forecast, arima_forecast, CAST(created_at AS DATE) AS created_at FROM history
+    UNION ALL SELECT product_id, max(s.product_name), CAST(round_even(avg(s.units_sold), 0) AS BIGINT), any_value(arima_forecast),
+    DATE '1999-01-01' FROM sales s LEFT JOIN best USING (product_id) GROUP BY product_id""",
 )
 def forecast_history_append(spark, sf_dir):
     path = fresh_path(spark, "history")
-    past = t.forecast_history(spark, sf_dir).drop("product_name")
-    io.append_history(past.drop("created_at").limit(0), path, F.lit(None).cast("date"))
-    past.withColumn("created_on", F.trunc("created_at", "year")).write.mode("append").partitionBy("created_on").parquet(path)
+    io.append_history(t.forecast_history(spark, sf_dir), path, F.col("created_at"))
     io.append_history(arima.forecast_demand(t.sales(spark, sf_dir), t.TIEBREAK), path, F.to_date(F.lit("1999-01-01")))
-    return spark.read.parquet(path).select("product_id", "poisson_forecast", "arima_forecast", "created_at")
+    columns = ("product_id", "product_name", "poisson_forecast", "arima_forecast", "created_at")
+    return spark.read.parquet(path).select(*columns)

@@ -42,8 +42,8 @@ def demand_by_product_warehouse(spark, sf_dir):
     return inventory.demand(t.sales(spark, sf_dir))
 
 
-# The warehouses, which name the columns of the wide view.
-WAREHOUSES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+# Warehouses of the dimension below, for the SQL only.
+WAREHOUSES = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
 
 
 @register(
@@ -53,10 +53,14 @@ WAREHOUSES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
     + ", ".join(
         f"""coalesce(sum(units) FILTER (WHERE warehouse = '{w}'), 0) AS "{w}" """ for w in WAREHOUSES
     )
-    + " FROM demand GROUP BY product_id",
+    + ", coalesce(sum(units) FILTER (WHERE warehouse NOT IN ('"
+    + "', '".join(WAREHOUSES)
+    + "')), 0) AS unlisted FROM demand GROUP BY product_id",
 )
 def demand_matrix(spark, sf_dir):
-    return inventory.demand_matrix(t.sales(spark, sf_dir), WAREHOUSES)
+    """A dimension without one of the warehouses that sell."""
+    dim = t.warehouse_dim(spark, sf_dir).where("warehouse <> 'MIDDLE EAST'")
+    return inventory.demand_matrix(t.sales(spark, sf_dir), inventory.warehouse_names(dim))
 
 
 @register(
@@ -140,14 +144,24 @@ def forecast_arima(spark, sf_dir):
     return arima.forecast_arima(t.sales(spark, sf_dir), t.TIEBREAK)
 
 
+GAPPY = """gappy AS (SELECT * REPLACE (CASE WHEN l_orderkey % 7 <> 0 THEN date END AS date,
+    CASE WHEN product_id % 50 <> 0 THEN units_sold END AS units_sold) FROM base)"""
+DATED = "sales AS (SELECT * FROM gappy WHERE date IS NOT NULL AND units_sold IS NOT NULL)"
+
+
 @register(
     "forecast_demand",
-    with_(*ARIMA_CTES)
-    + """SELECT product_id, CAST(round_even(mean, 0) AS BIGINT) AS poisson_forecast, arima_forecast
-    FROM points LEFT JOIN best USING (product_id)""",
+    with_(S.replace("sales AS", "base AS", 1), GAPPY, DATED, *ARIMA_CTES[1:])
+    + """SELECT product_id, max(g.product_name) AS product_name,
+    CAST(round_even(avg(g.units_sold), 0) AS BIGINT) AS poisson_forecast, any_value(arima_forecast) AS arima_forecast
+    FROM gappy g LEFT JOIN best USING (product_id) GROUP BY product_id""",
 )
 def forecast_demand(spark, sf_dir):
-    return arima.forecast_demand(t.sales(spark, sf_dir), t.TIEBREAK)
+    """Some sales have no date, some products no units."""
+    dated = F.when(F.col("l_orderkey") % 7 != 0, F.col("date"))
+    counted = F.when(F.col("product_id") % 50 != 0, F.col("units_sold"))
+    rows = t.sales(spark, sf_dir).withColumn("date", dated).withColumn("units_sold", counted)
+    return arima.forecast_demand(rows, t.TIEBREAK)
 
 
 @register(

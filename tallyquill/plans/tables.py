@@ -13,12 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Use every core for costly per-row work when a scan has fewer splits than cores.
-
-    Only for plain scans; an input of many splits is returned as it is, unshuffled.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """Deal rows over as many tasks as the session setting ``spark.tallyquill.spread`` says,
+    for tables that are one split; without the setting a scan keeps its splits."""
+    tasks = rows.sparkSession.conf.get("spark.tallyquill.spread", None)
+    return rows.repartition(int(tasks)) if tasks else rows
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import functions as F
 
 from tallyquill.functions import naming
@@ -9,6 +10,7 @@ from tallyquill.functions.embedding import scaled
 from tallyquill.operators import answers, nearest, store
 from tallyquill.plans import tables as t
 from tallyquill.plans.registry import Registry, with_
+from tallyquill.session import fresh_path
 
 register = Registry()
 
@@ -147,22 +149,23 @@ def embed_chunks(spark, sf_dir):
 
 @register(
     "embed_retry_failures",
-    """SELECT doc_id AS id, CASE WHEN length(text) % 5 <> 0 THEN length(text) * 1000000 || ',' || n.spaces * 1000000 END AS embedding,
-    CASE WHEN length(text) % 5 = 0 THEN 'ValueError: refused' END AS error,
-    CAST(CASE WHEN length(text) % 5 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts
-    FROM documents, LATERAL (SELECT length(text) - length(replace(text, ' ', '')) AS spaces) n""",
+    with_(QUESTIONS)
+    + """SELECT qid, CASE WHEN w > 0 THEN w * 1000000 || ',' || length(question) * 1000000 END AS embedding,
+    CASE WHEN w = 0 THEN 'ValueError: no words' END AS error, CAST(CASE WHEN w = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts
+    FROM (SELECT *, len(list_filter(regexp_split_to_array(question, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM questions)""",
 )
 def embed_retry_failures(spark, sf_dir):
-    """A model that refuses some texts for good: those rows stay, with their error."""
+    """Questions without a word cannot be embedded: their rows stay, with the error."""
+    called = store.embed_with_retry(questions(spark, sf_dir).withColumnRenamed("question", "text"), word_counts, wait_seconds=0.0)
+    return called.select("qid", scaled(F.col("embedding")).alias("embedding"), "error", "attempts")
 
-    def model(text):
-        if len(text) % 5 == 0:
-            raise ValueError("refused")
-        return [float(len(text)), float(text.count(" "))]
 
-    docs = t.spread(t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    called = store.embed_with_retry(docs, model, wait_seconds=0.0)
-    return called.select("id", scaled(F.col("embedding")).alias("embedding"), "error", "attempts")
+def word_counts(text):
+    """A model as a plain function: number of words and of characters."""
+    words = sum(1 for _ in regex.finditer(r"[\p{L}\p{N}]+", text))
+    if not words:
+        raise ValueError("no words")
+    return [float(words), float(len(text))]
 
 
 def deliveries(spark, sf_dir):
@@ -178,6 +181,13 @@ def deliveries(spark, sf_dir):
     return old.drop("n_chars"), new.withColumn("text", revised).drop("n_chars")
 
 
+def stored_at(spark, rows):
+    """Write rows as a new store; its folder."""
+    path = fresh_path(spark, "store")
+    store.create(rows, path)
+    return path
+
+
 DELIVERIES = """base AS (SELECT source AS collection, doc_id, source || '/' || lang AS source, text, n_chars,
     source || '_chunk_' || doc_id AS id FROM documents),
 old AS (SELECT * EXCLUDE (n_chars), 1 AS version FROM base WHERE n_chars < 2000),
@@ -187,7 +197,10 @@ new AS (SELECT collection, doc_id, source, CASE WHEN n_chars < 500 THEN 'revised
 
 @register("vector_append", with_(DELIVERIES) + "SELECT * FROM old UNION ALL SELECT * FROM new")
 def vector_append(spark, sf_dir):
-    return store.append(*deliveries(spark, sf_dir))
+    old, new = deliveries(spark, sf_dir)
+    path = stored_at(spark, old)
+    store.add(new, path)
+    return store.read(spark, path, old.schema)
 
 
 @register(
@@ -198,7 +211,9 @@ def vector_append(spark, sf_dir):
 )
 def vector_upsert(spark, sf_dir):
     old, new = deliveries(spark, sf_dir)
-    return store.upsert(old, new, ["id"], [F.col("version")])
+    path = stored_at(spark, old)
+    store.upsert_into(store.read(spark, path, old.schema), path, new, ["id"], [F.col("version")])
+    return store.read(spark, path, old.schema)
 
 
 @register(
@@ -218,8 +233,10 @@ def sink_chunks_skip_existing(spark, sf_dir):
 def vector_delete_source(spark, sf_dir):
     gone = t.table(spark, sf_dir, "supplier").where("s_acctbal < 0")
     names = gone.select(F.concat(F.lit("doc_"), F.col("s_suppkey").cast("string")).alias("source"))
-    kept = store.delete_sources(vectors(spark, sf_dir), names)
-    return kept.select("collection", "id", "source", "text")
+    rows = vectors(spark, sf_dir)
+    path = stored_at(spark, rows)
+    store.delete_sources_in(store.read(spark, path, rows.schema), path, names)
+    return store.read(spark, path, rows.schema).select("collection", "id", "source", "text")
 
 
 @register(
@@ -228,7 +245,10 @@ def vector_delete_source(spark, sf_dir):
     + "SELECT * FROM old WHERE source NOT IN (SELECT source FROM new) UNION ALL SELECT * FROM new",
 )
 def stale_tail_cleanup(spark, sf_dir):
-    return store.replace_sources(*deliveries(spark, sf_dir))
+    old, new = deliveries(spark, sf_dir)
+    path = stored_at(spark, old)
+    store.replace_sources_in(store.read(spark, path, old.schema), path, new)
+    return store.read(spark, path, old.schema)
 
 
 COPIES = """chunks AS (SELECT lang AS collection, doc_id, source, text, md5(text) AS content_id FROM documents)"""
@@ -271,7 +291,7 @@ def dedup_content_stored(spark, sf_dir):
     "dedup_nearest",
     with_(STORE)
     + """SELECT id AS doc_id, source, collection FROM store
-    QUALIFY row_number() OVER (PARTITION BY coalesce(CAST(embedding AS VARCHAR), md5(text)) ORDER BY id) = 1""",
+    QUALIFY row_number() OVER (PARTITION BY collection, coalesce(CAST(embedding AS VARCHAR), md5(text)) ORDER BY id) = 1""",
 )
 def dedup_nearest(spark, sf_dir):
     docs = t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -287,7 +307,9 @@ def dedup_nearest(spark, sf_dir):
 
 @register("vector_get", with_(VECTORS) + "SELECT id, text, source FROM vectors WHERE collection = '3'")
 def vector_get(spark, sf_dir):
-    return store.get(vectors(spark, sf_dir), "3", ["text", "source"])
+    rows = vectors(spark, sf_dir)
+    stored = store.read(spark, stored_at(spark, rows), rows.schema)
+    return store.get(stored, "3", ["text", "source"])
 
 
 @register(
@@ -440,12 +462,9 @@ def qa_canned_answers(spark, sf_dir):
     )
 
 
-LISTING = "listing AS (SELECT string_agg('- ' || source, chr(10) ORDER BY source) AS listing FROM (SELECT DISTINCT source FROM {0}))"
-
-
 @register(
     "qa_list_sources",
-    with_(VECTORS, LISTING.format("vectors")) + "SELECT 0::BIGINT AS part, listing FROM listing",
+    with_(VECTORS) + "SELECT DISTINCT '- ' || source AS line FROM vectors",
 )
 def qa_list_sources(spark, sf_dir):
     return answers.source_listing(vectors(spark, sf_dir))
@@ -493,7 +512,7 @@ SHOWN = f"""shown AS (SELECT qid, string_agg(rank || '. ' || {ONE_SOURCE} || chr
 REVIEWED = f"""reviewed AS (SELECT qid, route, 'Answer:' || chr(10) || coalesce(answer, {_quoted(answers.UNKNOWN)}) || chr(10) || chr(10)
     || 'Sources:' || chr(10) || coalesce(lines, 'None') AS formatted,
   CASE WHEN bullets IS NOT NULL THEN 'Answer:' || chr(10) || answer || chr(10) || chr(10) || 'Sources:' || chr(10) || bullets
-    ELSE 'No relevant information found.' END AS bulleted
+    ELSE {_quoted(answers.NOTHING_RELEVANT)} END AS bulleted
   FROM (SELECT * FROM routed WHERE route = 'database') LEFT JOIN best USING (qid) LEFT JOIN shown USING (qid))"""
 
 
@@ -520,10 +539,11 @@ def qa_personalize(spark, sf_dir):
 
 @register(
     "qa_end_to_end",
-    with_(*HITS, BEST, SHOWN, REVIEWED, LISTING.format("store"))
-    + f"""SELECT qid, route, 0::BIGINT AS part, formatted FROM reviewed
-    UNION ALL SELECT qid, route, 0, {REPLY_SQL} FROM routed WHERE route = 'casual'
-    UNION ALL SELECT qid, route, 0, 'Available Sources:' || chr(10) || listing FROM routed, listing WHERE route = 'sources'""",
+    with_(*HITS, BEST, SHOWN, REVIEWED)
+    + f"""SELECT qid, route, formatted FROM reviewed
+    UNION ALL SELECT qid, route, {REPLY_SQL} FROM routed WHERE route = 'casual'
+    UNION ALL SELECT qid, route, {_quoted(answers.LISTING_INTRO)} || (SELECT count(DISTINCT source) FROM store)
+    FROM routed WHERE route = 'sources'""",
 )
 def qa_end_to_end(spark, sf_dir):
     return answers.answer_all(questions(spark, sf_dir), document_store(spark, sf_dir))

@@ -54,7 +54,15 @@ def append_audit(module: str, result: DataFrame, path: str) -> None:
 
 
 def append_history(forecasts: DataFrame, path: str, created_at: Column | None = None) -> None:
-    """Add one row per product to the forecast history, partitioned by day."""
+    """Add one row per product to the forecast history, partitioned by year."""
     stamp = F.current_timestamp() if created_at is None else created_at
     stamped = forecasts.withColumn("created_at", stamp)
-    stamped.withColumn("created_on", F.to_date("created_at")).write.mode("append").partitionBy("created_on").parquet(path)
+    stamped.withColumn("created_year", F.year("created_at")).write.mode("append").partitionBy("created_year").parquet(path)
+
+
+def read_malformed(spark: SparkSession, path: str, schema: str = SALES_SCHEMA) -> DataFrame:
+    """The lines of a sales file that do not fit the schema, as they are."""
+    corrupt = "malformed"
+    reader = spark.read.schema(f"{schema}, {corrupt} STRING").option("header", "true")
+    rows = reader.option("columnNameOfCorruptRecord", corrupt).csv(path)
+    return rows.where(F.col(corrupt).isNotNull())

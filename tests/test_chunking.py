@@ -155,3 +155,18 @@ def test_all_modes_equal_single_modes(spark):
         "page_chunks": 2, "paragraph_chunks": 2, "sentence_chunks": 3, "table_chunks": 2, "fixed_size_chunks": 2,
         "keyword_chunks": 1, "visual_chunks": 2, "section_chunks": 3, "semantic_chunks": 3,
     }
+
+
+def test_sections_may_hold_any_character(spark):
+    frame = spark.createDataFrame([(1, "a\x01b Section 1 c Chapter 12Section 3")], "doc_id bigint, text string")
+    found = [r.text for r in chunking.chunk_sections(frame).orderBy("chunk_index").collect()]
+    assert found == ["a\x01b", "Section 1", "c", "Chapter 12", "", "Section 3", ""]
+
+
+def test_semantic_chunks_of_an_embedder_of_another_width(spark):
+    frame = spark.createDataFrame([(1, "aa.bbbb.?!.cc"), (2, "?")], "doc_id bigint, text string")
+    embed = lambda text: F.when(text.rlike("[a-z]"), F.array(F.length(text).cast("double"), F.lit(1.0), F.lit(0.0)))
+    found = semantic.chunk_semantic(frame, k=2, embed=embed)
+    rows = sorted((r.doc_id, r.chunk_index, r.text) for r in found.collect())
+    assert [r[0] for r in rows] == [1, 1, 2]
+    assert sorted("\n".join(r[2] for r in rows[:2]).split("\n")) == ["?!", "aa", "bbbb", "cc"]

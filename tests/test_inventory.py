@@ -162,3 +162,17 @@ def test_forecast_models(spark):
     assert arima.forecast_demand(frame, ["seq"], "arima").columns == ["product_id", "arima_forecast"]
     with pytest.raises(ValueError):
         arima.forecast_demand(frame, ["seq"], "other")
+
+
+def test_both_forecasts_keep_every_product(spark):
+    """Rows without a date count for the mean; a product without units has a row."""
+    frame = sales(spark, (0, 1, "A", 10.0, 1), (1, 1, "A", 12.0, 1), (2, 1, "A", 11.0, 1), (None, 1, "A", 1000.0, 1), (3, 2, "A", None, 1))
+    rows = {r.product_id: (r.poisson_forecast, r.arima_forecast is None) for r in arima.forecast_demand(frame, ["seq"]).collect()}
+    assert rows == {1: (258, False), 2: (None, True)}
+
+
+def test_matrix_shows_warehouses_that_are_not_listed(spark):
+    frame = sales(spark, (0, 1, "w1", 2.0, 1), (1, 1, "w9", 7.0, 1))
+    dim = spark.createDataFrame([("w1",), (None,)], "warehouse string")
+    row = inventory.demand_matrix(frame, inventory.warehouse_names(dim)).first()
+    assert (row["w1"], row["unlisted"]) == (2.0, 7.0)

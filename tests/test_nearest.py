@@ -49,11 +49,11 @@ def points():
 
 
 @pytest.mark.parametrize("metric", nearest.METRICS)
-@pytest.mark.parametrize("travel_rows", [100, 2])
-def test_exact_search(spark, points, metric, travel_rows, monkeypatch):
-    monkeypatch.setattr(nearest, "TILE_ROWS", 60)
+@pytest.mark.parametrize("tile_rows", [8192, 60, 5])
+def test_exact_search(spark, points, metric, tile_rows, monkeypatch):
+    monkeypatch.setattr(nearest, "TILE_ROWS", tile_rows)
     q, v = frames(spark, *points)
-    found = nearest.nearest(q, v.repartition(3), k=4, metric=metric, travel_rows=travel_rows)
+    found = nearest.nearest(q, v.repartition(3), k=4, metric=metric, width=6)
     assert listed(found) == brute(*points, 4, metric)
     assert found.where("distance IS NULL OR isnan(distance)").count() == 0
 
@@ -85,6 +85,23 @@ def test_more_wanted_than_stored_and_empty_sides(spark):
     assert nearest.nearest(frames(spark, [None], [])[0], v).count() == 0
 
 
+def test_large_norms_keep_their_digits(spark):
+    base = np.full(4, 1e5)
+    q, v = frames(spark, [base], [base + 2e-3, base + [1e-3, 0, 0, 0], base, base + [0, 2e-3, 0, 0], base * 2])
+    found = nearest.nearest(q, v, k=4, width=4).orderBy("rank").collect()
+    assert [r.id for r in found] == ["v0002", "v0001", "v0003", "v0000"]
+    assert [r.distance for r in found] == pytest.approx([0.0, 1e-6, 4e-6, 1.6e-5], rel=1e-4)
+
+
+def test_many_queries_and_queries_without_vectors_behave_alike(spark):
+    many = spark.range(6000).selectExpr("id as qid", "array(cast(id % 7 as double), 1D) as embedding")
+    stored = spark.range(7).selectExpr("id", "array(cast(id as double), 1D) as embedding")
+    found = nearest.nearest(many, stored, k=1, width=2)
+    assert found.where("id = qid % 7 AND distance = 0").count() == 6000
+    none = many.withColumn("embedding", F.lit(None).cast("array<double>"))
+    assert nearest.nearest(none, stored, k=1, width=2).count() == 0
+
+
 def test_unknown_metric(spark):
     q, v = frames(spark, [[1]], [[1]])
     with pytest.raises(ValueError):

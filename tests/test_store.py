@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from tallyquill.operators import answers, store
@@ -28,6 +27,23 @@ def test_replace_removes_the_stale_tail(spark):
     assert ids(store.delete_sources(base, new)) == ["o_0"]
 
 
+def test_stored_table(spark, tmp_path):
+    path = str(tmp_path / "store")
+    base = chunks(spark, ("a", "1", "s", "old", 1), ("b", "2/x", "s", "old", 1), ("c", "3", "t", "old", 1))
+    store.create(base, path)
+    store.add(chunks(spark, ("d", "1", "u", "new", 1)), path)
+    current = lambda: store.read(spark, path, base.schema)
+    assert ids(store.get(current(), "1", ["text"])) == ["a", "d"]
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store" / "collection=3").iterdir()}
+    store.upsert_into(current(), path, chunks(spark, ("a", "1", "s", "newer", 2)), ["id"], [F.col("version")])
+    assert sorted((r.id, r.text) for r in current().collect()) == [("a", "newer"), ("b", "old"), ("c", "old"), ("d", "new")]
+    store.delete_sources_in(current(), path, spark.createDataFrame([("s",)], "source string"))
+    assert ids(current()) == ["c", "d"]
+    store.replace_sources_in(current(), path, chunks(spark, ("e", "4", "u", "new", 1)))
+    assert ids(current()) == ["c", "e"]
+    assert before == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store" / "collection=3").iterdir()}
+
+
 def test_dedup(spark):
     rows = [("a", "c", "s", "x y", 1), ("b", "c", "s", "x y", 1), ("c", "d", "s", "x y", 1), ("d", "c", "s", "y  X", 1), ("e", "c", "s", "?!", 1), ("f", "c", "s", "?!", 1)]
     frame = chunks(spark, *rows)
@@ -35,7 +51,7 @@ def test_dedup(spark):
     assert ids(kept) == ["a", "c", "d", "e"]
     assert ids(store.dedup_content(kept.drop("content_id"), ["id"])) == ["a", "c", "d", "e"]
     assert ids(store.dedup_content(frame, ["id"], kept.where("collection = 'd'"))) == ["a", "d", "e"]
-    assert ids(store.dedup_nearest(frame, ["id"])) == ["a", "e"]
+    assert ids(store.dedup_nearest(frame, ["id"])) == ["a", "c", "e"]
 
 
 def test_add_missing(spark):
@@ -94,25 +110,19 @@ def test_routes_and_replies(spark):
     assert tuple(replies[2]) == (None, None)
 
 
-@pytest.mark.parametrize("per_part, parts", [(100, 1), (3, 4)])
-def test_source_listing_is_whole(spark, per_part, parts):
+def test_source_listing_is_whole(spark):
     frame = chunks(spark, *((str(i), "c", f"s{i % 10}", "x", 1) for i in range(40))).repartition(3)
-    listing = answers.source_listing(frame, per_part).orderBy("part").collect()
-    assert len(listing) == parts
-    assert "\n".join(r.listing for r in listing) == "\n".join(f"- s{i}" for i in range(10))
+    assert sorted(r.line for r in answers.source_listing(frame).collect()) == [f"- s{i}" for i in range(10)]
+    assert answers.source_listing(frame.limit(0)).count() == 0
 
 
-def test_long_listing_is_answered_in_parts(spark):
+def test_every_question_has_one_row(spark):
     stored = store.embed(chunks(spark, *((str(i), "c", f"s{i}", "x", 1) for i in range(5))))
-    found = answers.answer_all(questions(spark, "list sources", "List sources", "hi"), stored, per_part=2)
-    rows = sorted((r.qid, r.part, r.formatted) for r in found.collect())
-    intro = "Available Sources:\n"
-    parts = [(0, intro + "- s0\n- s1"), (1, intro + "- s2\n- s3"), (2, intro + "- s4")]
-    assert rows == [(q, *part) for q in (0, 1) for part in parts] + [(2, 0, answers.REPLIES["hi"])]
-
-
-def test_empty_listing(spark):
-    assert answers.source_listing(chunks(spark).limit(0)).first()["listing"] == answers.NO_SOURCES
+    asked = questions(spark, "list sources", "List sources", "hi")
+    rows = sorted(tuple(r) for r in answers.answer_all(asked, stored).select("qid", "formatted").collect())
+    assert rows == [(0, "Available Sources: 5"), (1, "Available Sources: 5"), (2, answers.REPLIES["hi"])]
+    none = answers.answer_all(asked, stored.limit(0)).where("qid = 0").first()
+    assert none["formatted"] == answers.NO_SOURCES
 
 
 def test_answers(spark):
@@ -122,7 +132,7 @@ def test_answers(spark):
     assert rows[0].startswith("Answer:\nred apple\nsweet\n\nSources:\n1. s1\n - \nred apple\nsweet...\n\n\n2. s2\n - \nblue sea")
     assert rows[1] == "Answer:\nI don't know the answer to that.\n\nSources:\nNone"
     assert rows[2] == "Hello! How can I assist you today?"
-    assert rows[3] == "Available Sources:\n- s1\n- s2"
+    assert rows[3] == "Available Sources: 2"
 
 
 def test_other_embedders_are_not_compared(spark):

@@ -40,6 +40,19 @@ def test_html(spark):
     assert one(spark, tx.html_text(F.col("t")), t=page) == 'a &lt; b"c"'
 
 
+def test_sentences_may_hold_any_character(spark):
+    assert one(spark, tx.sentences(F.col("t")), t="a\x01b. c\x02! d") == ["a\x01b.", "c\x02!", "d"]
+
+
+def test_entities(spark):
+    from html import unescape
+
+    text = "&mdash; &#8217; &#x27; &euro; &#128; &#xD800; &#0; &AMP;lt; &none; & ; &lt &NotEqualTilde; &#x1F600;"
+    found = one(spark, tx.unescaped(F.col("t")), t=text)
+    # Without a semicolon, an entity stays as it is.
+    assert found == unescape(text.replace("&lt &", "&amp;lt &"))
+
+
 def test_html_tables(spark):
     page = "<table><tr><th>a</th><td>b &amp; c</td></tr><tr><td></td></tr></table><TABLE x=1><tr><td>d</td></tr></TABLE>"
     assert one(spark, tx.table_cells(F.col("t")), t=page) == [[["a", "b & c"], [""]], [["d"]]]
