@@ -1,11 +1,11 @@
-"""Column expressions and plan helpers that several operators share."""
+"""Column expressions that several operators share."""
 
 from __future__ import annotations
 
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters between words: white space, or everything ASCII but digits and letters.
@@ -27,16 +27,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all tasks, where the scan has fewer splits than the session has cores.
-
-    One split of a small table would otherwise keep one core busy. The rows, and all results,
-    stay the same.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
 def digest_bits(key: Column, digits: int, start: int = 1) -> Column:
     """Some hexadecimal digits of a key's MD5 as a number; a null key counts as "null"."""
     text = F.coalesce(key.cast("string"), F.lit("null"))

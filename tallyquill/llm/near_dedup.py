@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tallyquill.llm import tokens
 from tallyquill.llm.components import components
-from tallyquill.session import written
+from tallyquill.session import discard, written
 
 BANDS = 32
 ROWS = 4
@@ -231,7 +231,7 @@ def _groups(classes: DataFrame) -> DataFrame:
     buckets = _buckets(classes)
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     edges = buckets.join(shared.select("bucket", "least"), "bucket").where("rep <> least")
-    stars, _ = components(edges.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    stars, stars_path = components(edges.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     members = stars.select(F.col("a").alias("rep"), F.col("b").alias("group")).unionAll(
         stars.select(F.col("b").alias("rep"), F.col("b").alias("group")).distinct()
     )
@@ -240,6 +240,7 @@ def _groups(classes: DataFrame) -> DataFrame:
         ((F.sum("n") > GROUP_SHINGLES) | (F.count(F.lit(1)) > GROUP_CLASSES)).alias("large")
     )
     marked, _ = written(sized.join(totals, "group").select("rep", "n", "group", "large"), "groups")
+    discard(classes.sparkSession, stars_path)
     small = marked.where("not large").select("rep", F.struct(F.col("group").alias("k"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("key"))
     wide = _buckets(marked.where("large").select("rep").distinct().join(classes, "rep"), "n")
     blocks = wide.groupBy("bucket").agg(

@@ -22,7 +22,7 @@ from tallyquill.llm import (
     sharding,
     substring_dedup,
 )
-from tallyquill.llm.exprs import spread
+from tallyquill.plans.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyquill.llm import tokens
-from tallyquill.session import written
+from tallyquill.session import discard, written
 
 SIZE = 13
 PHRASE = 6
@@ -152,19 +152,47 @@ def _falling(n: int) -> np.ndarray:
 
 def _located(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches sorted by key -> runs of words (begin, end) under windows that a document
-    before the stretch's last one has. Automata hold whole keys, as many as fit."""
+    before the stretch's last one has. Automata hold whole keys, as many as fit. A stretch
+    that is alone under its key is a passage by itself: no other text holds its windows."""
     held: list[tuple] = []
-    key, size = None, 0
+    alone: list[tuple] = []
+    group: list[tuple] = []
+    size = 0
+
+    def close() -> None:
+        nonlocal size
+        if len(group) == 1:
+            alone.extend(group)
+        else:
+            held.extend(group)
+            size += sum(line[4].count(" ") + 1 for line in group)
+        group.clear()
+
     for batch in batches:
         columns = [batch.column(name).to_pylist() for name in ("key", "seg", "lo", "hi", "text")]
         for line in zip(*columns, strict=True):
-            if line[0] != key and size >= SHARD_WORDS:
-                yield _occurrences(held)
-                held, size = [], 0
-            key = line[0]
-            held.append(line)
-            size += line[4].count(" ") + 1
-    yield _occurrences(held)
+            if group and line[0] != group[0][0]:
+                close()
+                if size >= SHARD_WORDS or len(alone) >= SHARD_WORDS:
+                    yield from (_occurrences(held), _passages(alone))
+                    held, alone, size = [], [], 0
+            group.append(line)
+    close()
+    yield from (_occurrences(held), _passages(alone))
+
+
+_FOUND = pa.schema(
+    [("key", pa.int64()), ("seg", pa.int64()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())),
+     ("firsts", pa.list_(pa.int64()))]
+)
+
+
+def _passages(stretches: list[tuple]) -> pa.RecordBatch:
+    """Whole stretches that more than one document holds."""
+    rows = [(key, seg, [0], [text.count(" ") + 1], [lo]) for key, seg, lo, hi, text in stretches if lo < hi]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(_FOUND)], schema=_FOUND
+    )
 
 
 def _occurrences(stretches: list[tuple]) -> pa.RecordBatch:
@@ -200,8 +228,7 @@ def _occurrences(stretches: list[tuple]) -> pa.RecordBatch:
             if begins:
                 for name, value in zip(out, (key, seg, begins, ends, firsts), strict=True):
                     out[name].append(value)
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, kind in zip(out, kinds, strict=True)], list(out))
+    return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _FOUND], schema=_FOUND)
 
 
 def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,27 +290,31 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         )
     )
     candidates, _ = written(rows.join(lists, F.col("id") == F.col("of")).drop("of"), "candidates")
-    stretches, _ = written(candidates.mapInArrow(_stretches, _STRETCH), "stretches")
-    found = (
+    stretches, stretches_path = written(candidates.mapInArrow(_stretches, _STRETCH), "stretches")
+    found, found_path = written(
         stretches.where(F.col("text").isNotNull())
         .repartition("key")
         .groupBy("key", "seg", "text")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .sortWithinPartitions("key")
         .select("key", "seg", "lo", "hi", "text")
-        .mapInArrow(_located, "key long, seg long, begins array<int>, ends array<int>, firsts array<long>")
+        .mapInArrow(_located, "key long, seg long, begins array<int>, ends array<int>, firsts array<long>"),
+        "found",
     )
     earlier = F.filter(F.arrays_zip("begins", "ends", "firsts"), lambda x: x["firsts"] < F.col("id"))
     moved = lambda side: F.transform("runs", lambda x: F.col("start") + x[side]).alias(side)
-    runs = (
+    runs, _ = written(
         stretches.select("id", "h", "start", "key", "seg")
         .join(found, ["key", "seg"])
         .select("id", "h", "start", earlier.alias("runs"))
         .where(F.size("runs") > 0)
         .select("id", "h", moved("begins"), moved("ends"))
         .groupBy("id", "h")
-        .agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")])
+        .agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")]),
+        "runs",
     )
+    discard(docs.sparkSession, stretches_path)
+    discard(docs.sparkSession, found_path)
     covered = candidates.select("id", "h", "text").dropDuplicates(["id", "h"]).join(runs, ["id", "h"])
     return covered.mapInArrow(_cut, "id long, h long, n_removed long, kept string")
 
