@@ -292,12 +292,7 @@ RECURSIVE = {name: plan for name, plan in splitter.SPLIT_PLANS.items() if plan.r
 @register("chunk_recursive_overlap", "\nUNION ALL ".join(recursive_sql(name, plan) for name, plan in RECURSIVE.items()))
 def chunk_recursive_overlap(spark, sf_dir):
     """All recursive plans on the same documents, tagged with the plan."""
-    docs = documents(spark, sf_dir)
-    tagged = [splitter.chunk_overlap(docs, plan).withColumn("plan", F.lit(name)) for name, plan in RECURSIVE.items()]
-    result = tagged[0]
-    for other in tagged[1:]:
-        result = result.unionByName(other)
-    return result
+    return splitter.chunk_overlap_plans(documents(spark, sf_dir), RECURSIVE)
 
 
 def blanked_documents(spark, sf_dir):

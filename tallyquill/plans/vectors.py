@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyquill.functions import naming
 from tallyquill.functions.embedding import scaled
-from tallyquill.operators import answers, nearest, store
+from tallyquill.operators import answers, nearest, splitter, store
+from tallyquill.plans import documents as dp
 from tallyquill.plans import tables as t
 from tallyquill.plans.registry import Registry, with_
 from tallyquill.session import fresh_path
@@ -50,18 +51,34 @@ means AS (SELECT collection, i, round(avg(x), 6) AS mean FROM axes GROUP BY ALL)
 centres AS (SELECT collection AS qid, list(mean ORDER BY i) AS embedding FROM means GROUP BY collection)"""
 
 
-def document_store(spark, sf_dir):
-    """Whole documents as chunks with their built-in vectors."""
-    docs = t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    chunks = docs.select(
-        F.col("source").alias("collection"),
-        F.col("doc_id").alias("id"),
-        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"),
+CHUNK_PLAN = "recursive_1000_100"
+_CHUNKED: dict[tuple[str, str], str] = {}
+
+
+def embedded_chunks(spark, sf_dir):
+    """Chunks of all documents with their built-in vectors."""
+    docs = t.spread(t.table(spark, sf_dir, "documents").select(F.struct("source", "doc_id").alias("key"), "text"))
+    pieces = splitter.chunk_overlap(docs, splitter.SPLIT_PLANS[CHUNK_PLAN], "key")
+    source = F.concat("key.source", F.lit("/"), F.col("key.doc_id").cast("string"), F.lit(".txt"))
+    chunks = pieces.select(
+        F.col("key.source").alias("collection"),
+        naming.positional_id(source, F.col("chunk_index")).alias("id"),
+        source.alias("source"),
         "text",
     )
     return store.embed(chunks)
 
 
+def document_store(spark, sf_dir):
+    """The stored chunks: cut, embedded and written once per session and folder of tables, partitioned by
+    collection, and read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    rows = embedded_chunks(spark, sf_dir)
+    if key not in _CHUNKED:
+        _CHUNKED[key] = stored_at(spark, rows)
+    return store.read(spark, _CHUNKED[key], rows.schema)
+
+
 def hashed_sql(name, source, columns, text):
     """SQL twin of the built-in embedder."""
     return f"""{name}_tokens AS (SELECT {columns}, [('0x' || substr(md5(w), 1, 4))::INTEGER % 64
@@ -73,6 +90,12 @@ def hashed_sql(name, source, columns, text):
 
 
 STORE = hashed_sql(
+    "store",
+    f"({dp.recursive_sql(CHUNK_PLAN, splitter.SPLIT_PLANS[CHUNK_PLAN])}) JOIN (SELECT doc_id, source AS folder FROM documents) USING (doc_id)",
+    "folder AS collection, folder || '/' || doc_id || '.txt_chunk_' || chunk_index AS id, folder || '/' || doc_id || '.txt' AS source, text",
+    "text",
+)
+DOC_STORE = hashed_sql(
     "store",
     "documents",
     "source AS collection, doc_id AS id, source || '/' || doc_id || '.txt' AS source, text",
@@ -144,7 +167,7 @@ def shown(found):
     array_to_string([CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR) for x in embedding], ',') AS embedding FROM store""",
 )
 def embed_chunks(spark, sf_dir):
-    return document_store(spark, sf_dir).select("id", "embedder_id", scaled(F.col("embedding")).alias("embedding"))
+    return embedded_chunks(spark, sf_dir).select("id", "embedder_id", scaled(F.col("embedding")).alias("embedding"))
 
 
 @register(
@@ -289,7 +312,7 @@ def dedup_content_stored(spark, sf_dir):
 
 @register(
     "dedup_nearest",
-    with_(STORE)
+    with_(DOC_STORE)
     + """SELECT id AS doc_id, source, collection FROM store
     QUALIFY row_number() OVER (PARTITION BY collection, coalesce(CAST(embedding AS VARCHAR), md5(text)) ORDER BY id) = 1""",
 )
