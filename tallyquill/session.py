@@ -44,7 +44,7 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     driver happens to collect its garbage. Returns the table and its folder."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    before = spark.conf.get(SHUFFLE_CLEANUP)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
