@@ -74,6 +74,12 @@ def _offset(seed: str, source: Column) -> Column:
     return digest_bits(F.concat(F.lit(seed + "|"), F.coalesce(source, F.lit("null"))), 12) / float(16**12)
 
 
+def _before(count: str, keys: list[str], order: str) -> Column:
+    """The sum of a count over the rows of the same keys that come earlier."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(count).over(earlier), F.lit(0))
+
+
 def plan(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -100,15 +106,20 @@ def plan(
     blocks = rows.groupBy("source", "class", "block").agg(
         F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("size")).alias("words")
     )
-    # Per source, no more rows than size classes times blocks.
-    ordered = Window.partitionBy("source").orderBy("class", "block")
-    placed = blocks.select(
-        "*", F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    # A source has few size classes, and a class 4,096 blocks at most: each is summed on its own.
+    classes = blocks.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    shares = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    opened = (
+        classes.select("source", "class", _before("n", ["source"], "class").alias("first"))
+        .alias("c")
+        .join(shares.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
+        .select("c.*", "source_size", "target")
     )
-    shares = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    listed = placed.alias("b").join(shares.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select(
+    same = F.col("b.source").eqNullSafe(F.col("o.source")) & (F.col("b.class") == F.col("o.class"))
+    placed = blocks.withColumn("inside", _before("n", ["source", "class"], "block"))
+    listed = placed.alias("b").join(opened.alias("o"), same).select(
         F.col("b.source").alias("of_source"), F.col("b.class").alias("of_class"), F.col("b.block").alias("of_block"),
-        "before", "source_size", "target",
+        (F.col("first") + F.col("inside")).alias("before"), "source_size", "target",
     )
     earlier = (
         Window.partitionBy("source", "class", "block")
