@@ -29,6 +29,7 @@ MULTIPLIER = 2862933555777941757
 #: Hexadecimal digits of the digest that name a block: 4,096 blocks in each shard.
 BLOCK_DIGITS = 3
 KEY_DIGITS = 15
+FIRST_STEPS = 40
 
 
 def _next(high: Column, low: Column) -> tuple[Column, Column]:
@@ -79,8 +80,13 @@ def jump(key: Column, shards: int) -> Column:
         F.shiftright(key, 32).alias("high"),
         key.bitwiseAND(F.lit((1 << 32) - 1)).alias("low"),
     )
-    # Each step moves to a higher shard, so there are as many steps as shards at most.
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["shard"].cast("int"))
+    # Each step moves to a higher shard, so there are as many steps as shards at most; a walk has
+    # about log(shards) of them, and only one that is not done after FIRST_STEPS goes on.
+    walk = lambda state, steps: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, step)
+    ended = walk(start, min(shards, FIRST_STEPS))
+    if shards > FIRST_STEPS:
+        ended = let(ended, lambda s: F.when(s["next"] >= shards, s).otherwise(walk(s, shards)))
+    return ended["shard"].cast("int")
 
 
 def key_of(id: Column) -> Column:

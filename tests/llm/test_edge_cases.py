@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyquill.llm import (
     chat_format,
@@ -80,6 +81,22 @@ def test_grown_shards_only_take_rows_into_the_new_one(spark):
     assert max(counts) < 1.15 * min(counts)
 
 
+def test_jump_by_the_published_loop(spark):
+    def jump(key, shards):
+        b, j = -1, 0
+        while j < shards:
+            b = j
+            key = (key * 2862933555777941757 + 1) % (1 << 64)
+            j = int((b + 1) * float(1 << 31) / float((key >> 33) + 1))
+        return b
+
+    keys = [0, 1, 2, 41, (1 << 59) + 12345, (1 << 60) - 1, *range(1000, 1400)]
+    frame = spark.createDataFrame([(k,) for k in keys], "k long")
+    for shards in (1, 2, 16, 17, 1000):
+        found = frame.select("k", sharding.jump(F.col("k"), shards).alias("s")).collect()
+        assert [r["s"] for r in found] == [jump(r["k"], shards) for r in found]
+
+
 def test_license_scan(spark, docs, none):
     rows = rows_by_id(license_scan.scan(docs))
     assert sum(map(len, rows.values())) == len(DOCS)
