@@ -275,11 +275,12 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     joined by one space; ``h`` is the text's hash. Null ids are ``NO_ID``."""
     rows = _named(docs, id, text)
     hashes = rows.select("id", "text").mapInArrow(_hashes, "m long, id long")
-    shared = (
+    shared, shared_path = written(
         hashes.groupBy("m")
         .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.count(F.lit(1)) > HOT).alias("is_hot"))
         .where("lo < hi")
-        .select("m", "is_hot")
+        .select("m", "is_hot"),
+        "shared",
     )
     lists = (
         hashes.join(shared, "m")
@@ -290,6 +291,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         )
     )
     candidates, _ = written(rows.join(lists, F.col("id") == F.col("of")).drop("of"), "candidates")
+    discard(docs.sparkSession, shared_path)
     stretches, stretches_path = written(candidates.mapInArrow(_stretches, _STRETCH), "stretches")
     found, found_path = written(
         stretches.where(F.col("text").isNotNull())
