@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -16,6 +17,10 @@ NON_WORD = r"[^\p{L}\p{N}]+"
 
 # Named HTML entities with their semicolon, from the standard table.
 HTML_ENTITIES = {name: text for name, text in html5.items() if name.endswith(";")}
+# The names that are looked up first.
+COMMON_ENTITIES = (
+    "amp lt gt quot apos nbsp copy reg middot mdash ndash hellip laquo raquo lsquo rsquo ldquo rdquo euro"
+).split()
 ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 # What a number names that is no character, and the characters of Windows-1252
 # that pages write by their byte.
@@ -67,20 +72,27 @@ def _character(code: Column) -> Column:
     return F.coalesce(F.try_element_at(known, code), F.when(valid, plain), F.lit(NO_CHARACTER))
 
 
+def _table(entries: dict[str, str]) -> Column:
+    """A constant map; one literal, which Spark turns into the map while planning."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
 def unescaped(text: Column) -> Column:
     """Entities with a semicolon to their characters, once: numbers of both bases and all
     standard names. What is no entity stays as it is."""
-    named = F.create_map(*[x for k, v in HTML_ENTITIES.items() for x in (F.lit(k), F.lit(v))])
+    common = _table({name: HTML_ENTITIES[name + ";"] for name in COMMON_ENTITIES})
+    named = _table(HTML_ENTITIES)
 
     def decoded(entity: Column) -> Column:
         """Of the text between ``&`` and ``;``."""
-        low = F.lower(entity)
-        number = F.when(low.startswith("#x"), F.conv(F.substring(entity, 3, 6), 16, 10)).when(
-            low.startswith("#"), F.substring(entity, 2, 7)
+        number = F.when(entity.rlike("^#[xX]"), F.conv(F.substring(entity, 3, 6), 16, 10)).otherwise(
+            F.substring(entity, 2, 7)
+        )
+        other = F.coalesce(
+            F.try_element_at(named, F.concat(entity, F.lit(";"))), F.concat(F.lit("&"), entity, F.lit(";"))
         )
-        name = F.try_element_at(named, F.concat(entity, F.lit(";")))
-        whole = F.concat(F.lit("&"), entity, F.lit(";"))
-        return F.when(number.isNotNull(), _character(number.cast("int"))).otherwise(F.coalesce(name, whole))
+        coded = F.when(entity.startswith("#"), _character(number.cast("int"))).otherwise(other)
+        return F.coalesce(F.try_element_at(common, entity), coded)
 
     between = F.split(text, ENTITY)
     found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)), decoded)
