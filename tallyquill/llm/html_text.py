@@ -2,7 +2,7 @@
 
 A tree is built from the markup with the tags that HTML implies (a paragraph ends where a block
 begins, a list item where the next one does, cells and rows likewise). The tree is
-then laid out: hidden parts are left out, white space collapses except in ``pre``, blocks start
+then laid out: hidden parts are left out, white space collapses except in ``pre`` and ``textarea``, blocks start
 on lines of their own with blank lines where browsers leave a margin, lists are marked and indented,
 and the cells of a table stand in aligned columns. All visible text is put out, menus and
 advertisements included; choosing among it is another operator's work.
@@ -10,7 +10,8 @@ advertisements included; choosing among it is another operator's work.
 Defined results. A null or empty page gives an empty text. Markup that never ends is dropped from
 its last ``<`` on, as browsers do. Nesting of any depth is walked without recursion. Cells
 are padded up to ``WIDEST`` characters, longer ones are whole but unpadded, so a table's
-text grows with its content. Repeated rows get equal texts, an empty table an empty result;
+text grows with its content. A quote opens a value only straight after ``=``; anywhere else in a
+tag it is a plain character and the tag ends at ``>``. Repeated rows get equal texts, an empty table an empty result;
 columns besides id and html are not looked at.
 """
 
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "audio canvas datalist dialog embed head iframe math noembed noframes noscript object rp script style svg "
-    "template textarea title video".split()
+    "annotation annotation-xml audio canvas datalist dialog embed head iframe mphantom noembed noframes noscript "
+    "object rp script style svg template title video".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form "
@@ -57,8 +58,13 @@ CLOSES = {
 WIDEST = 80
 
 _COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.DOTALL)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_EQUALS = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"
+_VALUE = r""""[^"]*+"|'[^']*+'|[^ \t\n\r\f"'>][^ \t\n\r\f>]*+|(?=>)"""
+_TAG = re.compile(
+    rf"<(/?)([a-zA-Z][^ \t\n\r\f/>]*)((?:[ \t\n\r\f/]++|{_NAME}(?:{_EQUALS}(?:{_VALUE})|(?!{_EQUALS})))*+)>"
+)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_EQUALS}({_VALUE}|\Z))?+")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -168,7 +174,10 @@ def build(html: str) -> Node:
         if tag in RAW:
             stop = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(html, at)
             last = stop.start() if stop else end
-            open_nodes[-1].children.append(html[at:last] if tag in HIDDEN else unescape(html[at:last]))
+            raw = html[at:last]
+            if tag == "textarea":
+                raw = re.sub(r"\A\r?\n", "", raw)
+            open_nodes[-1].children.append(raw if tag in HIDDEN else unescape(raw))
             cut(len(open_nodes) - 1)
             after = html.find(">", last)
             at = end if after < 0 else after + 1
@@ -276,6 +285,9 @@ def render(html: str | None) -> str:
                 continue
             if pre:
                 first, *others = node.replace("\r\n", "\n").split("\n")
+                if box.blank and box.line:
+                    box.line.append(" ")
+                box.blank = False
                 box.line.append(first)
                 for line in others:
                     box.emit("".join(box.line))
@@ -350,7 +362,7 @@ def render(html: str | None) -> str:
         elif tag in BLOCK:
             box.end_block(tag in SPACED)
         work.append((node, visible, pre, True))
-        inner = pre + (tag == "pre")
+        inner = pre + (tag in ("pre", "textarea"))
         work.extend((child, visible, inner, False) for child in reversed(node.children))
     box.end_line()
     return "\n".join(box.lines).strip("\n")

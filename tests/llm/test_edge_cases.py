@@ -166,6 +166,28 @@ def test_html(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<table><tr><td width="100"">first</td><td>second</td></tr></table><p>rest of the page</p>',
+         "first | second\n\nrest of the page"),
+        ("<p class=it's>Hello</p><p>World</p>", "Hello\n\nWorld"),
+        ('<p><a href=foo" class=x>link</a> and "quoted" text</p><p>end</p>', 'link and "quoted" text\n\nend'),
+        ("<p 'a>b</p><p\">c</p>d", "b\n\nc\n\nd"),
+        ('<p title="a > b" class=\'c > d\'>kept</p>', "kept"),
+        ('<p width="1"" hidden>gone</p><p title="hidden">shown</p><p x= hidden>also</p><p a=>last</p>',
+         "shown\n\nalso\n\nlast"),
+        ("<p =hidden>a</p><img/src='x>y'/>b", "a\n\nb"),
+        ("a<p title='never closed>b</p>", "a"),
+        ("Note: <textarea rows=2>\n1 &lt; 2\n  <b>two</b></textarea> sent", "Note: 1 < 2\n  <b>two</b> sent"),
+        ("<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math> holds</p>",
+         "so x=1 holds"),
+    ],
+)
+def test_html_stray_quotes_and_visible_controls(html, text):
+    assert html_text.render(html) == text
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame(
         [(1, "The cat, and THE dog sat on a mat with!"), (2, None), (3, ""), (None, "é"), (4, "word9")],
