@@ -3,8 +3,10 @@
 Each licence notice below is a template. The index holds, for the rarest words of every
 template, their places in it. A document looks its own words up in this index; each hit
 proposes a template and the place where it would start (document place minus template place).
-A proposal holds if the template's mandatory phrase stands at its place and the rare words
-found where they belong carry at least half of the template's weight.
+A proposal holds if the template's mandatory phrase stands at its place. Its share is the weight
+of the rare words found where they belong, and half of the template's weight at least: the phrase
+alone suffices, whatever stands around it. (The SQL counterpart has no such floor: it leaves out
+``epl`` and ``mpl`` where less than half of the weight is found.)
 
 Everything happens inside one projection: the index is a constant of the query, and each
 document is looked at alone, so there is no shuffle, and no document meets another one.
@@ -60,7 +62,7 @@ NOTICES = (
      "this is free and unencumbered software released into the public domain"),
 )
 
-#: Rare words that the index keeps for each template, and the share of their weight to find.
+#: Rare words that the index keeps for each template, and the share that a verified phrase has at least.
 RARE = 4
 LEAST_SHARE = 0.5
 
@@ -168,12 +170,12 @@ def _verified(words: Column) -> Column:
             for word, place, w in template.rare:
                 weight = weight + F.when(F.get(words, x["start"] + place) == word, w).otherwise(0)
             here = (x["template"] == number) & _stands(words, template.key, x["start"] + template.key_at)
-            share = F.when(here, weight / F.lit(template.total)).otherwise(share)
+            found = F.greatest(weight / F.lit(template.total), F.lit(LEAST_SHARE))
+            share = F.when(here, found).otherwise(share)
             label = F.when(here, F.lit(template.label)).otherwise(label)
         return F.struct(label.alias("label"), share.alias("share"))
 
-    checked = F.transform(_proposals(words), check)
-    return F.filter(checked, lambda x: x["label"].isNotNull() & (x["share"] >= LEAST_SHARE))
+    return F.filter(F.transform(_proposals(words), check), lambda x: x["label"].isNotNull())
 
 
 def _joined(labels: Column) -> Column:
@@ -184,7 +186,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, places of base phrases, labels and score.
 
     ``score`` is the largest share of a template's weight found for it, 0.5 for a document
-    with base phrases alone, and 0 without labels.
+    with base or mandatory phrases alone, and 0 without labels.
     """
     column = F.col(text)
     none = F.struct(

@@ -123,6 +123,40 @@ def test_license_notices_find_their_own_label(spark):
         assert rows[i][0]["score"] == 1.0
 
 
+#: Short notices as they stand in files, none of them a template.
+SHORT_NOTICES = (
+    ("agpl", "Licensed under the Affero General Public License, v3."),
+    ("apache-2.0", "SPDX: Apache License, Version 2.0"),
+    ("bsd", "Redistribution and use in source and binary forms is allowed."),
+    ("cc-by-nc", "Photo: CC BY-NC 3.0"),
+    ("cc-by-nd", "Photo: CC BY-ND 3.0"),
+    ("cc-by-sa", "Text is CC BY-SA."),
+    ("cc0", "Data: CC0 1.0"),
+    ("epl", "Licensed under the Eclipse Public License 2.0"),
+    ("gpl-2.0", "Covered by the General Public License version 2 or later"),
+    ("gpl-3.0", "GNU General Public License version 3"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software is granted"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("mit", "MIT License"),
+    ("mit-notice", "Permission is hereby granted, free of charge, to everyone"),
+    ("mpl", "Licensed under the Mozilla Public License 2.0"),
+    ("unlicense", "This was released into the public domain."),
+)
+
+
+def test_license_phrases_alone_find_their_label(spark):
+    assert [label for label, _ in SHORT_NOTICES] == [label for label, _, _ in license_scan.NOTICES]
+    texts = [text for _, text in SHORT_NOTICES] + [phrase for _, phrase, _ in license_scan.NOTICES]
+    rows = rows_by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i in range(len(texts)):
+        label = license_scan.NOTICES[i % len(license_scan.NOTICES)][0]
+        assert label in rows[i][0]["labels"].split(",")
+        assert 0.5 <= rows[i][0]["score"] <= 1.0
+    near = ["Mozilla Public Licenses", "the eclipse of public license", "subject to the terms of the mozilla licence"]
+    rows = rows_by_id(license_scan.scan(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")))
+    assert all(rows[i][0]["labels"] == "" and rows[i][0]["score"] == 0.0 for i in range(len(near)))
+
+
 def test_quality_rules(docs, none):
     rows = rows_by_id(quality_rules.judge(docs))
     assert sum(map(len, rows.values())) == len(DOCS)
