@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyquill.operators import nearest
+from tallyquill.plans import vectors as plans
 
 
 def frames(spark, queries, vectors):
@@ -119,3 +120,20 @@ def test_approximate_recall(spark):
     assert hits >= 0.9 * 5 * len(exact)
     whole = nearest.nearest_approx(q, v, k=5, cells=8, probes=8)
     assert listed(whole) == exact
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_the_registered_search(spark, size):
+    sf_dir = f"/root/testdata/{size}"
+    stored = plans.vectors(spark, sf_dir)
+    exact = listed(nearest.nearest(plans.approx_queries(spark, sf_dir), stored))
+    near = listed(plans.knn_approx(spark, sf_dir))
+    rows = {q for q in exact if q.startswith("vec_")}
+    assert len(rows) == stored.where("id % 100 = 0").count() > 0 and len(exact) > len(rows)
+    for asked in (rows, set(exact) - rows):
+        # A row finds itself, so that only its other neighbours count.
+        true = {q: {i for i in exact[q] if f"vec_{i}" != q} for q in asked}
+        hits = sum(len(true[q] & set(near.get(q, []))) for q in asked)
+        wanted = sum(map(len, true.values()))
+        print(f"recall {size}, {len(asked)} queries: {hits} of {wanted}")
+        assert hits >= 0.9 * wanted
