@@ -11,8 +11,9 @@ blocks (source, size class, leading digits of the digest): no more than one bloc
 sorted in one task, so a source with most of the rows is spread over many.
 
 Defined results. A null source is a source of its own, the last in order. A null or empty text
-has size 0 and takes no words. A table without words has targets of 0. Rows with equal id
-and size are interchangeable. Whole texts are measured. Columns besides id, text and
+has size 0 and takes no words. A table without words has targets of 0. Rows with equal source, id
+and size stand next to each other in the order, by a digest of the whole row in ``mix``, and each has
+copies of its own. Whole texts are measured. Columns besides id, text and
 source are not looked at by ``plan``; ``mix`` returns the rows with their own columns.
 """
 
@@ -30,6 +31,8 @@ SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
 BLOCK_DIGITS = 3
+#: Parts in which rows of equal source, id and size are numbered.
+PARTS = 256
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -80,28 +83,16 @@ def _before(count: str, keys: list[str], order: str) -> Column:
     return F.coalesce(F.sum(count).over(earlier), F.lit(0))
 
 
-def plan(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    share: float = SHARE,
-    most: float = MOST,
-    seed: str = SEED,
-    id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-) -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, copies, taken."""
+def _sized(docs: DataFrame, id: str, text: str, source: str, *more: Column) -> DataFrame:
+    size = F.size(split_words(F.col(text))).cast("long")
+    return docs.select(F.col(source).alias("source"), F.col(id).alias("id"), size.alias("size"), *more)
+
+
+def _groups(counted: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: str) -> DataFrame:
+    """source, id, size, rows -> also source_size, target, rate, offset and the rank of the first of the rows."""
     digest = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    rows = (
-        docs.select(
-            F.col(id).alias("id"),
-            F.col(source).alias("source"),
-            F.size(split_words(F.col(text))).cast("long").alias("size"),
-        )
-        .groupBy("source", "id", "size")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select("*", _size_class(F.col("size")).alias("class"), digest.alias("digest"))
-        .withColumn("block", F.substring("digest", 1, BLOCK_DIGITS))
+    rows = counted.select("*", _size_class(F.col("size")).alias("class"), digest.alias("digest")).withColumn(
+        "block", F.substring("digest", 1, BLOCK_DIGITS)
     )
     blocks = rows.groupBy("source", "class", "block").agg(
         F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("size")).alias("words")
@@ -127,7 +118,6 @@ def plan(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    crossed = lambda rank: F.floor(rank * F.col("rate") + F.col("offset"))
     return (
         rows.join(
             listed,
@@ -136,9 +126,32 @@ def plan(
             & (F.col("block") == F.col("of_block")),
         )
         .withColumn("rank", F.col("before") + F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-        .withColumn("rank", F.explode(F.sequence(F.col("rank"), F.col("rank") + F.col("rows") - 1)))
         .select("*", rate.alias("rate"), _offset(seed, F.col("source")).alias("offset"))
-        .withColumn("copies", (crossed(F.col("rank") + 1) - crossed(F.col("rank"))).cast("long"))
+    )
+
+
+def _copies() -> Column:
+    """Whole numbers that the stretch of a rank crosses."""
+    crossed = lambda rank: F.floor(rank * F.col("rate") + F.col("offset"))
+    return (crossed(F.col("rank") + 1) - crossed(F.col("rank"))).cast("long")
+
+
+def plan(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    seed: str = SEED,
+    id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """One row per row of ``docs``: id, source, size, source_size, target, copies, taken."""
+    counted = _sized(docs, id, text, source).groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("rows"))
+    return (
+        _groups(counted, weights, share, most, seed)
+        .withColumn("rank", F.explode(F.sequence(F.col("rank"), F.col("rank") + F.col("rows") - 1)))
+        .withColumn("copies", _copies())
         .select(
             F.col("id").alias(id),
             F.col("source").alias(source),
@@ -151,15 +164,47 @@ def plan(
     )
 
 
-def mix(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    seed: str = SEED,
+    id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the plan says, with its own columns.
 
-    Rows that share an id are repeated alike, by the rounded mean of their copies.
+    Rows of equal source, id and size are numbered, and each takes the copies of its own rank. The
+    numbers are counted inside parts of them, so that many rows with a null id are no single task.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    copies = plan(docs, id=id, **options).groupBy(F.col(id).alias("of_id")).agg(
-        F.round(F.avg("copies")).cast("int").alias("copies")
+    # Rows with maps cannot be hashed by these; they are told apart by their other columns.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    digest = F.xxhash64(*hashed)
+    rows = _sized(docs, id, text, source, whole.alias("row"), digest.alias("digest")).select(
+        F.struct("source", "id", "size").alias("of"), F.pmod("digest", F.lit(PARTS)).alias("part"), "digest", "row"
+    )
+    parts = rows.groupBy("of", "part").agg(F.count(F.lit(1)).alias("n"))
+    counted = parts.groupBy("of").agg(F.sum("n").alias("rows")).select("of.*", "rows")
+    first = _groups(counted, weights, share, most, seed).select(
+        F.struct("source", "id", "size").alias("of"), "rank", "rate", "offset"
+    )
+    placed = (
+        parts.withColumn("inside", _before("n", ["of"], "part"))
+        .join(first, "of")
+        .select(
+            F.col("of").alias("of_rows"), F.col("part").alias("of_part"),
+            (F.col("rank") + F.col("inside")).alias("first"), "rate", "offset",
+        )
+    )
+    number = F.row_number().over(Window.partitionBy("of", "part").orderBy("digest")) - 1
+    ranked = (
+        rows.withColumn("number", number)
+        .join(placed, (F.col("of") == F.col("of_rows")) & (F.col("part") == F.col("of_part")))
+        .select("row", (F.col("first") + F.col("number")).alias("rank"), "rate", "offset")
+        .select("row", _copies().cast("int").alias("copies"))
     )
-    rows = docs.select(whole.alias("row")).join(copies, F.col(f"row.`{id}`").eqNullSafe(F.col("of_id")))
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return rows.where(F.col("copies") > 0).select("row", times.alias("time")).select("row.*")
+    return ranked.where(F.col("copies") > 0).select("row", times.alias("time")).select("row.*")

@@ -275,6 +275,31 @@ def test_mixing(docs, none):
     assert mixing.plan(none).count() == mixing.mix(none).count() == 0
 
 
+def test_mix_takes_the_copies_of_the_plan(spark):
+    """Null and repeated ids: as many copies as planned of each source, size and id."""
+    texts = [(None, " ".join(["w"] * (5 + i % 3)) + f" x{i}", "a" if i < 240 else None) for i in range(300)]
+    texts += [(i % 10, f"one two three y{i}", "b") for i in range(200)] + [(7, "same same", "b")] * 50
+    texts += [(1000 + i, f"four words stand here{i}", "c") for i in range(400)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    for weights in ((3, 1, 2), (1, 8, 8)):
+        wanted, found = {}, {}
+        for r in mixing.plan(frame, weights=weights).collect():
+            key = (r["source"], r["doc_id"], r["size"])
+            wanted[key] = wanted.get(key, 0) + r["copies"]
+        mixed = mixing.mix(frame, weights=weights).collect()
+        for r in mixed:
+            key = (r["source"], r["doc_id"], len(r["text"].split()))
+            found[key] = found.get(key, 0) + 1
+        assert found == {key: n for key, n in wanted.items() if n}
+        rates = {r["source"]: r["target"] / r["source_size"] for r in mixing.plan(frame, weights=weights).collect()}
+        times = {}
+        for r in mixed:
+            times[(r["source"], r["text"])] = times.get((r["source"], r["text"]), 0) + 1
+        for _, text, source in set(texts):
+            if text != "same same":
+                assert abs(times.get((source, text), 0) - rates[source]) < 1
+
+
 def test_targets_share_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 900)], "source string, source_size long")
     found = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
