@@ -38,16 +38,16 @@ def discard_all(spark: SparkSession) -> None:
     discard(spark, shared_folder(spark))
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, label: str, **options: object) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: lineage is cut, and a lost executor
     loses nothing. Shuffle files of the write are removed when it is done, not when the
-    driver happens to collect its garbage. Returns the table and its folder."""
+    driver happens to collect its garbage. ``options`` are the writer's. Returns the table and its folder."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
