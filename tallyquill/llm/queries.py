@@ -11,16 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyquill.llm import (
+    centroid_clusters,
     chat_format,
     decontamination,
+    fill_middle,
     html_text,
     license_scan,
+    maxscore,
     mixing,
     near_dedup,
     quality_classifier,
     quality_rules,
     sharding,
     substring_dedup,
+    vectors,
 )
 from tallyquill.plans.tables import spread
 
@@ -376,3 +380,83 @@ near AS (
 @query("op10_near_dedup", f"WITH RECURSIVE {near_sql()} SELECT * FROM near")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents"))
+
+
+# --- 11: centroid clustering ----------------------------------------------------------------
+
+
+def integers_sql(scale: int) -> str:
+    """Vectors without null or non-finite components as lists of whole numbers."""
+    return f"""SELECT vec_id, [floor({scale} * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR isnan(x) OR abs(x::DOUBLE) >= {vectors.LARGEST / scale}::DOUBLE]) = 0"""
+
+
+def cluster_sql(k: int, rounds: int, width: int, scale: int, salt: int) -> str:
+    apart = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p.v, c.v)])::BIGINT"
+    steps = [
+        f"points AS MATERIALIZED ({integers_sql(scale)} AND len(embedding) = {width})",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v
+  FROM (SELECT sha256('{salt}:' || vec_id) AS h, v FROM points) ORDER BY c LIMIT {k})""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT p.id, vec_id, p.v, c.c, {apart} AS d FROM (SELECT *, row_number() OVER () AS id FROM points) p, c{n} c) GROUP BY id, vec_id)""")
+        steps.append(f"""c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{n} o LEFT JOIN (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v
+  FROM (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{n}, range(1, {width + 1}) r(i) GROUP BY c, i) GROUP BY c) m USING (c))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN (SELECT c, v FROM c{rounds}) f USING (c)"""
+
+
+CLUSTER_SQL = cluster_sql(
+    centroid_clusters.K, centroid_clusters.ROUNDS, centroid_clusters.WIDTH, centroid_clusters.SCALE, centroid_clusters.SALT
+)
+
+
+@query("op11_centroid_clusters", CLUSTER_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.digests(table(spark, sf_dir, "embeddings"))
+
+
+# --- 12: exact top-k search ----------------------------------------------------------------
+
+EVERY = 100
+
+SEARCH_SQL = f"""WITH points AS MATERIALIZED (SELECT *, row_number() OVER () AS n FROM ({integers_sql(maxscore.SCALE)})),
+scored AS (SELECT q.vec_id AS query_id, q.n, c.vec_id,
+  list_sum([coalesce(z[1], 0) * coalesce(z[2], 0) for z in list_zip(q.v, c.v)])::BIGINT AS score
+  FROM points q JOIN points c ON q.n <> c.n WHERE q.vec_id % {EVERY} = 0)
+SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= {maxscore.K}"""
+
+
+@query("op12_exact_top_k", SEARCH_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
+    return maxscore.search(asked, rows, own=True)
+
+
+# --- 13: fill in the middle ----------------------------------------------------------------
+
+FIM_SQL = f"""WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+drawn AS (SELECT doc_id, t, w, len(w)::BIGINT AS n, {", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))} FROM cut),
+placed AS (SELECT doc_id, t, n, h4, (t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {fill_middle.PLAIN}) AS stays,
+  least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, w FROM drawn),
+parts AS (SELECT doc_id, t, n, CASE WHEN stays THEN 'plain' WHEN h4 % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form,
+  coalesce(array_to_string(w[1:a], ''), '') AS p, coalesce(array_to_string(w[a + 1:b], ''), '') AS m,
+  coalesce(array_to_string(w[b + 1:], ''), '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts"""
+
+
+@query("op13_fill_middle", FIM_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
