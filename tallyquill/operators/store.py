@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from tallyquill.functions.embedding import HASH64, hash64
 from tallyquill.functions.text import snippet
@@ -72,19 +73,25 @@ def latest(updates: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return numbered.where("_place = 1").drop("_place")
 
 
+def _without(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is not among the others'. A null is a value like any other."""
+    named = others.select(*(F.col(key).alias(f"_other_{i}") for i, key in enumerate(keys))).distinct()
+    same = [F.col(key).eqNullSafe(F.col(f"_other_{i}")) for i, key in enumerate(keys)]
+    return rows.join(named, reduce(Column.__and__, same), "left_anti")
+
+
 def upsert(store: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add or replace rows by key."""
-    touched = updates.select(*keys).distinct()
-    return store.join(touched, list(keys), "left_anti").select(*store.columns).unionByName(latest(updates, keys, order))
+    return _without(store, updates, keys).unionByName(latest(updates, keys, order))
 
 
 def add_missing(store: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The chunks that are not stored yet."""
-    return chunks.join(store.select(*keys).distinct(), list(keys), "left_anti")
+    return _without(chunks, store, keys)
 
 
 def delete_sources(store: DataFrame, sources: DataFrame) -> DataFrame:
-    return store.join(sources.select("source").distinct(), "source", "left_anti").select(*store.columns)
+    return _without(store, sources, ["source"])
 
 
 def replace_sources(store: DataFrame, updates: DataFrame) -> DataFrame:
@@ -116,13 +123,25 @@ def dedup_nearest(chunks: DataFrame, order: Sequence[str], embedder=hash64) -> D
 # --- the stored table -----------------------------------------------------------------
 
 
+class EmptyName(Exception):
+    """A collection named by an empty text, which a folder cannot tell from one without a name."""
+
+
+def _checked(rows: DataFrame, by: str) -> DataFrame:
+    """Fails while writing where a partition would be named by an empty text."""
+    if not isinstance(rows.schema[by].dataType, StringType):
+        return rows
+    refused = F.raise_error(F.lit(f"{EmptyName.__name__}: {by}")).cast("string")
+    return rows.withColumn(by, F.when(F.col(by) == "", refused).otherwise(F.col(by)))
+
+
 def create(rows: DataFrame, path: str, by: str = "collection") -> None:
-    rows.write.partitionBy(by).parquet(path)
+    _checked(rows, by).write.partitionBy(by).parquet(path)
 
 
 def add(rows: DataFrame, path: str, by: str = "collection") -> None:
     """Append chunks; nothing that is stored is read."""
-    rows.write.mode("append").partitionBy(by).parquet(path)
+    _checked(rows, by).write.mode("append").partitionBy(by).parquet(path)
 
 
 def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -130,40 +149,55 @@ def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _folder(spark: SparkSession, by: str, name: object) -> str:
+    """Folder of a partition; rows without a name have one of their own."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(
+        by, None if name is None else str(name)
+    )
+
+
 def _rewrite(stored: DataFrame, path: str, touched: DataFrame, by: str, change: Callable[[DataFrame], DataFrame]) -> None:
     """Replace the partitions named in ``touched`` by what ``change`` makes of their rows.
 
-    The new rows are written aside first; partitions left without rows are deleted. Only the
-    names of those are collected, no more than the change touches.
+    Names of partitions are collected, no more than the change touches, so that the scan lists only
+    their folders. The new rows are written aside first; partitions left without rows are deleted.
     """
     spark = stored.sparkSession
-    touched = touched.select(by).distinct()
-    affected = stored.join(touched, by, "left_semi").select(*stored.columns)
-    after, aside = written(change(affected).select(*stored.columns), "change")
-    emptied = [row[0] for row in touched.join(after.select(by).distinct(), by, "left_anti").collect()]
+    names = [row[0] for row in touched.select(by).distinct().collect()]
+    if not names:
+        return
+    named = F.col(by).isin([name for name in names if name is not None])
+    affected = stored.where(named | F.col(by).isNull() if None in names else named)
+    after, aside = written(_checked(change(affected).select(*stored.columns), by), "change")
+    left = {row[0] for row in after.select(by).distinct().collect()}
     after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-    for name in emptied:
-        discard(spark, f"{path}/{by}={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(name))}")
+    for name in set(names) - left:
+        discard(spark, f"{path}/{_folder(spark, by, name)}")
     discard(spark, aside)
 
 
 def upsert_into(
     stored: DataFrame, path: str, updates: DataFrame, keys: Sequence[str], order: Sequence[Column], by: str = "collection"
 ) -> None:
-    """Add or replace rows by key. A key stays in its collection."""
+    """Add or replace rows by key. A key stays in its collection; rows without a collection are one."""
     _rewrite(stored, path, updates, by, lambda rows: upsert(rows, updates, keys, order))
 
 
+def _places(stored: DataFrame, sources: DataFrame, by: str) -> DataFrame:
+    """Partitions that hold one of the sources."""
+    named = sources.select(F.col("source").alias("_source")).distinct()
+    return stored.join(named, F.col("source").eqNullSafe(F.col("_source")), "left_semi").select(by)
+
+
 def replace_sources_in(stored: DataFrame, path: str, updates: DataFrame, by: str = "collection") -> None:
     """Replace everything the changed sources had, wherever it is stored."""
-    old = stored.join(updates.select("source").distinct(), "source", "left_semi").select(by)
-    _rewrite(stored, path, old.unionByName(updates.select(by)), by, lambda rows: replace_sources(rows, updates))
+    touched = _places(stored, updates, by).unionByName(updates.select(by))
+    _rewrite(stored, path, touched, by, lambda rows: replace_sources(rows, updates))
 
 
 def delete_sources_in(stored: DataFrame, path: str, sources: DataFrame, by: str = "collection") -> None:
     """Delete all chunks of the listed sources."""
-    touched = stored.join(sources.select("source").distinct(), "source", "left_semi").select(by)
-    _rewrite(stored, path, touched, by, lambda rows: delete_sources(rows, sources))
+    _rewrite(stored, path, _places(stored, sources, by), by, lambda rows: delete_sources(rows, sources))
 
 
 # --- reading --------------------------------------------------------------------------

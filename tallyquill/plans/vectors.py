@@ -194,10 +194,14 @@ def word_counts(text):
 def deliveries(spark, sf_dir):
     """Documents in two deliveries: short ones are stored, then the long ones arrive
     together with a newer version of the very short ones."""
-    docs = t.table(spark, sf_dir, "documents").select(
-        F.col("source").alias("collection"), "doc_id", F.concat("source", F.lit("/"), F.col("lang")).alias("source"), "text", "n_chars"
+    ids = t.table(spark, sf_dir, "documents").select(
+        F.when(F.col("lang") != "de", F.col("source")).alias("collection"),  # some have no collection
+        "doc_id",
+        F.concat("source", F.lit("/"), F.col("lang")).alias("source"),
+        "text",
+        "n_chars",
+        naming.positional_id(F.col("source"), F.col("doc_id")).alias("id"),
     )
-    ids = docs.withColumn("id", naming.positional_id(F.col("collection"), F.col("doc_id")))
     old = ids.where("n_chars < 2000").withColumn("version", F.lit(1))
     new = ids.where("n_chars >= 2000 OR n_chars < 500").withColumn("version", F.lit(2))
     revised = F.when(F.col("n_chars") < 500, F.concat(F.lit("revised "), "text")).otherwise(F.col("text"))
@@ -211,7 +215,7 @@ def stored_at(spark, rows):
     return path
 
 
-DELIVERIES = """base AS (SELECT source AS collection, doc_id, source || '/' || lang AS source, text, n_chars,
+DELIVERIES = """base AS (SELECT CASE WHEN lang <> 'de' THEN source END AS collection, doc_id, source || '/' || lang AS source, text, n_chars,
     source || '_chunk_' || doc_id AS id FROM documents),
 old AS (SELECT * EXCLUDE (n_chars), 1 AS version FROM base WHERE n_chars < 2000),
 new AS (SELECT collection, doc_id, source, CASE WHEN n_chars < 500 THEN 'revised ' || text ELSE text END AS text, id, 2 AS version

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallyquill.operators import answers, store
@@ -44,6 +45,45 @@ def test_stored_table(spark, tmp_path):
     assert before == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store" / "collection=3").iterdir()}
 
 
+def test_rows_without_a_collection_are_a_collection(spark, tmp_path):
+    path = str(tmp_path / "store")
+    base = chunks(spark, ("n1", None, "s", "old", 1), ("n2", None, "t", "old", 1), ("x", "None", "s", "old", 1), ("c1", "c", "s", "old", 1))
+    store.create(base, path)
+    current = lambda: store.read(spark, path, base.schema)
+    store.upsert_into(current(), path, chunks(spark, ("n1", None, "s", "new", 2)), ["id"], [F.col("version")])
+    rows = lambda: sorted((r.id, str(r.collection), r.text) for r in current().collect())
+    assert rows() == [("c1", "c", "old"), ("n1", "None", "new"), ("n2", "None", "old"), ("x", "None", "old")]
+    assert current().where("collection IS NULL").count() == 2
+    store.delete_sources_in(current(), path, spark.createDataFrame([("t",)], "source string"))
+    assert ids(current()) == ["c1", "n1", "x"]
+    store.replace_sources_in(current(), path, chunks(spark, ("n3", None, "s", "new", 3)))
+    assert ids(current()) == ["n3"] and current().where("collection IS NULL").count() == 1
+    store.delete_sources_in(current(), path, spark.createDataFrame([("s",)], "source string"))
+    assert ids(current()) == []
+    store.add(chunks(spark, ("m", None, None, "new", 3), ("k", "k", "u", "new", 3)), path)
+    store.delete_sources_in(current(), path, spark.createDataFrame([(None,)], "source string"))
+    assert ids(current()) == ["k"]
+    store.delete_sources_in(current(), path, spark.createDataFrame([], "source string"))
+    assert ids(current()) == ["k"]
+
+
+def test_null_keys_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "stock")
+    stock = lambda *rows: spark.createDataFrame(list(rows), "product_id int, warehouse string, units int, version int")
+    base = stock((1, None, 5, 1), (1, "None", 6, 1), (None, "w", 7, 1))
+    store.create(base, path, by="warehouse")
+    updates = stock((1, None, 9, 2), (None, "w", 8, 2))
+    keys = ["product_id", "warehouse"]
+    store.upsert_into(store.read(spark, path, base.schema), path, updates, keys, [F.col("version")], by="warehouse")
+    rows = store.read(spark, path, base.schema).collect()
+    assert sorted(((r.product_id, r.warehouse, r.units) for r in rows), key=str) == [(1, "None", 6), (1, None, 9), (None, "w", 8)]
+
+
+def test_an_empty_name_is_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="EmptyName"):
+        store.create(chunks(spark, ("a", "", "s", "old", 1)), str(tmp_path / "store"))
+
+
 def test_dedup(spark):
     rows = [("a", "c", "s", "x y", 1), ("b", "c", "s", "x y", 1), ("c", "d", "s", "x y", 1), ("d", "c", "s", "y  X", 1), ("e", "c", "s", "?!", 1), ("f", "c", "s", "?!", 1)]
     frame = chunks(spark, *rows)
