@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyquill.functions import naming
 from tallyquill.functions.embedding import scaled
-from tallyquill.operators import answers, nearest, splitter, store
+from tallyquill.operators import answers, codes, nearest, splitter, store
 from tallyquill.plans import documents as dp
 from tallyquill.plans import tables as t
 from tallyquill.plans.registry import Registry, with_
-from tallyquill.session import fresh_path
+from tallyquill.session import fresh_path, written
 
 register = Registry()
 
@@ -433,7 +433,7 @@ def knn_filtered(spark, sf_dir):
 def knn_in_collection(spark, sf_dir):
     """Each query searches only the collection it is the centre of."""
     centres = collection_centres(spark, sf_dir).withColumn("collection", F.col("qid"))
-    return shown(nearest.nearest_in_group(centres, vectors(spark, sf_dir), "collection", width=64, k=5))
+    return shown(nearest.nearest_in_group(centres, vectors(spark, sf_dir), "collection", k=5))
 
 
 def approx_queries(spark, sf_dir):
@@ -443,10 +443,37 @@ def approx_queries(spark, sf_dir):
     return collection_centres(spark, sf_dir).unionByName(rows)
 
 
+def coded_vectors(spark, sf_dir):
+    """The vectors with their codes, written once per session and folder of tables, and the codes' centres."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CODED:
+        rows = vectors(spark, sf_dir)
+        book = codes.fit(rows)
+        _CODED[key] = written(codes.encode(rows, book), "codes")[1], book
+    path, book = _CODED[key]
+    return spark.read.parquet(path), book
+
+
+_CODED: dict[tuple[str, str], tuple[str, codes.Codes]] = {}
+
+
 @register("knn_approx")
 def knn_approx(spark, sf_dir):
-    """Seven of eight cells: with fewer, the centres lose more than a tenth of their true nearest rows."""
-    return shown(nearest.nearest_approx(approx_queries(spark, sf_dir), vectors(spark, sf_dir), cells=8, probes=7))
+    """Codes of all rows are scanned; full vectors are read for short lists of six rows per query."""
+    coded, book = coded_vectors(spark, sf_dir)
+    return shown(codes.nearest_coded(approx_queries(spark, sf_dir), coded, book))
+
+
+@register("knn_approx_recall")
+def knn_approx_recall(spark, sf_dir):
+    """Recall of the approximate search over all of its queries, and for how many rows it reads full vectors."""
+    coded, book = coded_vectors(spark, sf_dir)
+    asked = approx_queries(spark, sf_dir)
+    listed = codes.short_lists(asked, coded, book, codes.SHORT * nearest.TOP_K)
+    found = codes.nearest_coded(asked, coded, book)
+    report = codes.recall(found, asked, vectors(spark, sf_dir))
+    full = listed.agg(F.countDistinct("id")).scalar()
+    return report.withColumn("full_vectors", full).withColumn("rows", coded.agg(F.count("*")).scalar())
 
 
 ASKED_VECTORS = hashed_sql("asked", "(SELECT * FROM routed WHERE route = 'database')", "qid, question, route", "question")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyquill.operators import nearest
+from tallyquill.operators import codes, nearest
 from tallyquill.plans import vectors as plans
 
 
@@ -50,11 +50,12 @@ def points():
 
 
 @pytest.mark.parametrize("metric", nearest.METRICS)
-@pytest.mark.parametrize("tile_rows", [8192, 60, 5])
-def test_exact_search(spark, points, metric, tile_rows, monkeypatch):
-    monkeypatch.setattr(nearest, "TILE_ROWS", tile_rows)
+@pytest.mark.parametrize("group, rows", [(4_000_000, 10_000), (20, 7), (6, 100)])
+def test_exact_search(spark, points, metric, group, rows, monkeypatch):
+    monkeypatch.setattr(nearest, "GROUP_ELEMENTS", group)
+    monkeypatch.setattr(nearest, "ROWS", rows)
     q, v = frames(spark, *points)
-    found = nearest.nearest(q, v.repartition(3), k=4, metric=metric, width=6)
+    found = nearest.nearest(q, v.repartition(3), k=4, metric=metric)
     assert listed(found) == brute(*points, 4, metric)
     assert found.where("distance IS NULL OR isnan(distance)").count() == 0
 
@@ -65,14 +66,30 @@ def test_block_height_does_not_matter(spark, points, monkeypatch):
     assert listed(nearest.nearest(q, v, k=3)) == brute(*points, 3, "l2sq")
 
 
+def test_no_vector_is_shuffled(spark, points):
+    q, v = frames(spark, *points)
+    plan = nearest.nearest(q, v, k=4)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    assert all("embedding" not in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_shuffle_follows_queries_and_tasks(spark, points):
+    """Rows that leave the scan: at most k per query and task, whatever the number of stored rows."""
+    q, v = frames(spark, *points)
+    schema = nearest._result_schema(q, v, "qid", "id")
+    found = nearest._scanned(q, v.unionAll(v).unionAll(v).repartition(5), schema, 2, "l2sq", "embedding")
+    assert found.count() == 5 * 2 * sum(x is not None for x in points[0])
+
+
 def test_search_inside_groups(spark, points, monkeypatch):
-    monkeypatch.setattr(nearest, "TILE_ROWS", 25)
+    monkeypatch.setattr(nearest, "ROWS", 25)
     queries, vectors = points
     q, v = frames(spark, queries, vectors)
     q = q.withColumn("box", F.when(F.col("qid") % 2 == 0, "even").otherwise("odd"))
     number = F.substring("id", 2, 4).cast("int")
     v = v.withColumn("box", F.when(number % 2 == 0, "even").otherwise("odd"))
-    found = listed(nearest.nearest_in_group(q, v, "box", width=6, k=3))
+    found = listed(nearest.nearest_in_group(q, v, "box", k=3))
+    assert nearest.nearest_in_group(q, v.withColumn("box", F.lit(None).cast("string")), "box").count() == 0
     for qid, names in found.items():
         own = [x if i % 2 == qid % 2 else None for i, x in enumerate(vectors)]
         assert names == brute([queries[qid]], own, 3, "l2sq")[0]
@@ -89,7 +106,7 @@ def test_more_wanted_than_stored_and_empty_sides(spark):
 def test_large_norms_keep_their_digits(spark):
     base = np.full(4, 1e5)
     q, v = frames(spark, [base], [base + 2e-3, base + [1e-3, 0, 0, 0], base, base + [0, 2e-3, 0, 0], base * 2])
-    found = nearest.nearest(q, v, k=4, width=4).orderBy("rank").collect()
+    found = nearest.nearest(q, v, k=4).orderBy("rank").collect()
     assert [r.id for r in found] == ["v0002", "v0001", "v0003", "v0000"]
     assert [r.distance for r in found] == pytest.approx([0.0, 1e-6, 4e-6, 1.6e-5], rel=1e-4)
 
@@ -97,10 +114,10 @@ def test_large_norms_keep_their_digits(spark):
 def test_many_queries_and_queries_without_vectors_behave_alike(spark):
     many = spark.range(6000).selectExpr("id as qid", "array(cast(id % 7 as double), 1D) as embedding")
     stored = spark.range(7).selectExpr("id", "array(cast(id as double), 1D) as embedding")
-    found = nearest.nearest(many, stored, k=1, width=2)
+    found = nearest.nearest(many, stored, k=1)
     assert found.where("id = qid % 7 AND distance = 0").count() == 6000
     none = many.withColumn("embedding", F.lit(None).cast("array<double>"))
-    assert nearest.nearest(none, stored, k=1, width=2).count() == 0
+    assert nearest.nearest(none, stored, k=1).count() == 0
 
 
 def test_unknown_metric(spark):
@@ -109,17 +126,71 @@ def test_unknown_metric(spark):
         nearest.nearest(q, v, metric="other")
 
 
-def test_approximate_recall(spark):
+@pytest.fixture(scope="module")
+def crowds(spark):
     rng = np.random.default_rng(1)
-    vectors = rng.normal(size=(600, 8)) + rng.integers(0, 6, (600, 1)) * 4
-    queries = vectors[::40] + 0.01
-    q, v = frames(spark, list(queries), list(vectors))
-    exact = listed(nearest.nearest(q, v, k=5))
-    near = listed(nearest.nearest_approx(q, v, k=5, cells=8, probes=3))
-    hits = sum(len(set(exact[i]) & set(near[i])) for i in exact)
-    assert hits >= 0.9 * 5 * len(exact)
-    whole = nearest.nearest_approx(q, v, k=5, cells=8, probes=8)
-    assert listed(whole) == exact
+    vectors = rng.normal(size=(900, 9)) + rng.integers(0, 6, (900, 1)) * 4
+    vectors[100:160] = vectors[0]
+    return frames(spark, [*(vectors[::40] + 0.01), None], [*vectors, None])
+
+
+def test_approximate_recall(spark, crowds):
+    q, v = crowds
+    book = codes.fit(v)
+    coded = codes.encode(v, book)
+    assert {len(r.code) for r in coded.where("code IS NOT NULL").collect()} == {9}
+    assert coded.where("code IS NULL").count() == 1
+    row = codes.recall(codes.nearest_coded(q, coded, book, k=5), q, v, k=5).first()
+    assert (row["queries"], row["wanted"]) == (23, 115) and row["recall"] >= 0.9
+    whole = codes.nearest_coded(q, coded, book, k=5, short=200)
+    assert listed(whole) == listed(nearest.nearest(q, v, k=5))
+
+
+def test_codes_are_the_same_again(spark, crowds):
+    _, v = crowds
+    one, two = codes.fit(v), codes.fit(v.repartition(3))
+    assert (one.centres == two.centres).all() and (one.rotation == two.rotation).all()
+    square = one.rotation @ one.rotation.T
+    assert np.allclose(square, np.eye(9))
+
+
+def test_distances_from_codes(crowds):
+    """Exact at the mean, and off by the product of the rest with the way to the row elsewhere."""
+    _, v = crowds
+    book = codes.fit(v)
+    points = np.random.default_rng(2).normal(size=(20, 9)) * 5
+    lines, length, lean = book.encode(points)
+    decoded = np.stack([centres[line] for centres, line in zip(book.centres, lines.T, strict=True)], axis=1).reshape(20, -1)
+    turned = points @ book.rotation
+    mean = book.mean @ book.rotation.T
+    for queries in (points, np.stack([mean, mean + 1e-9])):
+        products, own, from_mean = book.tables(queries)
+        near = own[:, None] + length + sum(table[:, column] for table, column in zip(products, lines.T, strict=True))
+        rest = turned - decoded
+        flat = queries @ book.rotation
+        true = ((flat[:, None] - turned[None]) ** 2).sum(2)
+        assert np.allclose(near, true + 2 * np.einsum("ijk,jk->ij", flat[:, None] - decoded[None], rest))
+        assert np.allclose(from_mean, ((queries - mean) ** 2).sum(1))
+    assert np.allclose(near[0] + lean, true[0])
+
+
+def test_codes_of_nothing(spark, crowds):
+    q, v = crowds
+    none = v.where("false")
+    assert codes.fit(none) is None
+    assert codes.nearest_coded(q, none, None).count() == 0
+    book = codes.fit(v.limit(3))
+    assert codes.nearest_coded(q, codes.encode(none, book), book).count() == 0
+    assert codes.nearest_coded(q.where("false"), codes.encode(v, book), book).count() == 0
+
+
+def test_the_scan_of_codes_reads_no_vectors(spark, crowds, tmp_path):
+    q, v = crowds
+    book = codes.fit(v)
+    codes.encode(v, book).write.parquet(str(tmp_path / "coded"))
+    lists = codes.short_lists(q, spark.read.parquet(str(tmp_path / "coded")), book, 6)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:string,code:binary,code_length:double,code_lean:double>" in plan
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
@@ -137,3 +208,20 @@ def test_recall_of_the_registered_search(spark, size):
         wanted = sum(map(len, true.values()))
         print(f"recall {size}, {len(asked)} queries: {hits} of {wanted}")
         assert hits >= 0.9 * wanted
+
+
+@pytest.mark.parametrize("size, share", [("sf0.001", 0.18), ("sf0.01", 0.18), ("sf0.1", 0.1)])
+def test_reported_recall(spark, size, share):
+    """15 queries of 500 rows want 45 rows themselves, so small tables read a larger share."""
+    row = plans.knn_approx_recall(spark, f"/root/testdata/{size}").first()
+    assert row["recall"] >= 0.9 and row["hits"] <= row["wanted"]
+    assert row["full_vectors"] <= share * row["rows"]
+
+
+def test_parts_of_several_dimensions(spark, crowds, monkeypatch):
+    monkeypatch.setattr(codes, "PART", 2)
+    q, v = crowds
+    book = codes.fit(v)
+    coded = codes.encode(v, book)
+    assert {len(r.code) for r in coded.where("code IS NOT NULL").collect()} == {5}
+    assert codes.recall(codes.nearest_coded(q, coded, book, k=5, short=4), q, v, k=5).first()["recall"] >= 0.9
