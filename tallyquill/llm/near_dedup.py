@@ -16,10 +16,10 @@ With 32 bands of 4, a pair at a similarity of 0.85 shares no band with probabili
 0.8 with 5e-8. Every link is confirmed on the full sets.
 
 Defined results. A null or empty text has an empty set and is linked with nothing. A text with fewer
-words than a shingle is one shingle. Rows with one id are one node, linked with whatever one of
+words than a shingle is one shingle. Rows with one id are one document, linked with whatever one of
 their texts is linked with. Rows without id come after all ids, rows of equal text being one
 document; a component of such rows alone has no id. Ties need no rule: links do not depend on an
-order, and the least id names the component. An empty table gives an empty result. Ids lie below 2^62.
+order, and the least id names the component. An empty table gives an empty result. Ids may be any long.
 Columns besides id and text are not looked at; ``keep`` returns the rows with their own columns.
 """
 
@@ -43,8 +43,8 @@ GROUP_SHINGLES = 1 << 20
 GROUP_CLASSES = 4096
 #: Elements whose orders of positions are kept in memory together.
 ELEMENTS = 1 << 16
-#: Nodes of rows without id begin here; ids must be smaller.
-NO_ID = 1 << 62
+#: A document: rows without id, told by the hash of their text, come after all ids.
+DOCUMENT = ("anon", "id", "h")
 
 
 def shingles(words: tokens.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +134,8 @@ def _described(text: str, size: int, bands: int, rows_each: int, least: int):
             else:
                 listed = pa.array(keys, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), piece.column("h"), pa.array(counts), *map(pa.array, digests), listed],
-                ["id", "h", "n", "d1", "d2", "bands"],
+                [*(piece.column(c) for c in DOCUMENT), pa.array(counts), *map(pa.array, digests), listed],
+                [*DOCUMENT, "n", "d1", "d2", "bands"],
             )
 
     return describe
@@ -188,8 +188,8 @@ def _linked(n: np.ndarray, element: np.ndarray, percent: int) -> list[tuple[int,
 
 
 def _verifier(size: int, percent: int):
-    """Links of whole groups; rows come sorted by group and id, and a group may go on in the
-    next batch."""
+    """Links of whole groups; rows come sorted by group and class, a class perhaps several times, and a group
+    may go on in the next batch."""
 
     def settle(ids: list, counts: list, elements: list) -> list[tuple[int, int]]:
         if len(ids) < 2:
@@ -203,10 +203,12 @@ def _verifier(size: int, percent: int):
             row, hashed = shingles(words, size)
             first = np.searchsorted(row, np.arange(piece.num_rows + 1)).tolist()
             links = []
-            for i, (key, id) in enumerate(zip(piece.column("key").to_pylist(), piece.column("id").to_pylist(), strict=True)):
+            for i, (key, id) in enumerate(zip(piece.column("key").to_pylist(), piece.column("class").to_pylist(), strict=True)):
                 if key != group:
                     links += settle(ids, counts, elements)
                     group, ids, counts, elements = key, [], [], []
+                elif ids[-1] == id:
+                    continue
                 ids.append(id)
                 counts.append(first[i + 1] - first[i])
                 elements.append(hashed[first[i] : first[i + 1]].copy())
@@ -223,36 +225,33 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _buckets(classes: DataFrame, *more: str) -> DataFrame:
-    return classes.select("rep", *more, F.explode("bands").alias("bucket"))
+    return classes.select("class", *more, F.explode("bands").alias("bucket"))
 
 
 def _groups(classes: DataFrame) -> DataFrame:
-    """(rep, key): in which groups a class is verified."""
+    """(class, key): in which groups a class is verified."""
     buckets = _buckets(classes)
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = buckets.join(shared.select("bucket", "least"), "bucket").where("rep <> least")
-    stars, stars_path = components(edges.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    members = stars.select(F.col("a").alias("rep"), F.col("b").alias("group")).unionAll(
-        stars.select(F.col("b").alias("rep"), F.col("b").alias("group")).distinct()
-    )
-    sized = members.join(classes.select("rep", "n"), "rep")
+    shared = buckets.groupBy("bucket").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = buckets.join(shared.select("bucket", "least"), "bucket").where("class <> least")
+    stars, stars_path = components(edges.select(F.col("class").alias("a"), F.col("least").alias("b")))
+    sized = _members(stars).join(classes.select("class", "n"), "class")
     totals = sized.groupBy("group").agg(
         ((F.sum("n") > GROUP_SHINGLES) | (F.count(F.lit(1)) > GROUP_CLASSES)).alias("large")
     )
-    marked, _ = written(sized.join(totals, "group").select("rep", "n", "group", "large"), "groups")
+    marked, _ = written(sized.join(totals, "group").select("class", "n", "group", "large"), "groups")
     discard(classes.sparkSession, stars_path)
-    small = marked.where("not large").select("rep", F.struct(F.col("group").alias("k"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("key"))
-    wide = _buckets(marked.where("large").select("rep").distinct().join(classes, "rep"), "n")
+    small = marked.where("not large").select("class", F.struct(F.col("group").alias("k"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("key"))
+    wide = _buckets(marked.where("large").select("class").distinct().join(classes, "class"), "n")
     blocks = wide.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"),
         F.ceil(F.greatest(F.sum("n") * 2 / GROUP_SHINGLES, F.count(F.lit(1)) * 2 / GROUP_CLASSES)).alias("blocks"),
     )
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     dealt = (
         wide.join(blocks.where("members > 1"), "bucket")
-        .select("rep", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
+        .select("class", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
         .select(
-            "rep",
+            "class",
             F.struct(
                 F.col("bucket").alias("k"), F.least("own", "other").alias("i"), (F.greatest("own", "other") + 1).alias("j")
             ).alias("key"),
@@ -261,68 +260,105 @@ def _groups(classes: DataFrame) -> DataFrame:
     return small.unionAll(dealt)
 
 
-def _node(id: Column, text: Column) -> Column:
-    """The id as a long; for a row without id a number from ``NO_ID`` on, by its text."""
-    return F.coalesce(id.cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(NO_ID))
+def _members(stars: DataFrame) -> DataFrame:
+    """(class, group) of links to the least class of a component, that class included."""
+    own = stars.select(F.col("b").alias("class"), F.col("b").alias("group")).distinct()
+    return stars.select(F.col("a").alias("class"), F.col("b").alias("group")).unionAll(own)
+
+
+def _documents(id: str, text: str) -> list[Column]:
+    """The columns ``DOCUMENT``, none of them null."""
+    key = F.col(id).cast("long")
+    return [key.isNull().alias("anon"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(F.col(text)).alias("h")]
+
+
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that name one class in one group, the first of a task."""
+    seen = set()
+    for batch in batches:
+        keys = zip(batch.column("class").to_pylist(), map(str, batch.column("key").to_pylist()), strict=True)
+        fresh = []
+        for i, key in enumerate(keys):
+            if key not in seen:
+                seen.add(key)
+                fresh.append(i)
+        yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
 
 
 def _grouped(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """One row per row of ``docs``: node, h (hash of the text), n, component."""
-    narrow = docs.select(
-        _node(F.col(id), F.col(text)).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")
-    )
+    """One row per row of ``docs``: its document, n, and ``first``, the first document of its component."""
+    narrow = docs.select(*_documents(id, text), F.col(text).alias("text"))
     # A set below this size has no near copy but equal sets.
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+    found = narrow.mapInArrow(
+        _described("text", size, BANDS, ROWS, least),
+        "anon boolean, id long, h long, n long, d1 long, d2 long, bands array<long>",
+    )
+    # Empty sets are equal in nothing: each document without words is a class of its own.
+    own = lambda digest, key: F.when(F.col("n") > 0, F.col(digest)).otherwise(key).alias(digest)
     described, _ = written(
-        narrow.mapInArrow(
-            _described("text", size, BANDS, ROWS, least), "id long, h long, n long, d1 long, d2 long, bands array<long>"
+        found.select(
+            *DOCUMENT,
+            "n",
+            own("d1", F.when(F.col("anon"), F.col("h")).otherwise(F.col("id"))),
+            own("d2", F.col("anon").cast("long")),
+            "bands",
         ),
         "sets",
     )
+    alike = ["d1", "d2", "n"]
+    # Numbers of classes stand in the written table, so that every reader finds the same.
     classes, _ = written(
-        described.where("n > 0")
-        .groupBy("d1", "d2", "n")
-        .agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")),
+        described.groupBy(*alike)
+        .agg(F.min(F.struct(*DOCUMENT)).alias("rep"), F.any_value("bands").alias("bands"))
+        .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
-    keys = _groups(classes.where(F.col("bands").isNotNull()))
-    texts = narrow.select("id", "text").join(keys, F.col("id") == F.col("rep")).select("key", "id", "text")
+    usable = classes.where(F.col("bands").isNotNull())
+    keys = _groups(usable.select("class", "n", "bands")).join(usable.select("class", "rep.*"), "class")
+    texts = narrow.join(keys, list(DOCUMENT)).select("key", "class", "text")
+    kind = texts.schema["key"].dataType.simpleString()
     links = (
-        texts.repartition("key")
-        .sortWithinPartitions("key", "id")
+        texts.mapInArrow(_once, f"key {kind}, class long, text string")
+        .repartition("key")
+        .sortWithinPartitions("key", "class")
         .mapInArrow(_verifier(size, percent), "a long, b long")
     )
     stars, _ = components(links.unionAll(_shared_ids(described, classes)))
-    return (
-        described.select("id", "h", "n", "d1", "d2")
-        .join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
-        .withColumn("node", F.coalesce("rep", "id"))
-        .join(stars, F.col("node") == F.col("a"), "left")
-        .select("id", "h", "n", F.coalesce("b", "node").alias("component"))
+    members = _members(stars)
+    reps = classes.select("class", *alike, "rep")
+    firsts = members.join(reps.select("class", "rep"), "class").groupBy("group").agg(F.min("rep").alias("first"))
+    placed = reps.join(members.join(firsts, "group").select("class", "first"), "class", "left")
+    return described.select(*DOCUMENT, *alike).join(
+        placed.select(*alike, F.coalesce("first", "rep").alias("first")), alike
     )
 
 
+def _is_first() -> Column:
+    """Whether a row is its component's first document."""
+    same = (F.col("id") == F.col("first.id")) & (~F.col("first.anon") | (F.col("h") == F.col("first.h")))
+    return (F.col("anon") == F.col("first.anon")) & same
+
+
 def group(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept. ``percent`` is the
     least similarity of a link in hundredths."""
-    named = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    named = lambda anon, key: F.when(~F.col(anon), F.col(key))
     return _grouped(docs, id, text, size, percent).select(
-        named("id").alias(id),
+        named("anon", "id").alias(id),
         F.col("n").alias("n_shingles"),
-        named("component").alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
+        named("first.anon", "first.id").alias("component_id"),
+        _is_first().alias("kept"),
     )
 
 
 def _shared_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links of ids that stand in several rows: each with the first of its classes."""
-    repeated = described.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
-    return (
-        described.where("n > 0")
-        .join(repeated, "id")
-        .join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"])
-        .select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    )
+    """Links of ids that stand in several classes: each of these with the first of them."""
+    rows = described.where("not anon").select("id", "d1", "d2", "n").distinct()
+    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("id")
+    placed = rows.join(repeated, "id").join(classes.select("d1", "d2", "n", "class"), ["d1", "d2", "n"])
+    first = placed.groupBy("id").agg(F.min("class").alias("b"))
+    return placed.join(first, "id").select(F.col("class").alias("a"), "b")
 
 
 def keep(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -330,14 +366,14 @@ def keep(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5,
     several such rows the one whose text, then whole row, has the least hash."""
     kept = (
         _grouped(docs, id, text, size, percent)
-        .where("id = component")
-        .groupBy(F.col("id").alias("kept_id"))
+        .where(_is_first())
+        .groupBy(*(F.col(c).alias(f"kept_{c}") for c in ("anon", "id")), "first")
         .agg(F.min("h").alias("kept_h"))
+        .drop("first")
     )
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    column = lambda c: F.col(f"row.`{c}`")
-    rows = docs.select(whole.alias("row"), _node(F.col(id), F.col(text)).alias("node"))
-    same = (F.col("node") == F.col("kept_id")) & (F.xxhash64(column(text)) == F.col("kept_h"))
-    first = Window.partitionBy("node").orderBy(F.xxhash64("row"))
+    rows = docs.select(whole.alias("row"), *_documents(id, text))
+    same = [F.col(c) == F.col(f"kept_{c}") for c in DOCUMENT]
+    first = Window.partitionBy(*DOCUMENT).orderBy(F.xxhash64("row"))
     placed = rows.join(kept, same, "left_semi").withColumn("place", F.row_number().over(first))
     return placed.where("place = 1").select("row.*")

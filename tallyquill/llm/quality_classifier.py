@@ -12,8 +12,8 @@ that one scan counts both models and documents are not shuffled. The k-th highes
 found exactly, by counting documents in finer and finer intervals; no sort of all documents and
 no list of them on the driver is needed.
 
-Defined results. A null or empty text has no n-grams and log weight 0. Null ids share one Gumbel
-variable. Documents tied at the k-th place are all chosen. Rows with one id and text get equal
+Defined results. A null or empty text has no n-grams and log weight 0. Rows without id share one Gumbel
+variable of their own. Documents tied at the k-th place are all chosen. Rows with one id and text get equal
 results. Labels without a document, with nulls, or repeated do no harm: an id is target text if
 all its labels say so. Without labels, or without documents, all log weights are 0 and
 all documents are chosen. Columns besides those named are not looked at. Texts are read whole.
@@ -74,8 +74,8 @@ def _counter(target):
         for piece in tokens.pieces(batches, "text"):
             row, bucket = grams(_split(piece.column("text")))
             raw += np.bincount(bucket, minlength=BUCKETS)
-            own = piece.column("id").fill_null(-1).to_numpy(zero_copy_only=False)
-            chosen = np.isin(own, ids)
+            own, named = _ids(piece)
+            chosen = np.isin(own, ids) & named
             good += np.bincount(bucket[chosen[row]], minlength=BUCKETS)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(good[some]), pa.array(raw[some])], ["bucket", "good", "raw"])
@@ -102,10 +102,17 @@ def fit(docs: DataFrame, target: np.ndarray, id: str = "doc_id", text: str = "te
     return np.log(good + SMOOTHING) - np.log(raw * (good.sum() / raw.sum()) + SMOOTHING)
 
 
-def gumbel(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """A standard Gumbel variable for each id."""
+def _ids(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and which rows have one."""
+    column = piece.column("id")
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def gumbel(ids: np.ndarray, named: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """A standard Gumbel variable for each id, and one of its own for rows without id."""
     with np.errstate(over="ignore"):
         drawn = tokens.mix(tokens.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed)) ^ np.uint64(seed))
+        drawn = np.where(named, drawn, tokens.mix(drawn + np.uint64(1)))
     uniform = ((drawn >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
     return -np.log(-np.log(uniform))
 
@@ -123,7 +130,7 @@ def _scorer(ratios, seed: int):
             row, bucket = grams(_split(piece.column("text")))
             weight = np.bincount(row, weights=table[bucket], minlength=piece.num_rows).astype(np.float64)
             n = np.bincount(row, minlength=piece.num_rows).astype(np.int64)
-            total = weight + gumbel(piece.column("id").fill_null(-1).to_numpy(zero_copy_only=False), seed)
+            total = weight + gumbel(*_ids(piece), seed)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("id"), pa.array(n), pa.array(weight), pa.array(total), pa.array(rank_of(total))],
                 ["id", "n_grams", "log_weight", "score", "rank"],

@@ -325,22 +325,24 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 9: substring dedup ----------------------------------------------------------------
 
-SUBSTRING_SQL = f"""WITH split AS MATERIALIZED (SELECT doc_id, {split_sql("text")} AS w FROM documents),
+SUBSTRING_SQL = f"""WITH split AS MATERIALIZED (
+  SELECT row_number() OVER () AS line, doc_id, {split_sql("text")} AS w FROM documents),
 places AS MATERIALIZED (
-  SELECT doc_id, i, w[i:i + {substring_dedup.SIZE - 1}] AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring_dedup.SIZE - 2})) AS i FROM split)),
-firsts AS (SELECT g, min(doc_id) AS first FROM places GROUP BY g HAVING min(doc_id) < max(doc_id)),
+  SELECT line, doc_id, i, w[i:i + {substring_dedup.SIZE - 1}] AS g
+  FROM (SELECT line, doc_id, w, unnest(range(1, len(w) - {substring_dedup.SIZE - 2})) AS i FROM split)),
+firsts AS (SELECT g, min(doc_id) AS first FROM places GROUP BY g
+  HAVING min(doc_id) < max(doc_id) OR 0 < count(doc_id) AND count(doc_id) < count(*)),
 removed AS (
-  SELECT doc_id, list(DISTINCT p) AS p FROM (
-    SELECT doc_id, unnest(range(i, i + {substring_dedup.SIZE})) AS p
-    FROM places JOIN firsts USING (g) WHERE first < doc_id) GROUP BY doc_id),
+  SELECT line, list(DISTINCT p) AS p FROM (
+    SELECT line, unnest(range(i, i + {substring_dedup.SIZE})) AS p
+    FROM places JOIN firsts USING (g) WHERE first < doc_id OR doc_id IS NULL) GROUP BY line),
 kept AS (
-  SELECT d.doc_id, string_agg(x, ' ' ORDER BY i) AS t
-  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM split) d
-  LEFT JOIN (SELECT doc_id, unnest(p) AS i, true AS gone FROM removed) r USING (doc_id, i)
-  WHERE gone IS NULL GROUP BY d.doc_id)
+  SELECT d.line, string_agg(x, ' ' ORDER BY i) AS t
+  FROM (SELECT line, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM split) d
+  LEFT JOIN (SELECT line, unnest(p) AS i, true AS gone FROM removed) r USING (line, i)
+  WHERE gone IS NULL GROUP BY d.line)
 SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM split s LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+FROM split s LEFT JOIN removed USING (line) LEFT JOIN kept USING (line)"""
 
 
 @query("op9_substring_dedup", SUBSTRING_SQL)

@@ -13,13 +13,13 @@ document with a smaller id.
    stretches through it: every occurrence is found, with the first document that has it.
 4. Occurrences go back to their documents, whose covered words are taken out.
 
-A hash in very many documents would make a large shard: its windows are then dealt one by one,
+A hash of very many stretches or windows would make a large shard: its windows are then dealt one by one,
 by a hash of all their words, so that each of these shards holds the copies of one window. No
 document meets an automaton that can hold nothing of it, and no automaton holds more than a shard.
 
 Defined results. A null or empty text has no words. Texts below 13 words have no window and lose
-nothing. A null id counts as the largest. Rows with one id do not remove words from each
-other, and each row is cut by its own text. Equal rows get equal results, an empty table an empty
+nothing. A null id comes after all others, which may be any long. Rows with one id, or without one, do not remove
+words from each other, and each row is cut by its own text. Equal rows get equal results, an empty table an empty
 one. Columns besides id and text are not looked at. Texts are read whole.
 """
 
@@ -32,7 +32,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyquill.llm import tokens
@@ -40,11 +40,15 @@ from tallyquill.session import discard, written
 
 SIZE = 13
 PHRASE = 6
-#: Documents with one hash from which its windows are dealt one by one.
+#: Stretches and windows of one hash beyond which its windows are dealt one by one.
 HOT = 10_000
+HOT_WINDOWS = 100_000
 #: Words of stretches in one automaton.
 SHARD_WORDS = 200_000
-NO_ID = (1 << 63) - 1
+#: A text of a document. Rows without id have id 0 and ``anon``.
+TEXT = ("id", "anon", "h")
+#: In Python, where numbers have no end: after all ids.
+LAST = 1 << 63
 
 
 def least_hashes(words: tokens.Words, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,18 +77,35 @@ def _runs(row: np.ndarray, at: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in tokens.pieces(batches, "text"):
+    """(text, m, windows) of each stretch; of equal texts of one id, the first of a task."""
+    for piece in tokens.pieces(_once(batches), "text"):
         row, at, least = least_hashes(tokens.words_of(piece.column("text")))
         runs = _runs(row, at, least)
-        ids = piece.column("id").take(pa.array(row[runs]))
-        yield pa.RecordBatch.from_arrays([pa.array(least[runs].view(np.int64)), ids], ["m", "id"])
+        windows = np.diff(np.append(runs, len(row)))
+        own = pa.array(row[runs])
+        yield pa.RecordBatch.from_arrays(
+            [*(piece.column(c).take(own) for c in TEXT), pa.array(least[runs].view(np.int64)), pa.array(windows)],
+            [*TEXT, "m", "windows"],
+        )
+
+
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of equal texts of one id, the first of a task."""
+    seen = set()
+    for batch in batches:
+        fresh = []
+        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in TEXT), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                fresh.append(i)
+        yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
 
 
-_STRETCH = "id long, h long, start long, key long, seg long, lo long, hi long, text string"
+_STRETCH = "id long, anon boolean, h long, start long, key long, seg long, lo long, hi long, text string"
 
 
 def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per stretch; the text, with the least and largest id that has it, only once
+    """One row per stretch; the text, with the least and largest id that has it (null: no id), only once
     per key and text in a piece."""
     for piece in tokens.pieces(batches, "text"):
         words = tokens.words_of(piece.column("text"))
@@ -109,29 +130,31 @@ def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seg = tokens.mix((sums[end] - sums[begin]) * _falling(len(words.hash) + 1)[begin] + (end - begin).astype(np.uint64))
         if not len(row):
             continue
-        ids = piece.column("id").to_numpy()[row]
-        order = np.lexsort((ids, seg, key))
+        ids, anon, h = (piece.column(c).to_numpy(zero_copy_only=False)[row] for c in TEXT)
+        order = np.lexsort((ids, anon, seg, key))
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = (key[order][1:] != key[order][:-1]) | (seg[order][1:] != seg[order][:-1])
         heads = np.flatnonzero(fresh)
         tails = np.concatenate([heads[1:], [len(order)]]) - 1
-        lo, hi, text = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), [None] * len(row)
+        ends, text = [np.zeros(len(row), np.int64) for _ in range(2)], [None] * len(row)
+        unnamed = [np.ones(len(row), bool) for _ in range(2)]
         chosen = order[heads]
-        lo[chosen], hi[chosen] = ids[order[heads]], ids[order[tails]]
+        for value, none, edge in zip(ends, unnamed, (order[heads], order[tails]), strict=True):
+            value[chosen], none[chosen] = ids[edge], anon[edge]
         for i in chosen.tolist():
             text[i] = words.joined(int(begin[i]), int(end[i]))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids),
-                pa.array(piece.column("h").to_numpy()[row]),
+                pa.array(anon),
+                pa.array(h),
                 pa.array(begin - words.first[row]),
                 pa.array(key.view(np.int64)),
                 pa.array(seg.view(np.int64)),
-                pa.array(lo),
-                pa.array(hi),
+                *(pa.array(value, mask=none) for value, none in zip(ends, unnamed, strict=True)),
                 pa.array(text, pa.string()),
             ],
-            ["id", "h", "start", "key", "seg", "lo", "hi", "text"],
+            [*TEXT, "start", "key", "seg", "lo", "hi", "text"],
         )
 
 
@@ -170,6 +193,8 @@ def _located(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         columns = [batch.column(name).to_pylist() for name in ("key", "seg", "lo", "hi", "text")]
+        for edge in columns[2:4]:
+            edge[:] = [LAST if id is None else id for id in edge]
         for line in zip(*columns, strict=True):
             if group and line[0] != group[0][0]:
                 close()
@@ -203,9 +228,9 @@ def _occurrences(stretches: list[tuple]) -> pa.RecordBatch:
     for line, (_, _, lo, hi, _) in zip(lines, stretches, strict=True):
         for i in range(len(line) - SIZE + 1):
             window = line[i : i + SIZE]
-            if lo < first.get(window, NO_ID + 1):
+            if lo < first.get(window, LAST + 1):
                 first[window] = lo
-            if hi > last.get(window, -NO_ID - 2):
+            if hi > last.get(window, -LAST - 1):
                 last[window] = hi
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for window, lo in first.items():
@@ -237,8 +262,8 @@ def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [(text or "").encode().split() for text in batch.column("text").to_pylist()]
         digests = [hashlib.sha256(b" ".join(words)).hexdigest() for words in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("h"), pa.array([len(w) for w in texts], pa.int64()), pa.array(digests)],
-            ["id", "h", "n_words", "sha256"],
+            [*(batch.column(c) for c in TEXT), pa.array([len(w) for w in texts], pa.int64()), pa.array(digests, pa.string())],
+            [*TEXT, "n_words", "sha256"],
         )
 
 
@@ -257,91 +282,94 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(gone)
             texts.append(b" ".join(kept + words[at:]).decode())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("h"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
-            ["id", "h", "n_removed", "kept"],
+            [*(batch.column(c) for c in TEXT), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
+            [*TEXT, "n_removed", "kept"],
         )
 
 
+_TEXT = "id long, anon boolean, h long"
+
+
+def _key(id: Column, text: Column) -> list[Column]:
+    """The columns ``TEXT``, none of them null."""
+    key = id.cast("long")
+    return [F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("anon"), F.xxhash64(text).alias("h")]
+
+
 def _named(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(F.col(text)).alias("h"),
-        F.col(text).alias("text"),
-    )
+    return docs.select(*_key(F.col(id), F.col(text)), F.col(text).alias("text"))
 
 
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h, n_removed, kept) of every text that loses words: ``kept`` is its other words,
-    joined by one space; ``h`` is the text's hash. Null ids are ``NO_ID``."""
+    """(id, anon, h, n_removed, kept) of every text that loses words: ``kept`` is its other words,
+    joined by one space; ``h`` is the text's hash, ``anon`` says that it has no id."""
     rows = _named(docs, id, text)
-    hashes = rows.select("id", "text").mapInArrow(_hashes, "m long, id long")
+    hashes, hashes_path = written(rows.mapInArrow(_hashes, f"{_TEXT}, m long, windows long"), "hashes")
+    named = F.when(~F.col("anon"), F.col("id"))
+    later = (F.min(named) < F.max(named)) | (F.min(named).isNotNull() & F.max("anon"))
+    hot = (F.count(F.lit(1)) > HOT) | (F.sum("windows") > HOT_WINDOWS)
     shared, shared_path = written(
-        hashes.groupBy("m")
-        .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.count(F.lit(1)) > HOT).alias("is_hot"))
-        .where("lo < hi")
-        .select("m", "is_hot"),
-        "shared",
+        hashes.groupBy("m").agg(hot.alias("is_hot"), later.alias("later")).where("later").select("m", "is_hot"), "shared"
     )
     lists = (
-        hashes.join(shared, "m")
-        .groupBy(F.col("id").alias("of"))
+        hashes.select(*TEXT, "m")
+        .join(shared, "m")
+        .groupBy(*TEXT)
         .agg(
-            F.collect_list(F.when(~F.col("is_hot"), F.col("m"))).alias("cold"),
-            F.collect_list(F.when(F.col("is_hot"), F.col("m"))).alias("hot"),
+            F.collect_set(F.when(~F.col("is_hot"), F.col("m"))).alias("cold"),
+            F.collect_set(F.when(F.col("is_hot"), F.col("m"))).alias("hot"),
         )
     )
-    candidates, _ = written(rows.join(lists, F.col("id") == F.col("of")).drop("of"), "candidates")
+    kept = rows.join(lists, list(TEXT))
+    candidates, _ = written(kept.select(*TEXT, "text", "cold", "hot").mapInArrow(_once, f"{_TEXT}, text string, cold array<long>, hot array<long>"), "candidates")
     discard(docs.sparkSession, shared_path)
+    discard(docs.sparkSession, hashes_path)
     stretches, stretches_path = written(candidates.mapInArrow(_stretches, _STRETCH), "stretches")
+    last = F.when(F.count("hi") == F.count(F.lit(1)), F.max("hi"))  # null, so without id, is the last
     found, found_path = written(
         stretches.where(F.col("text").isNotNull())
         .repartition("key")
         .groupBy("key", "seg", "text")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .agg(F.min("lo").alias("lo"), last.alias("hi"))
         .sortWithinPartitions("key")
         .select("key", "seg", "lo", "hi", "text")
         .mapInArrow(_located, "key long, seg long, begins array<int>, ends array<int>, firsts array<long>"),
         "found",
     )
-    earlier = F.filter(F.arrays_zip("begins", "ends", "firsts"), lambda x: x["firsts"] < F.col("id"))
+    earlier = F.filter(F.arrays_zip("begins", "ends", "firsts"), lambda x: F.col("anon") | (x["firsts"] < F.col("id")))
     moved = lambda side: F.transform("runs", lambda x: F.col("start") + x[side]).alias(side)
     runs, _ = written(
-        stretches.select("id", "h", "start", "key", "seg")
+        stretches.select(*TEXT, "start", "key", "seg")
         .join(found, ["key", "seg"])
-        .select("id", "h", "start", earlier.alias("runs"))
+        .select(*TEXT, "start", earlier.alias("runs"))
         .where(F.size("runs") > 0)
-        .select("id", "h", moved("begins"), moved("ends"))
-        .groupBy("id", "h")
+        .select(*TEXT, moved("begins"), moved("ends"))
+        .groupBy(*TEXT)
         .agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")]),
         "runs",
     )
     discard(docs.sparkSession, stretches_path)
     discard(docs.sparkSession, found_path)
-    covered = candidates.select("id", "h", "text").dropDuplicates(["id", "h"]).join(runs, ["id", "h"])
-    return covered.mapInArrow(_cut, "id long, h long, n_removed long, kept string")
+    covered = candidates.select(*TEXT, "text").dropDuplicates(list(TEXT)).join(runs, list(TEXT))
+    return covered.mapInArrow(_cut, f"{_TEXT}, n_removed long, kept string")
 
 
 def remove(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated passages taken out of the text; texts that lose nothing stay as
     they are. Own columns only."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    cut = repeats(docs, id, text).select(F.col("id").alias("of"), F.col("h").alias("of_h"), "kept")
-    key = F.coalesce(F.col(f"row.`{id}`").cast("long"), F.lit(NO_ID))
-    rows = docs.select(whole.alias("row")).join(
-        cut, (key == F.col("of")) & (F.xxhash64(F.col(f"row.`{text}`")) == F.col("of_h")), "left"
-    )
-    fields = [
-        (F.coalesce("kept", F.col(f"row.`{c}`")) if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns
-    ]
-    return rows.select(fields)
+    cut = repeats(docs, id, text).select(*TEXT, "kept")
+    column = lambda c: F.col(f"row.`{c}`")
+    rows = docs.select(whole.alias("row")).select("row", *_key(column(id), column(text))).join(cut, list(TEXT), "left")
+    return rows.select(*((F.coalesce("kept", column(c)) if c == text else column(c)).alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256."""
-    whole = _named(docs, id, text).mapInArrow(_whole, "id long, h long, n_words long, sha256 string")
-    cut = repeats(docs, id, text).select("id", "h", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    return whole.join(cut, ["id", "h"], "left").select(
-        F.nullif("id", F.lit(NO_ID)).alias(id),
+    whole = _named(docs, id, text).mapInArrow(_whole, f"{_TEXT}, n_words long, sha256 string")
+    cut = repeats(docs, id, text).select(*TEXT, "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return whole.join(cut, list(TEXT), "left").select(
+        F.when(~F.col("anon"), F.col("id")).alias(id),
         "n_words",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),

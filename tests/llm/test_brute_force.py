@@ -157,25 +157,6 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean([r["kept"] for r in held if r["quality"] == 1]) > 0.85
 
 
-def test_classifier_by_hand(spark):
-    docs = [(i, f"good words here {i}" if i % 3 else f"bad ### stuff {i}") for i in range(60)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(30)], "doc_id long, quality int")
-    rows = quality_classifier.choose(frame, labels).collect()
-    split = tokens.words_of(pa.array([t for _, t in docs]), tokens.SPACE)
-    row, bucket = quality_classifier.grams(split)
-    raw = np.bincount(bucket, minlength=quality_classifier.BUCKETS)
-    target = np.bincount(bucket[np.isin(row, [i for i in range(30) if i % 3])], minlength=quality_classifier.BUCKETS)
-    prior = quality_classifier.SMOOTHING
-    ratio = np.log(target + prior) - np.log(raw * target.sum() / raw.sum() + prior)
-    weight = np.bincount(row, weights=ratio[bucket])
-    score = weight + quality_classifier.gumbel(np.arange(60))
-    best = set(np.argsort(-score)[:40].tolist())
-    for r in rows:
-        assert r["log_weight"] == pytest.approx(weight[r["doc_id"]])
-        assert r["kept"] == (r["doc_id"] in best)
-
-
 def test_kth_highest(spark):
     values = [-(1 << 63), -5, -1, 0, 3, 3, 1 << 40, (1 << 63) - 1]
     frame = spark.createDataFrame([(v,) for v in values], "v long")
