@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyquill.functions import naming
 from tallyquill.functions.embedding import scaled
-from tallyquill.operators import answers, codes, nearest, splitter, store
+from tallyquill.operators import answers, codes, nearest, neardup, splitter, store
 from tallyquill.plans import documents as dp
 from tallyquill.plans import tables as t
 from tallyquill.plans.registry import Registry, with_
@@ -321,12 +321,41 @@ def dedup_content_stored(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY collection, coalesce(CAST(embedding AS VARCHAR), md5(text)) ORDER BY id) = 1""",
 )
 def dedup_nearest(spark, sf_dir):
+    return store.dedup_nearest(source_chunks(spark, sf_dir), ["doc_id"]).select("doc_id", "source", "collection")
+
+
+NEAR = 0.05
+
+
+def near_sql(stored):
+    """Chunks without an earlier one, or a stored one, within the distance."""
+    far = L2SQ.replace("q.", "a.").replace("v.", "b.")
+    return f"""SELECT a.id AS doc_id, a.source, a.collection FROM store a WHERE {"NOT " + stored.replace("store", "a") + " AND " if stored else ""}NOT EXISTS (
+    SELECT 1 FROM store b WHERE a.collection IS NOT DISTINCT FROM b.collection AND (b.id < a.id{" OR " + stored.replace("store", "b") if stored else ""})
+    AND CASE WHEN a.embedding IS NULL OR b.embedding IS NULL THEN a.embedding IS NULL AND b.embedding IS NULL AND a.text = b.text
+      ELSE round({far}, 12) <= {NEAR} END)"""
+
+
+def source_chunks(spark, sf_dir):
     docs = t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    chunks = docs.select(
+    return docs.select(
         "doc_id", F.col("source").alias("collection"),
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"), "text",
     )
-    return store.dedup_nearest(chunks, ["doc_id"]).select("doc_id", "source", "collection")
+
+
+@register("dedup_near", with_(DOC_STORE) + near_sql(""))
+def dedup_near(spark, sf_dir):
+    return neardup.dedup_near(source_chunks(spark, sf_dir), ["doc_id"], NEAR).select("doc_id", "source", "collection")
+
+
+@register("dedup_near_stored", with_(DOC_STORE) + near_sql("(store.id % 3 = 0)"))
+def dedup_near_stored(spark, sf_dir):
+    """A third of the documents is stored; the others arrive."""
+    rows = source_chunks(spark, sf_dir)
+    stored = store.embed(rows.where("doc_id % 3 = 0"))
+    kept = neardup.dedup_near(rows.where("doc_id % 3 <> 0"), ["doc_id"], NEAR, stored)
+    return kept.select("doc_id", "source", "collection")
 
 
 # --- inspecting ---------------------------------------------------------------------
