@@ -2,64 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyquill.operators import events as ev
 
 
-def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, gap: int) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = state.get[0] if state.exists else ev.LONG_AGO
-    for rows in _in_order(batches):
-        at = rows["at"].to_numpy()
-        taken, place = [], int(at.searchsorted(last + gap))
-        while place < len(at):
-            taken.append(place)
-            last = int(at[place])
-            place = int(at.searchsorted(last + gap))
-        yield rows.iloc[taken][["path", "event_id", "at"]]
-    # Once the watermark has passed this time, every later event is accepted anyway.
-    until = (last + gap) // 1000 + 1
-    if until > state.getCurrentWatermarkMs():
-        state.update((last,))
-        state.setTimeoutTimestamp(until)
-    elif state.exists:
-        state.remove()
-
-
-def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The events of one path in one micro-batch, in order of time."""
-    yield pd.concat(list(batches)).sort_values(["at", "event_id"])
-
-
-def debounce_stream(events: DataFrame, gap_seconds: float = ev.DEBOUNCE_SECONDS, late: str = "1 hour") -> DataFrame:
-    """Accepted events as they arrive. The state of a path is its last accepted time, kept
-    until the watermark has passed the waiting time after it.
-
-    Events of one micro-batch are taken in order of time. One that arrives in a later batch than
-    events after it is judged by the last accepted time alone; one later than ``late`` is dropped.
-    """
-    gap = int(gap_seconds * ev.SECOND)
-    path_type = events.schema["path"].dataType.simpleString()
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    rows = timed.select("path", "event_id", "ts", ev.micros("ts").alias("at"))
-    accepted = rows.groupBy("path").applyInPandasWithState(
-        lambda key, batches, state: _accept(key, batches, state, gap),
-        f"path {path_type}, event_id bigint, at bigint",
-        "last bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    return accepted.select("path", "event_id", F.timestamp_micros("at").alias("ts"))
-
-
 def session_stream(events: DataFrame, gap_seconds: int = ev.ACTIVITY_SECONDS, late: str = "1 hour") -> DataFrame:
     """Closed activity sessions per path; the watermark bounds what is kept open."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
