@@ -230,8 +230,12 @@ MOVEMENT_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
       ROWS UNBOUNDED PRECEDING) AS BIGINT) AS on_hand FROM movements""",
 )
 def inventory_live_update(spark, sf_dir):
+    return inventory.running_stock(movements(spark, sf_dir), MOVEMENT_ORDER)
+
+
+def movements(spark, sf_dir):
+    """Every third order adds to the stock, the others take from it."""
     sold = F.when(F.col("l_orderkey") % 3 == 0, F.col("units_sold")).otherwise(-F.col("units_sold"))
-    movements = t.sales(spark, sf_dir).select(
+    return t.sales(spark, sf_dir).select(
         "product_id", "warehouse", "date", *MOVEMENT_ORDER[:-1], sold.cast("bigint").alias("delta")
     )
-    return inventory.running_stock(movements, MOVEMENT_ORDER)
