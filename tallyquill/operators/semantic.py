@@ -107,13 +107,15 @@ def chunk_semantic_corpus(
     zeros = F.array_repeat(F.lit(0.0), width)
     embedded = pieces.withColumn("vector", F.coalesce(embed(F.col("piece")), zeros))
     points = checkpointed(embedded).withColumn("features", array_to_vector("vector")).drop("vector")
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(points.select("features"))
+    if points.isEmpty():  # nothing to fit: no rows, in the columns below
+        numbered = points.withColumn("prediction", F.lit(0))
+    else:
+        numbered = KMeans(k=k, seed=seed, maxIter=20).fit(points.select("features")).transform(points)
     members = F.transform(
         F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda member: member["piece"]
     )
     return (
-        model.transform(points)
-        .groupBy("doc_id", "prediction")
+        numbered.groupBy("doc_id", "prediction")
         .agg(F.array_join(members, "\n").alias("text"))
         .select(
             "doc_id",

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -254,6 +254,19 @@ def preview(store: DataFrame, chars: int = SAMPLE_CHARS, dims: int = PREVIEW_DIM
     )
 
 
+#: What ``observed`` counts.
+OBSERVED = ("chunks", "embeddings", "failures", "characters")
+
+
+def observed(chunks: DataFrame) -> tuple[DataFrame, Observation]:
+    """The chunks, and counts that are there once an action has gone over all of them: whoever
+    writes the chunks counts them on the way."""
+    counts = Observation()
+    missing = F.count(F.when(F.col("embedding").isNull(), 1))
+    values = (F.count(F.lit(1)), F.count("embedding"), missing, F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0)))
+    return chunks.observe(counts, *(value.alias(name) for value, name in zip(values, OBSERVED, strict=True))), counts
+
+
 def ingest_metrics(chunks: DataFrame) -> DataFrame:
     """Chunks, embeddings, failures and exact copies per source.
 

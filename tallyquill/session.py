@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+class NotShared(Exception):
+    """A cluster has no folder that all of its machines share."""
+
+
 class TooLarge(Exception):
     """A side that was expected to be small exceeds its bound."""
 
@@ -18,7 +22,12 @@ class TooLarge(Exception):
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``, else a folder
     inside the warehouse. Each application has its own part of it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        named = spark.sparkContext.getConf().contains("spark.sql.warehouse.dir")
+        if folder.startswith("file:") and not named and not spark.sparkContext.master.startswith("local"):
+            raise NotShared("set spark.checkpoint.dir to a folder that every executor can reach")
     return f"{folder.rstrip('/')}/tallyquill-{spark.sparkContext.applicationId}"
 
 

@@ -33,3 +33,11 @@ def fold_batches(path: str):
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     """Current files from the folded batches."""
     return ev.current_files(spark.read.parquet(path))
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Write one last event per path as batch -1 of a new folder, deletions included, so that readers no longer
+    go over all history. The stream that has stopped goes on with ``fold_batches(target)``."""
+    events = spark.read.parquet(path)
+    last = F.max_by(F.struct("event", "fingerprint", "ts", "event_id"), F.struct("ts", "event_id"))
+    events.groupBy("path").agg(last.alias("last")).select("path", "last.*").write.parquet(f"{target}/batch=-1")

@@ -170,3 +170,10 @@ def test_semantic_chunks_of_an_embedder_of_another_width(spark):
     rows = sorted((r.doc_id, r.chunk_index, r.text) for r in found.collect())
     assert [r[0] for r in rows] == [1, 1, 2]
     assert sorted("\n".join(r[2] for r in rows[:2]).split("\n")) == ["?!", "aa", "bbbb", "cc"]
+
+
+def test_semantic_corpus_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "one two. three four. five six seven.")], "doc_id long, text string")
+    assert semantic.chunk_semantic_corpus(none).columns == semantic.chunk_semantic_corpus(some).columns
+    assert semantic.chunk_semantic_corpus(none).count() == 0
