@@ -1,12 +1,11 @@
 """Licence scans by a positional index of rare words.
 
-Each licence notice below is a template. The index holds, for the rarest words of every
-template, their places in it. A document looks its own words up in this index; each hit
-proposes a template and the place where it would start (document place minus template place).
-A proposal holds if the template's mandatory phrase stands at its place. Its share is the weight
-of the rare words found where they belong, and half of the template's weight at least: the phrase
-alone suffices, whatever stands around it. (The SQL counterpart has no such floor: it leaves out
-``epl`` and ``mpl`` where less than half of the weight is found.)
+Each licence notice below is a template; a licence has several. The index holds, for the rarest words of every
+template, inside its mandatory phrase and around it, their places in it. A document looks its own words up in
+this index; each hit is a posting of a template and the place where it would start (document place minus template place).
+Postings are intersected: a template is proposed where ``AGREE`` of its rare words at least agree in the start. A
+proposal holds if the mandatory phrase stands at its place. Its share is the weight of the rare words
+found where they belong. Texts without any of the index's anchors, the rarest word of each phrase, are not split.
 
 Everything happens inside one projection: the index is a constant of the query, and each
 document is looked at alone, so there is no shuffle, and no document meets another one.
@@ -39,32 +38,61 @@ BASE = {
 #: Label, mandatory phrase, notice. The phrase is a part of the notice.
 NOTICES = (
     ("agpl", "affero general public license", "licensed under the gnu affero general public license"),
-    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
+    ("agpl", "affero general public license",
+     "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"
+     " as published by the free software foundation"),
+    ("agpl", "license identifier agpl", "spdx license identifier agpl 3 0"),
+    ("apache-2.0", "apache license version 2 0",
+     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", "www apache org licenses license 2 0",
+     "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0", "license identifier apache 2 0", "spdx license identifier apache 2 0"),
     ("bsd", "redistribution and use in source and binary forms",
-     "redistribution and use in source and binary forms with or without modification are permitted"),
+     "redistribution and use in source and binary forms with or without modification are permitted"
+     " provided that the following conditions are met"),
+    ("bsd-3", "may be used to endorse or promote products derived from this software",
+     "nor the names of its contributors may be used to endorse or promote products derived from this software"
+     " without specific prior written permission"),
+    ("bsd", "license identifier bsd", "spdx license identifier bsd"),
     ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
     ("cc-by-nd", "cc by nd", "licensed under cc by nd 4 0"),
     ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
     ("cc0", "cc0 1 0", "released under cc0 1 0 universal"),
     ("epl", "eclipse public license", "made available under the terms of the eclipse public license"),
+    ("epl", "license identifier epl", "spdx license identifier epl 2 0"),
+    ("gpl", "gnu general public license as published by the free software foundation",
+     "this program is free software you can redistribute it and or modify it under the terms of the"
+     " gnu general public license as published by the free software foundation either version 3 of the license"),
     ("gpl-2.0", "general public license version 2",
      "this work is licensed under the gnu general public license version 2"),
+    ("gpl-2.0", "license identifier gpl 2 0", "spdx license identifier gpl 2 0"),
     ("gpl-3.0", "general public license version 3",
      "this work is licensed under the gnu general public license version 3"),
+    ("gpl-3.0", "license identifier gpl 3 0", "spdx license identifier gpl 3 0"),
     ("isc", "permission to use copy modify and or distribute this software",
-     "permission to use copy modify and or distribute this software for any purpose with or without fee"),
+     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "license identifier isc", "spdx license identifier isc"),
     ("lgpl", "lesser general public license", "licensed under the gnu lesser general public license"),
+    ("lgpl", "lesser general public license",
+     "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"
+     " as published by the free software foundation"),
+    ("lgpl", "license identifier lgpl", "spdx license identifier lgpl 2 1"),
     ("mit", "mit license", "released under the mit license"),
+    ("mit", "license identifier mit", "spdx license identifier mit"),
     ("mit-notice", "permission is hereby granted free of charge",
-     "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+     " documentation files the software to deal in the software without restriction"),
     ("mpl", "mozilla public license", "subject to the terms of the mozilla public license"),
+    ("mpl", "mozilla public license",
+     "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "license identifier mpl", "spdx license identifier mpl 2 0"),
     ("unlicense", "released into the public domain",
      "this is free and unencumbered software released into the public domain"),
 )
 
-#: Rare words that the index keeps for each template, and the share that a verified phrase has at least.
-RARE = 4
-LEAST_SHARE = 0.5
+#: Rare words that the index keeps of each template's phrase and of the rest of its notice, and how many must agree.
+RARE = 2
+AGREE = 2
 
 
 @dataclass(frozen=True)
@@ -72,6 +100,7 @@ class Template:
     label: str
     key: tuple[str, ...]
     key_at: int
+    anchor: str
     rare: tuple[tuple[str, int, int], ...]  # word, place, weight
 
     @property
@@ -93,11 +122,23 @@ def templates() -> tuple[Template, ...]:
     for (label, phrase, _), text in zip(NOTICES, texts, strict=True):
         key = tuple(phrase.split())
         key_at = next(i for i in range(len(text)) if tuple(text[i : i + len(key)]) == key)
-        places = sorted({word: i for i, word in reversed(list(enumerate(text)))}.items(), key=lambda x: (-weight[x[0]], x[1]))
-        found.append(Template(label, key, key_at, tuple((w, i, weight[w]) for w, i in places[:RARE])))
+        rare = []
+        for inside in (True, False):
+            # First places of words in the phrase, or of other words around it, the rarest first.
+            places = {w: i for i, w in reversed(list(enumerate(text))) if (key_at <= i < key_at + len(key)) is inside}
+            chosen = sorted((w for w in places if inside or w not in key), key=lambda w: (-weight[w], places[w]))
+            rare += [(w, places[w], weight[w]) for w in chosen[:RARE]]
+        anchor = max(key, key=lambda w: (len(w) > 1, weight[w], len(w), w))
+        found.append(Template(label, key, key_at, anchor, tuple(rare)))
     return tuple(found)
 
 
+def anchors() -> list[str]:
+    """A word of every mandatory and base phrase, which a text with the phrase must hold."""
+    rest = {t.anchor for t in templates()}
+    return sorted(rest | {next((w for w in phrase.split() if w in rest), phrase.split()[0]) for phrase in BASE})
+
+
 def postings() -> dict[str, list[tuple[int, int]]]:
     """The index: for each rare word the templates that hold it, with its place."""
     index: dict[str, list[tuple[int, int]]] = {}
@@ -108,10 +149,8 @@ def postings() -> dict[str, list[tuple[int, int]]]:
 
 
 def _pattern() -> str:
-    """Matches a text, of any case, that holds a base phrase or a mandatory phrase."""
-    phrases = sorted({*BASE, *(phrase for _, phrase, _ in NOTICES)})
-    bodies = "|".join((MARKS + "+").join(map(re.escape, phrase.split())) for phrase in phrases)
-    return f"(?i)(?:^|{MARKS})(?:{bodies})(?:$|{MARKS})"
+    """Matches a text, of any case, that holds an anchor."""
+    return f"(?i)(?:^|{MARKS})(?:{'|'.join(map(re.escape, anchors()))})(?:$|{MARKS})"
 
 
 def _stands(words: Column, phrase: tuple[str, ...], at: Column) -> Column:
@@ -134,10 +173,12 @@ def _base_places(words: Column) -> Column:
 
 
 def _proposals(words: Column) -> Column:
-    """Distinct (template, start) pairs that the index proposes, each as one number: the start
+    """(template, start) pairs in which enough postings agree, each as one number: the start
     may lie before the first word, so it is kept with an offset."""
     width = 1 << 20
     index = postings()
+    if not index:
+        return F.array().cast("array<struct<template:int,start:int>>")
     entries = F.create_map(
         *[
             x
@@ -150,9 +191,17 @@ def _proposals(words: Column) -> Column:
         lambda x: x["w"].isin(*sorted(index)),
     )
     each = F.transform(hits, lambda x: F.transform(F.element_at(entries, x["w"]), lambda e: e + x["i"]))
-    numbers = F.array_distinct(F.flatten(each))
+    # Equal numbers stand together once sorted; of each that has enough of them, the AGREE-th is taken.
+    agreeing = let(
+        F.array_sort(F.flatten(each)),
+        lambda numbers: F.filter(
+            numbers,
+            lambda x, i: F.coalesce(F.get(numbers, i - (AGREE - 1)) == x, F.lit(False))
+            & ~F.coalesce(F.get(numbers, i - AGREE) == x, F.lit(False)),
+        ),
+    )
     return F.transform(
-        numbers,
+        agreeing,
         lambda x: F.struct(
             F.shiftright(x, 40).cast("int").alias("template"),
             (x.bitwiseAND(F.lit((1 << 40) - 1)) - width).cast("int").alias("start"),
@@ -170,8 +219,7 @@ def _verified(words: Column) -> Column:
             for word, place, w in template.rare:
                 weight = weight + F.when(F.get(words, x["start"] + place) == word, w).otherwise(0)
             here = (x["template"] == number) & _stands(words, template.key, x["start"] + template.key_at)
-            found = F.greatest(weight / F.lit(template.total), F.lit(LEAST_SHARE))
-            share = F.when(here, found).otherwise(share)
+            share = F.when(here, weight / F.lit(template.total)).otherwise(share)
             label = F.when(here, F.lit(template.label)).otherwise(label)
         return F.struct(label.alias("label"), share.alias("share"))
 
@@ -185,8 +233,8 @@ def _joined(labels: Column) -> Column:
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, places of base phrases, labels and score.
 
-    ``score`` is the largest share of a template's weight found for it, 0.5 for a document
-    with base or mandatory phrases alone, and 0 without labels.
+    ``score`` is the largest share of a template's weight found for it, 0.5 at least for a document
+    with base phrases, and 0 without labels.
     """
     column = F.col(text)
     none = F.struct(

@@ -119,13 +119,14 @@ def _license_sql() -> str:
         + f")::DOUBLE / {t.total} AS share FROM places WHERE w[i:i + {len(t.key) - 1}] = {list(t.key)!r}"
         for t in license_scan.templates()
     )
+    firsts = sorted({*(phrase.split()[0] for phrase in license_scan.BASE), *(t.key[0] for t in license_scan.templates())})
     return f"""WITH split AS MATERIALIZED (
   SELECT doc_id, {split_sql(LOWER_SQL, ASCII_MARKS)} AS w FROM documents),
-places AS MATERIALIZED (
-  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM split
-  WHERE list_has_any(w, ['license', 'cc', 'cc0', 'redistribution', 'permission', 'released'])),
+places AS MATERIALIZED (SELECT doc_id, w, i FROM (
+    SELECT doc_id, w, unnest([i for i in range(1, len(w) + 1) if list_contains({firsts!r}, w[i])]) AS i FROM split
+    WHERE list_has_any(w, {license_scan.anchors()!r}))),
 base AS ({base}),
-more AS (SELECT * FROM ({more}) WHERE share >= {license_scan.LEAST_SHARE}),
+more AS ({more}),
 based AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi,
   string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY doc_id),
 scored AS (SELECT doc_id, max(share) AS s FROM more GROUP BY doc_id),

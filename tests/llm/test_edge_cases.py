@@ -1,6 +1,9 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import math
+import random
+import re
 import zlib
 
 import pytest
@@ -145,18 +148,68 @@ SHORT_NOTICES = (
 
 
 def test_license_phrases_alone_find_their_label(spark):
-    assert [label for label, _ in SHORT_NOTICES] == [label for label, _, _ in license_scan.NOTICES]
-    texts = [text for _, text in SHORT_NOTICES] + [phrase for _, phrase, _ in license_scan.NOTICES]
-    rows = rows_by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
-    for i in range(len(texts)):
-        label = license_scan.NOTICES[i % len(license_scan.NOTICES)][0]
+    assert {label for label, _ in SHORT_NOTICES} <= {label for label, _, _ in license_scan.NOTICES}
+    texts = [*SHORT_NOTICES, *((label, phrase) for label, phrase, _ in license_scan.NOTICES)]
+    rows = rows_by_id(license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")))
+    for i, (label, _) in enumerate(texts):
         assert label in rows[i][0]["labels"].split(",")
-        assert 0.5 <= rows[i][0]["score"] <= 1.0
+        assert 0.3 <= rows[i][0]["score"] <= 1.0
     near = ["Mozilla Public Licenses", "the eclipse of public license", "subject to the terms of the mozilla licence"]
     rows = rows_by_id(license_scan.scan(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")))
     assert all(rows[i][0]["labels"] == "" and rows[i][0]["score"] == 0.0 for i in range(len(near)))
 
 
+def test_without_its_index_a_scan_has_no_labels_of_its_own(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "subject to the terms of the Mozilla Public License; MIT License")], "doc_id long, text string")
+    assert license_scan.scan(frame).first()["labels"] == "mit,mpl"
+    monkeypatch.setattr(license_scan, "postings", dict)
+    row = license_scan.scan(frame).first()
+    assert (row["labels"], row["base_labels"], row["score"]) == ("mit", "mit", 0.5)
+
+
+def licenses_by_hand(text):
+    """Labels and best share of the notices in a text, from the list of notices alone."""
+    words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    notices = [(label, phrase.split(), notice.split()) for label, phrase, notice in license_scan.NOTICES]
+    weight = lambda word: round(1000 * math.log(1 + len(notices) / sum(word in n for _, _, n in notices)))
+    labels, best = set(), 0.0
+    for label, phrase, notice in notices:
+        at = next(i for i in range(len(notice)) if notice[i : i + len(phrase)] == phrase)
+        inside = range(at, at + len(phrase))
+        rare = []
+        for chosen in ({w for w in phrase}, {w for w in notice if w not in phrase}):
+            place = {w: next(i for i, x in enumerate(notice) if x == w and (i in inside or w not in phrase)) for w in chosen}
+            rare += [(w, place[w]) for w in sorted(chosen, key=lambda w: (-weight(w), place[w]))[:2]]
+        for i in range(len(words) - len(phrase) + 1):
+            if words[i : i + len(phrase)] == phrase:
+                start = i - at
+                hits = [w for w, p in rare if 0 <= start + p < len(words) and words[start + p] == w]
+                if len(hits) >= 2:
+                    labels.add(label)
+                    best = max(best, sum(map(weight, hits)) / sum(weight(w) for w, _ in rare))
+    base = {label for p, label in license_scan.BASE.items() if f" {p} " in f" {' '.join(words)} "}
+    return ",".join(sorted(labels | base)), max(best, 0.5 if base else 0.0)
+
+
+def test_license_scan_by_hand(spark):
+    pick = random.Random(3)
+    texts = []
+    for _ in range(300):
+        parts = []
+        for _ in range(pick.randrange(1, 5)):
+            words = pick.choice(license_scan.NOTICES)[2].split()
+            cut = pick.randrange(len(words)) if pick.random() < 0.5 else 0
+            if pick.random() < 0.3:
+                words[pick.randrange(len(words))] = "other"
+            parts.append(" ".join(words[cut:] if pick.random() < 0.5 else words[: len(words) - cut]))
+        texts.append(pick.choice((" ", ", ", "\n")).join(parts).title())
+    rows = rows_by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, text in enumerate(texts):
+        labels, score = licenses_by_hand(text)
+        assert rows[i][0]["labels"] == labels and rows[i][0]["score"] == pytest.approx(score), text
+    assert len({rows[i][0]["labels"] for i in rows}) > 20
+
+
 def test_quality_rules(docs, none):
     rows = rows_by_id(quality_rules.judge(docs))
     assert sum(map(len, rows.values())) == len(DOCS)
