@@ -53,6 +53,7 @@ def points():
 @pytest.mark.parametrize("group, rows", [(4_000_000, 10_000), (20, 7), (6, 100)])
 def test_exact_search(spark, points, metric, group, rows, monkeypatch):
     monkeypatch.setattr(nearest, "GROUP_ELEMENTS", group)
+    monkeypatch.setattr(nearest, "FILE_ROWS", 2)
     monkeypatch.setattr(nearest, "ROWS", rows)
     q, v = frames(spark, *points)
     found = nearest.nearest(q, v.repartition(3), k=4, metric=metric)
