@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyquill.functions import text as tx
 from tallyquill.operators import chunking, semantic, splitter
 from tallyquill.plans import tables as t
-from tallyquill.plans.registry import Registry, with_
+from tallyquill.plans.registry import Registry, recursive_with, with_
 
 register = Registry()
 
@@ -32,6 +32,16 @@ pages_text AS (SELECT doc_id, CAST(i AS INTEGER) AS page_num, parts[i] AS text
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM listed))"""
 
 
+def hashed_sql(name, source, columns, text):
+    """SQL twin of the built-in embedder."""
+    return f"""{name}_tokens AS (SELECT {columns}, [('0x' || substr(md5(w), 1, 4))::INTEGER % 64
+    for w in list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')] AS buckets FROM {source}),
+{name}_counts AS (SELECT * EXCLUDE (buckets), CASE WHEN len(buckets) > 0 THEN
+    [len(list_filter(buckets, lambda b: b = i)) for i in range(64)] END AS counts FROM {name}_tokens),
+{name} AS (SELECT * EXCLUDE (counts), [round(c / sqrt(list_sum([x * x for x in counts])), 6) for c in counts] AS embedding
+  FROM {name}_counts)"""
+
+
 def exploded_sql(source, pieces, label):
     return f"""pieces AS (SELECT doc_id, page_num, {pieces} AS parts FROM {source}),
 chunks AS (SELECT doc_id, page_num, CAST(i AS INTEGER) AS chunk_index,
@@ -174,7 +184,60 @@ def chunk_section(spark, sf_dir):
     return chunking.chunk_sections(section_documents(spark, sf_dir))
 
 
-@register("chunk_semantic")
+# The clusters of each document's pieces, one round of the recursion at a time. Equal squares go to
+# the first centre or piece, as squares are rounded before they are compared.
+WIDTH = 64
+
+
+def squares_sql(point, centers):
+    return f"""[round(list_dot_product(c, c) - 2 * list_dot_product({point}, c) + list_dot_product({point}, {point}), 9)
+      for c in {centers}]"""
+
+
+def farthest_sql(centers):
+    """The point farthest from its nearest centre."""
+    least = f"[list_min({squares_sql('p', centers)}) for p in points]"
+    return f"list_transform([{least}], lambda far: points[list_position(far, list_max(far))])[1]"
+
+
+def start_sql(k):
+    """The first point, then each time the one farthest from those chosen."""
+    steps = ["start_1 AS (SELECT doc_id, points, [points[1]] AS centers FROM points)"]
+    for n in range(2, k + 1):
+        steps.append(
+            f"""start_{n} AS (SELECT doc_id, points, CASE WHEN len(points) < {n} THEN centers
+            ELSE list_append(centers, {farthest_sql("centers")}) END AS centers FROM start_{n - 1})"""
+        )
+    return steps
+
+
+NEAREST = f"[list_transform([{squares_sql('p', 'centers')}], lambda far: list_position(far, list_min(far)))[1] for p in points]"
+MEANS = f"""list_transform(centers, lambda old, j: CASE WHEN list_contains(found, j) THEN
+    list_transform([list_filter(points, lambda p, i: found[i] = j)], lambda own:
+      [list_sum([m[d] for m in own]) / len(own) for d in range(1, {WIDTH + 1})])[1]
+    ELSE old END)"""
+SEMANTIC = (
+    """texts AS (SELECT doc_id, flatten([string_split(page, '.') for page in string_split(text, chr(12))]) AS pieces FROM paged)""",
+    "piece_rows AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS place FROM texts)",
+    hashed_sql("piece", "piece_rows", "doc_id, place", "piece"),
+    f"""points AS MATERIALIZED (SELECT doc_id, list(coalesce(embedding, [0.0::DOUBLE for i in range({WIDTH})]) ORDER BY place) AS points
+      FROM piece GROUP BY doc_id)""",
+    *start_sql(semantic.CLUSTERS),
+    f"""lloyd AS (SELECT doc_id, 0 AS attempt, found AS labels, {MEANS} AS centers, false AS done
+        FROM (SELECT doc_id, points, centers, {NEAREST} AS found FROM start_{semantic.CLUSTERS})
+      UNION ALL SELECT doc_id, attempt + 1, found, {MEANS}, found = labels
+        FROM (SELECT doc_id, attempt, labels, centers, points, {NEAREST} AS found
+          FROM lloyd JOIN points USING (doc_id) WHERE NOT done AND attempt < 99))""",
+    """labelled AS (SELECT doc_id, pieces, labels, list_sort([list_position(labels, j) for j in list_distinct(labels)]) AS firsts
+      FROM (SELECT doc_id, arg_max(labels, attempt) AS labels FROM lloyd GROUP BY doc_id) JOIN texts USING (doc_id))""",
+    """semantic_chunks AS (SELECT doc_id, CAST(NULL AS INTEGER) AS page_num, CAST(n AS INTEGER) AS chunk_index,
+      'cluster_' || n AS chunk_name,
+      array_to_string(list_filter(pieces, lambda w, i: labels[i] = labels[firsts[n]]), chr(10)) AS text
+      FROM (SELECT *, unnest(range(1, len(firsts) + 1)) AS n FROM labelled))""",
+)
+
+
+@register("chunk_semantic", recursive_with(PAGED, *SEMANTIC) + "SELECT * FROM semantic_chunks")
 def chunk_semantic(spark, sf_dir):
     return semantic.chunk_semantic(paged_documents(spark, sf_dir))
 
@@ -343,10 +406,13 @@ def all_mode_sql():
         f"""SELECT doc_id, page_num, CAST(len({images}) AS INTEGER), 'page_' || page_num || '_visual_info',
         array_to_string({images}, chr(10)), 'visual_chunks' FROM pages_text"""
     )
-    return with_(*ctes) + "\nUNION ALL ".join(selects)
+    ctes.extend(SEMANTIC)
+    selects.append("SELECT *, 'semantic_chunks' FROM semantic_chunks")
+    return recursive_with(*ctes) + "\nUNION ALL ".join(selects)
 
 
 @register("chunk_all_modes", all_mode_sql())
 def chunk_all_modes(spark, sf_dir):
-    """The strategies that SQL can express; the semantic one has its own query."""
-    return chunking.chunk_all(all_mode_pages(spark, sf_dir), paged_documents(spark, sf_dir))
+    """All nine strategies."""
+    docs = paged_documents(spark, sf_dir)
+    return chunking.chunk_all(all_mode_pages(spark, sf_dir), docs, semantic.chunk_semantic(docs))

@@ -79,23 +79,13 @@ def document_store(spark, sf_dir):
     return store.read(spark, _CHUNKED[key], rows.schema)
 
 
-def hashed_sql(name, source, columns, text):
-    """SQL twin of the built-in embedder."""
-    return f"""{name}_tokens AS (SELECT {columns}, [('0x' || substr(md5(w), 1, 4))::INTEGER % 64
-    for w in list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')] AS buckets FROM {source}),
-{name}_counts AS (SELECT * EXCLUDE (buckets), CASE WHEN len(buckets) > 0 THEN
-    [len(list_filter(buckets, lambda b: b = i)) for i in range(64)] END AS counts FROM {name}_tokens),
-{name} AS (SELECT * EXCLUDE (counts), [round(c / sqrt(list_sum([x * x for x in counts])), 6) for c in counts] AS embedding
-  FROM {name}_counts)"""
-
-
-STORE = hashed_sql(
+STORE = dp.hashed_sql(
     "store",
     f"({dp.recursive_sql(CHUNK_PLAN, splitter.SPLIT_PLANS[CHUNK_PLAN])}) JOIN (SELECT doc_id, source AS folder FROM documents) USING (doc_id)",
     "folder AS collection, folder || '/' || doc_id || '.txt_chunk_' || chunk_index AS id, folder || '/' || doc_id || '.txt' AS source, text",
     "text",
 )
-DOC_STORE = hashed_sql(
+DOC_STORE = dp.hashed_sql(
     "store",
     "documents",
     "source AS collection, doc_id AS id, source || '/' || doc_id || '.txt' AS source, text",
@@ -505,7 +495,7 @@ def knn_approx_recall(spark, sf_dir):
     return report.withColumn("full_vectors", full).withColumn("rows", coded.agg(F.count("*")).scalar())
 
 
-ASKED_VECTORS = hashed_sql("asked", "(SELECT * FROM routed WHERE route = 'database')", "qid, question, route", "question")
+ASKED_VECTORS = dp.hashed_sql("asked", "(SELECT * FROM routed WHERE route = 'database')", "qid, question, route", "question")
 HITS = (STORE, QUESTIONS, ROUTED, ASKED_VECTORS, top_sql("found", "asked", "store", 5))
 
 
