@@ -1,25 +1,29 @@
 """The vector store as one table: (collection, id, source, text, embedding, ...).
 
 The functions up to ``dedup_nearest`` say what a change means, from table to table. The stored
-table is a Parquet folder partitioned by collection (or by another column with few values); a
-change reads and rewrites only the partitions it touches.
+table is a Parquet folder partitioned by collection (or by another column with few values). A change
+finds the files that hold a row it touches, writes what is left of them and what is new to a folder of
+its own, and swaps these files in; all other files stay as they are. Bloom filters on id and source let
+the search for a few keys skip what cannot hold them. One writer at a time; a change that was
+interrupted is finished, or dropped if it had not been written whole, by the next one.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from tallyquill.functions.embedding import HASH64, hash64
 from tallyquill.functions.text import snippet
-from tallyquill.session import discard, written
+from tallyquill.session import discard
 
 # Lengths shown by the inspection reports.
 SAMPLE_CHARS = 50
@@ -135,13 +139,23 @@ def _checked(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn(by, F.when(F.col(by) == "", refused).otherwise(F.col(by)))
 
 
+#: Columns that changes are found by; their Bloom filters are as large as their values need.
+MARKED = ("id", "source")
+
+
+def _writer(rows: DataFrame, by: str) -> DataFrameWriter:
+    marked = {f"parquet.bloom.filter.enabled#{name}": "true" for name in MARKED if name in rows.columns}
+    options = {"parquet.bloom.filter.adaptive.enabled": "true", **marked}
+    return _checked(rows, by).write.options(**options).partitionBy(by)
+
+
 def create(rows: DataFrame, path: str, by: str = "collection") -> None:
-    _checked(rows, by).write.partitionBy(by).parquet(path)
+    _writer(rows, by).parquet(path)
 
 
 def add(rows: DataFrame, path: str, by: str = "collection") -> None:
     """Append chunks; nothing that is stored is read."""
-    _checked(rows, by).write.mode("append").partitionBy(by).parquet(path)
+    _writer(rows, by).mode("append").parquet(path)
 
 
 def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -149,55 +163,134 @@ def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _folder(spark: SparkSession, by: str, name: object) -> str:
-    """Folder of a partition; rows without a name have one of their own."""
-    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(
-        by, None if name is None else str(name)
-    )
-
+FILE = "_metadata.file_path"
+#: Folder of changes under way; Spark does not read names that begin with a low line.
+CHANGES = "_changes"
+#: Names the files that a change replaces; it is there once all of the change's own files are.
+REPLACES = "_replaces"
+#: Up to so many keys are looked for by value, which Bloom filters answer; more of them by a join.
+FEW_KEYS = 1000
+#: Spark pushes so many values of one list down to the files.
+PUSHED_VALUES = 10
+
+
+def _among(column: str, values: Sequence[object]) -> Column:
+    """The column is one of the values, null being one like any other."""
+    present = [value for value in values if value is not None]
+    parts = [F.col(column).isin(present[i : i + PUSHED_VALUES]) for i in range(0, len(present), PUSHED_VALUES)]
+    if len(present) < len(values):
+        parts.append(F.col(column).isNull())
+    return reduce(Column.__or__, parts)
+
+
+def holding(stored: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(file) of the stored files that hold one of the wanted keys. Only key columns are read, and of files
+    that cannot hold one of a few keys only what says so."""
+    named = wanted.select(*(F.col(key).alias(f"_wanted_{i}") for i, key in enumerate(keys))).distinct()
+    few = [tuple(row) for row in named.limit(FEW_KEYS + 1).collect()] if len(keys) == 1 else []
+    if few and len(few) <= FEW_KEYS:
+        held = stored.where(_among(keys[0], [row[0] for row in few])).select(F.col(FILE).alias("file"))
+    else:
+        same = [F.col(key).eqNullSafe(F.col(f"_wanted_{i}")) for i, key in enumerate(keys)]
+        held = stored.select(*keys, F.col(FILE).alias("file")).join(named, reduce(Column.__and__, same), "left_semi")
+    return held.select("file").distinct()
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def _finish(spark: SparkSession, path: str, change: str) -> None:
+    """Swap a change's files in: first the new ones are moved, then the replaced ones deleted. Each step may be repeated."""
+    system, Path = _files(spark, path)
+    listed = system.open(Path(f"{change}/{REPLACES}"))
+    replaced = spark._jvm.org.apache.commons.io.IOUtils.toString(listed, "UTF-8").split("\n")
+    listed.close()
+    moving, start = system.listFiles(Path(change), True), len(system.makeQualified(Path(change)).toString()) + 1
+    new = []
+    while moving.hasNext():
+        new.append(moving.next().getPath())
+    for file in new:
+        place = file.toString()[start:]
+        if "/" in place:  # a file of a partition
+            target = Path(f"{path}/{place}")
+            system.mkdirs(target.getParent())
+            system.rename(file, target)
+    for old in (Path(spark._jvm.java.net.URI(name)) for name in replaced if name):  # Spark names files as URIs
+        system.delete(old, False)
+        if system.exists(old.getParent()) and not system.listStatus(old.getParent()):
+            system.delete(old.getParent(), False)
+    discard(spark, change)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish the changes that were interrupted while they were swapped in, and drop those that were not yet written whole."""
+    system, Path = _files(spark, path)
+    changes = Path(f"{path}/{CHANGES}")
+    for found in system.listStatus(changes) if system.exists(changes) else []:
+        change = f"{path}/{CHANGES}/{found.getPath().getName()}"
+        if system.exists(Path(f"{change}/{REPLACES}")):
+            _finish(spark, path, change)
+        else:
+            discard(spark, change)
+
+
+def _prepare(
+    stored: DataFrame, path: str, wanted: DataFrame, keys: Sequence[str], new: DataFrame | None, by: str
+) -> str | None:
+    """Write a change whole: the rows of the files that hold a wanted key, without those that have one,
+    and the new rows. The names of the files pass through the driver. Returns its folder, None if nothing changes."""
+    spark = stored.sparkSession
+    names = [row.file for row in holding(stored, wanted, keys).collect()]
+    # Spark lists only these files for the condition on their names.
+    rows = _without(stored.where(F.col(FILE).isin(names)), wanted, keys).select(*stored.columns) if names else None
+    parts = [part for part in (rows, None if new is None else new.select(*stored.columns)) if part is not None]
+    if not parts:
+        return None
+    change = f"{path}/{CHANGES}/{uuid.uuid4().hex}"
+    _writer(reduce(DataFrame.unionByName, parts), by).parquet(change)
+    system, Path = _files(spark, path)
+    out = system.create(Path(f"{change}/{REPLACES}.part"))
+    out.write(bytearray("\n".join(names), "utf-8"))
+    out.close()
+    system.rename(Path(f"{change}/{REPLACES}.part"), Path(f"{change}/{REPLACES}"))
+    return change
+
+
+def _swap(
+    stored: DataFrame, path: str, wanted: DataFrame, keys: Sequence[str], new: DataFrame | None, by: str
+) -> None:
+    change = _prepare(stored, path, wanted, keys, new, by)
+    if change is not None:
+        _finish(stored.sparkSession, path, change)
 
-def _rewrite(stored: DataFrame, path: str, touched: DataFrame, by: str, change: Callable[[DataFrame], DataFrame]) -> None:
-    """Replace the partitions named in ``touched`` by what ``change`` makes of their rows.
 
-    Names of partitions are collected, no more than the change touches, so that the scan lists only
-    their folders. The new rows are written aside first; partitions left without rows are deleted.
-    """
-    spark = stored.sparkSession
-    names = [row[0] for row in touched.select(by).distinct().collect()]
-    if not names:
-        return
-    named = F.col(by).isin([name for name in names if name is not None])
-    affected = stored.where(named | F.col(by).isNull() if None in names else named)
-    after, aside = written(_checked(change(affected).select(*stored.columns), by), "change")
-    left = {row[0] for row in after.select(by).distinct().collect()}
-    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-    for name in set(names) - left:
-        discard(spark, f"{path}/{_folder(spark, by, name)}")
-    discard(spark, aside)
+def _current(stored: DataFrame, path: str) -> DataFrame:
+    """The stored table after interrupted changes have been dealt with."""
+    recover(stored.sparkSession, path)
+    return read(stored.sparkSession, path, stored.schema)
 
 
 def upsert_into(
     stored: DataFrame, path: str, updates: DataFrame, keys: Sequence[str], order: Sequence[Column], by: str = "collection"
 ) -> None:
     """Add or replace rows by key. A key stays in its collection; rows without a collection are one."""
-    _rewrite(stored, path, updates, by, lambda rows: upsert(rows, updates, keys, order))
-
-
-def _places(stored: DataFrame, sources: DataFrame, by: str) -> DataFrame:
-    """Partitions that hold one of the sources."""
-    named = sources.select(F.col("source").alias("_source")).distinct()
-    return stored.join(named, F.col("source").eqNullSafe(F.col("_source")), "left_semi").select(by)
+    stored = _current(stored, path)
+    places = [row[0] for row in updates.select(by).distinct().collect()]
+    if places:
+        named = stored.where(_among(by, places))
+        _swap(named, path, updates, keys, latest(updates, keys, order), by)
 
 
 def replace_sources_in(stored: DataFrame, path: str, updates: DataFrame, by: str = "collection") -> None:
     """Replace everything the changed sources had, wherever it is stored."""
-    touched = _places(stored, updates, by).unionByName(updates.select(by))
-    _rewrite(stored, path, touched, by, lambda rows: replace_sources(rows, updates))
+    _swap(_current(stored, path), path, updates, ["source"], updates, by)
 
 
 def delete_sources_in(stored: DataFrame, path: str, sources: DataFrame, by: str = "collection") -> None:
     """Delete all chunks of the listed sources."""
-    _rewrite(stored, path, _places(stored, sources, by), by, lambda rows: delete_sources(rows, sources))
+    _swap(_current(stored, path), path, sources, ["source"], None, by)
 
 
 # --- reading --------------------------------------------------------------------------

@@ -67,6 +67,98 @@ def test_rows_without_a_collection_are_a_collection(spark, tmp_path):
     assert ids(current()) == ["k"]
 
 
+def files_of(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in folder.rglob("part-*.parquet")}
+
+
+def scanned(frame, metric):
+    """Sum of a metric over the file scans of a plan, once it has run."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaves = [plan.collectLeaves().apply(i) for i in range(plan.collectLeaves().size())]
+    return sum(leaf.metrics().apply(metric).value() for leaf in leaves if "Scan parquet" in leaf.nodeName())
+
+
+@pytest.fixture()
+def many_files(spark, tmp_path):
+    """Two collections of eight files each; the ids and sources of a file are its own."""
+    path = tmp_path / "store"
+    rows = spark.range(0, 32000, 1, 8).select(
+        F.concat(F.lit("id"), "id").alias("id"),
+        F.when(F.col("id") % 2 == 0, "even/one").alias("collection"),
+        F.concat(F.lit("s"), (F.col("id") / 2).cast("int")).alias("source"),
+        F.lit("t").alias("text"),
+        F.lit(1).alias("version"),
+    )
+    store.create(rows, str(path))
+    return path, store.read(spark, str(path), rows.schema)
+
+
+def test_a_change_rewrites_only_files_that_hold_its_keys(spark, many_files):
+    path, stored = many_files
+    before = files_of(path)
+    assert len(before) == 16
+    store.delete_sources_in(stored, str(path), spark.createDataFrame([("s7",), ("none",)], "source string"))
+    after = files_of(path)
+    assert len(before.items() - after.items()) == 2  # one file of each collection
+    current = lambda: store.read(spark, str(path), stored.schema)
+    assert current().count() == 31998 and current().where("source = 's7'").count() == 0
+    update = chunks(spark, ("id9000", "even/one", "s4500", "new", 2))
+    store.upsert_into(current(), str(path), update, ["id"], [F.col("version")])
+    assert len(after.items() - files_of(path).items()) == 1
+    assert [r.text for r in current().where("id = 'id9000'").collect()] == ["new"]
+    assert current().count() == 31998 and not list(path.glob("_changes/*"))
+
+
+def test_bloom_filters_skip_files(spark, many_files):
+    _, stored = many_files
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        named = spark.createDataFrame([("s7",), ("s15999",)], "source string")
+        found = store.holding(stored, named, ["source"])
+        assert scanned(found, "numOutputRows") <= 4 * 2000 and found.count() == 4
+        names = [r.file for r in found.collect()]
+        assert scanned(stored.where(F.col(store.FILE).isin(names)), "numFiles") == 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_few_and_many_keys_find_the_same_files(spark, many_files, monkeypatch):
+    _, stored = many_files
+    named = spark.createDataFrame([(f"s{i}",) for i in range(0, 4000, 150)] + [(None,)], "source string")
+    few = sorted(r.file for r in store.holding(stored, named, ["source"]).collect())
+    monkeypatch.setattr(store, "FEW_KEYS", 3)
+    assert few == sorted(r.file for r in store.holding(stored, named, ["source"]).collect()) and len(few) == 4
+
+
+@pytest.mark.parametrize("moved", [False, True])
+def test_an_interrupted_change_is_finished_by_the_next(spark, many_files, monkeypatch, moved):
+    path, stored = many_files
+    gone = spark.createDataFrame([("s7",)], "source string")
+    with monkeypatch.context() as patch:
+        if moved:  # the files are in, the replaced ones are still there
+            patch.setattr(store, "discard", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        else:
+            patch.setattr(store, "_finish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            store.delete_sources_in(stored, str(path), gone)
+    store.recover(spark, str(path))
+    store.recover(spark, str(path))
+    current = store.read(spark, str(path), stored.schema)
+    assert current.count() == 31998 and current.select("id").distinct().count() == 31998
+    assert not list(path.glob("_changes/*"))
+
+
+def test_a_change_that_was_not_written_whole_is_dropped(spark, many_files):
+    path, stored = many_files
+    stray = path / "_changes" / "x" / "collection=even%2Fone"
+    stray.mkdir(parents=True)
+    (stray / "part-0.parquet").write_bytes(b"half")
+    store.delete_sources_in(stored, str(path), spark.createDataFrame([("s7",)], "source string"))
+    assert store.read(spark, str(path), stored.schema).count() == 31998
+
+
 def test_null_keys_are_replaced(spark, tmp_path):
     path = str(tmp_path / "stock")
     stock = lambda *rows: spark.createDataFrame(list(rows), "product_id int, warehouse string, units int, version int")
