@@ -13,7 +13,7 @@ from tallyquill.plans import inventory as stock
 from tallyquill.plans import tables as t
 from tallyquill.plans import vectors as vec
 from tallyquill.plans.registry import Registry, with_
-from tallyquill.session import fresh_path
+from tallyquill.session import fresh_path, written
 from tallyquill.sources import files as src
 from tallyquill.sources import tables as io
 
@@ -280,8 +280,14 @@ STATES = (
     FROM after a FULL JOIN before b USING (path)""",
 )
 def changed_files(spark, sf_dir):
+    """A listing against the manifest that the last pass stored."""
     before, after = plain_states(spark, sf_dir)
-    return manifest.changed_files(manifest.snapshot(after), manifest.snapshot(before))
+    return manifest.changed_files(manifest.snapshot(after), stored_manifest(spark, before))
+
+
+def stored_manifest(spark, files):
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.kept(spark, manifest.keep(manifest.snapshot(files), buckets))
 
 
 @register(
@@ -314,9 +320,9 @@ def source_chunks(states):
 )
 def stream_modified(spark, sf_dir):
     """Chunks after a second pass over the folder: only new and changed files are chunked
-    again, changed and deleted ones lose what they had."""
+    again, changed and deleted ones lose what they had. The status of the files is written once."""
     before, after = plain_states(spark, sf_dir)
-    status = manifest.changed_files(manifest.snapshot(after), manifest.snapshot(before))
+    status, _ = written(manifest.changed_files(manifest.snapshot(after), stored_manifest(spark, before)), "status")
     todo = after.join(status.where("status IN ('new', 'changed')"), "path", "left_semi")
     return manifest.refresh(source_chunks(before), source_chunks(todo), status)
 
