@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Sequence
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +54,19 @@ def hash64(text: Column) -> Column:
     return bind(tx.tokens(text), vector)
 
 
+def hash64_model(texts: Sequence[str]) -> list[list[float] | Exception]:
+    """The built-in embedder as a model that is called with a batch of texts, as one outside Spark would
+    be. A text without tokens is refused."""
+    answers: list[list[float] | Exception] = []
+    for text in texts:
+        words = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+        counts = Counter(int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % BUCKETS for word in words)
+        length = sum(count * count for count in counts.values()) ** 0.5
+        vector = [round(counts[bucket] / length * 10**DIGITS) / 10**DIGITS for bucket in range(BUCKETS)] if words else None
+        answers.append(vector or ValueError("no words"))
+    return answers
+
+
 def scaled(vector: Column, digits: int = DIGITS) -> Column:
     """Vector as comma-separated whole numbers, for comparing and showing."""
     ints = F.transform(vector, lambda x: F.round(x.cast("double") * 10**digits).cast("bigint").cast("string"))

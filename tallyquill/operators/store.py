@@ -10,9 +10,10 @@ interrupted is finished, or dropped if it had not been written whole, by the nex
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -43,28 +44,80 @@ def embed(chunks: DataFrame, text: str = "text", embedder=hash64, embedder_id: s
     return chunks.withColumn("embedding", embedder(F.col(text))).withColumn("embedder_id", F.lit(embedder_id))
 
 
-def embed_with_retry(chunks: DataFrame, model, attempts: int = 3, wait_seconds: float = 2.0) -> DataFrame:
-    """Embed with a model that may fail. Every chunk keeps its row: a failure leaves a NULL
-    vector, the last error and the number of attempts next to it."""
+#: A model's answer to one text: its vector, or why there is none.
+Answer = Sequence[float] | Exception
+
+
+def _ask(model: Callable[[list[str]], Sequence[Answer]], texts: list[str]) -> list[Answer]:
+    """One call. A call that raises, or answers another number of texts, fails for all of its texts."""
+    try:
+        answers = list(model(texts))
+    except Exception as problem:  # noqa: BLE001
+        return [problem] * len(texts)
+    if len(answers) != len(texts):
+        return [ValueError(f"{len(answers)} answers to {len(texts)} texts")] * len(texts)
+    return answers
+
+
+def _answers(
+    model: Callable[[list[str]], Sequence[Answer]], texts: list[str], attempts: int, wait_seconds: float
+) -> list[tuple[list[float] | None, str | None, int]]:
+    """(vector, error, attempts) per text. Only texts that failed are sent again, in ever smaller calls; in the
+    last attempt each is alone, so that no text fails because of another."""
+    found: list = [None] * len(texts)
+    left = list(range(len(texts)))
+    for attempt in range(1, attempts + 1):
+        if not left:
+            break
+        if attempt > 1:
+            time.sleep(wait_seconds)
+        step = math.ceil(len(left) ** ((attempts - attempt) / max(1, attempts - 1))) if attempts > 1 else 1
+        failed = []
+        for start in range(0, len(left), step):
+            places = left[start : start + step]
+            for place, answer in zip(places, _ask(model, [texts[p] for p in places])):
+                if isinstance(answer, Exception):
+                    found[place] = (None, f"{type(answer).__name__}: {answer}", attempt)
+                    failed.append(place)
+                else:
+                    found[place] = ([float(x) for x in answer], None, attempt)
+        left = failed
+    return found
+
+
+def embed_batches(
+    chunks: DataFrame,
+    model: Callable[[list[str]], Sequence[Answer]],
+    attempts: int = 3,
+    wait_seconds: float = 2.0,
+    batch: int = 64,
+) -> DataFrame:
+    """Embed with a model that takes up to ``batch`` texts at once and may fail. Every chunk keeps its row: a
+    failure leaves a NULL vector, the last error and the number of attempts next to it; so does a null text,
+    which is not sent."""
+
     @F.pandas_udf("embedding array<double>, error string, attempts int")
     def call(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            vector, error = None, None
-            for attempt in range(1, attempts + 1):
-                try:
-                    vector, error = [float(x) for x in model(text)], None
-                    break
-                except Exception as problem:  # noqa: BLE001
-                    error = f"{type(problem).__name__}: {problem}"
-                    if attempt < attempts:
-                        time.sleep(wait_seconds)
-            rows.append((vector, error, attempt))
+        rows: list = [(None, "ValueError: no text", 0)] * len(texts)
+        present = [i for i, text in enumerate(texts) if text is not None]
+        for start in range(0, len(present), batch):
+            places = present[start : start + batch]
+            for place, row in zip(places, _answers(model, [texts[p] for p in places], attempts, wait_seconds)):
+                rows[place] = row
         return pd.DataFrame(rows, columns=["embedding", "error", "attempts"])
 
     return chunks.withColumn("called", call("text")).select("*", "called.*").drop("called")
 
 
+def embed_with_retry(chunks: DataFrame, model, attempts: int = 3, wait_seconds: float = 2.0) -> DataFrame:
+    """The same with a model of one text, which raises where it fails."""
+
+    def each(texts: list[str]) -> list[Answer]:
+        return [_ask(lambda one: [model(one[0])], [text])[0] for text in texts]
+
+    return embed_batches(chunks, each, attempts, wait_seconds)
+
+
 def append(store: DataFrame, chunks: DataFrame) -> DataFrame:
     return store.unionByName(chunks)
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import regex
 from pyspark.sql import functions as F
 
 from tallyquill.functions import naming
-from tallyquill.functions.embedding import scaled
+from tallyquill.functions.embedding import hash64_model, scaled
 from tallyquill.operators import answers, codes, nearest, neardup, splitter, store
 from tallyquill.plans import documents as dp
 from tallyquill.plans import tables as t
@@ -162,25 +161,18 @@ def embed_chunks(spark, sf_dir):
 
 @register(
     "embed_retry_failures",
-    with_(QUESTIONS)
-    + """SELECT qid, CASE WHEN w > 0 THEN w * 1000000 || ',' || length(question) * 1000000 END AS embedding,
-    CASE WHEN w = 0 THEN 'ValueError: no words' END AS error, CAST(CASE WHEN w = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts
-    FROM (SELECT *, len(list_filter(regexp_split_to_array(question, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM questions)""",
+    with_(QUESTIONS, dp.hashed_sql("asked", "questions", "qid, question", "question"))
+    + """SELECT qid, array_to_string([CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR) for x in embedding], ',') AS embedding,
+    CASE WHEN embedding IS NULL THEN 'ValueError: no words' END AS error,
+    CAST(CASE WHEN embedding IS NULL THEN 3 ELSE 1 END AS INTEGER) AS attempts FROM asked""",
 )
 def embed_retry_failures(spark, sf_dir):
     """Questions without a word cannot be embedded: their rows stay, with the error."""
-    called = store.embed_with_retry(questions(spark, sf_dir).withColumnRenamed("question", "text"), word_counts, wait_seconds=0.0)
+    asked = questions(spark, sf_dir).withColumnRenamed("question", "text")
+    called = store.embed_batches(asked, hash64_model, wait_seconds=0.0)
     return called.select("qid", scaled(F.col("embedding")).alias("embedding"), "error", "attempts")
 
 
-def word_counts(text):
-    """A model as a plain function: number of words and of characters."""
-    words = sum(1 for _ in regex.finditer(r"[\p{L}\p{N}]+", text))
-    if not words:
-        raise ValueError("no words")
-    return [float(words), float(len(text))]
-
-
 def deliveries(spark, sf_dir):
     """Documents in two deliveries: short ones are stored, then the long ones arrive
     together with a newer version of the very short ones."""

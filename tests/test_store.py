@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyquill.functions.embedding import hash64_model
 from tallyquill.operators import answers, store
 
 
@@ -217,6 +218,35 @@ def test_passing_failure_is_retried(spark):
     assert (row.embedding, row.error, row.attempts) == ([1.0], None, 2)
 
 
+def test_only_failed_texts_are_sent_again(spark):
+    calls = []
+
+    def model(texts):
+        calls.append(list(texts))
+        if "poison" in texts:
+            raise OSError("broken call")
+        return [ValueError("refused") if text == "bad" else [1.0, float(len(text))] for text in texts]
+
+    texts = [f"t{i}" for i in range(14)] + ["bad", "poison"]
+    found = store._answers(model, texts, 3, 0)
+    assert [vector for vector, _, _ in found[:14]] == [[1.0, float(len(text))] for text in texts[:14]]
+    assert found[14] == (None, "ValueError: refused", 3) and found[15] == (None, "OSError: broken call", 3)
+    assert [len(call) for call in calls[:5]] == [16, 4, 4, 4, 4]  # then the failed ones alone
+    assert sorted(sum(calls[5:], [])) == ["bad", "poison", "t12", "t13"] and all(len(call) == 1 for call in calls[5:])
+    assert store._answers(lambda texts: [], ["a"], 1, 0) == [(None, "ValueError: 0 answers to 1 texts", 1)]
+    assert store._answers(model, [], 3, 0) == []
+
+
+def test_batches_equal_the_built_in_embedder(spark):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(["Red apple, red", "", None, "?", "Ä ß 12", "x"])], "id int, text string")
+    rows = {r.id: r for r in store.embed_batches(frame, hash64_model, wait_seconds=0, batch=2).collect()}
+    want = {r.id: r.embedding for r in store.embed(frame).collect()}
+    assert {i: r.embedding for i, r in rows.items()} == want
+    assert [rows[i].error for i in range(6)] == [None, "ValueError: no words", "ValueError: no text", "ValueError: no words", None, None]
+    assert [rows[i].attempts for i in range(6)] == [1, 3, 0, 3, 1, 1]
+    assert store.embed_batches(frame.limit(0), hash64_model).count() == 0
+
+
 def test_reports(spark):
     frame = store.embed(chunks(spark, ("a", "c", "s", "x" * 60, 1), ("b", "c", "s", "?", 1), ("d", "e", "u", "x", 1), ("f", "e", "u", "x", 1)))
     report = {r.collection: r for r in store.inspect(frame, "id").collect()}
