@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyquill.llm.exprs import digest_bits, split_words
+from tallyquill.session import written
 
 #: Weights of sources in their order, repeated as often as needed.
 WEIGHTS = (3, 1, 2)
@@ -146,8 +147,12 @@ def plan(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, copies, taken."""
+    """One row per row of ``docs``: id, source, size, source_size, target, copies, taken.
+
+    Sizes are written once, so that words are not counted again for the ranks.
+    """
     counted = _sized(docs, id, text, source).groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("rows"))
+    counted, _ = written(counted, "sizes")
     return (
         _groups(counted, weights, share, most, seed)
         .withColumn("rank", F.explode(F.sequence(F.col("rank"), F.col("rank") + F.col("rows") - 1)))
@@ -177,15 +182,18 @@ def mix(
     """The mix itself: each row of ``docs`` as often as the plan says, with its own columns.
 
     Rows of equal source, id and size are numbered, and each takes the copies of its own rank. The
-    numbers are counted inside parts of them, so that many rows with a null id are no single task.
+    numbers are counted inside parts of them, so that many rows with a null id are no single task. Rows
+    are written once with their size, under neutral names, so that words are not counted twice.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    whole = [F.col(f"`{c}`").alias(name) for name, c in names.items()]
     # Rows with maps cannot be hashed by these; they are told apart by their other columns.
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     digest = F.xxhash64(*hashed)
-    rows = _sized(docs, id, text, source, whole.alias("row"), digest.alias("digest")).select(
-        F.struct("source", "id", "size").alias("of"), F.pmod("digest", F.lit(PARTS)).alias("part"), "digest", "row"
+    sized = _sized(docs, id, text, source, *whole, digest.alias("digest")).select(
+        F.struct("source", "id", "size").alias("of"), F.pmod("digest", F.lit(PARTS)).alias("part"), "digest", *names
     )
+    rows, _ = written(sized, "sized")
     parts = rows.groupBy("of", "part").agg(F.count(F.lit(1)).alias("n"))
     counted = parts.groupBy("of").agg(F.sum("n").alias("rows")).select("of.*", "rows")
     first = _groups(counted, weights, share, most, seed).select(
@@ -203,8 +211,9 @@ def mix(
     ranked = (
         rows.withColumn("number", number)
         .join(placed, (F.col("of") == F.col("of_rows")) & (F.col("part") == F.col("of_part")))
-        .select("row", (F.col("first") + F.col("number")).alias("rank"), "rate", "offset")
-        .select("row", _copies().cast("int").alias("copies"))
+        .select(*names, (F.col("first") + F.col("number")).alias("rank"), "rate", "offset")
+        .select(*names, _copies().cast("int").alias("copies"))
     )
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return ranked.where(F.col("copies") > 0).select("row", times.alias("time")).select("row.*")
+    taken = ranked.where(F.col("copies") > 0).select(*names, times.alias("time"))
+    return taken.select([F.col(name).alias(c) for name, c in names.items()])
