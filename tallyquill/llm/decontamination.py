@@ -25,10 +25,13 @@ from pyspark.sql import types as T
 
 from tallyquill.llm import tokens
 from tallyquill.llm.exprs import MARKS, lower_ascii, split_words
+from tallyquill.session import written
 
 WINDOW = 10
 #: Windows in one broadcast: about 100 bytes each.
 BLOCK = 200_000
+#: Blocks that a task holds at once; findings are written between groups of so many.
+AT_ONCE = 4
 
 
 def item_windows(items: DataFrame, id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -45,19 +48,27 @@ def item_windows(items: DataFrame, id: str = "item_id", text: str = "text", size
 
 
 class Block:
-    """Some windows of the benchmark as a hash set, by window length."""
+    """Some windows of the benchmark as a hash set, by window length. Its parts are plain lists and arrays: what
+    is broadcast is read by workers that have no copy of this package."""
 
-    def __init__(self, rows: list) -> None:
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.words = [row["words"] for row in rows]
-        self.items = [row["items"] for row in rows]
+    def __init__(self, words: list[str], items: list[list[str]], by_size: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.words, self.items, self.by_size = words, items, by_size
+
+    @property
+    def parts(self) -> tuple:
+        return self.words, self.items, self.by_size
+
+    @classmethod
+    def of(cls, rows: list) -> Block:
+        block = cls([row["words"] for row in rows], [row["items"] for row in rows], {})
         sizes = np.array([row["n"] for row in rows], dtype=np.int64)
         for size in sorted(set(sizes.tolist())):
             chosen = np.flatnonzero(sizes == size)
-            split = tokens.words_of(pa.array([self.words[i] for i in chosen], pa.large_string()), tokens.MARKS)
+            split = tokens.words_of(pa.array([block.words[i] for i in chosen], pa.large_string()), tokens.MARKS)
             hashed = tokens.window_hashes(split.hash, size)[split.first[:-1]]
             order = np.argsort(hashed, kind="stable")
-            self.by_size[size] = hashed[order], chosen[order]
+            block.by_size[size] = hashed[order], chosen[order]
+        return block
 
     def hits(self, words: tokens.Words) -> Iterator[tuple[int, int, int, list[str]]]:
         """Row, first word, window length and items of every verified hit."""
@@ -90,7 +101,7 @@ def _scanner(block, text: str, found: str):
     """A task's work on one block: adds the hits to those of earlier blocks."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = block.value
+        windows = Block(*block.value)
         for piece in tokens.pieces(batches, text):
             words = tokens.words_of(piece.column(text), tokens.MARKS, lower=True)
             earlier = piece.column(found).to_pylist() if found in piece.schema.names else [None] * piece.num_rows
@@ -137,7 +148,9 @@ def _scanned(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
     context = docs.sparkSession.sparkContext
     for k in range(blocks):
         own = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()
-        rows = rows.mapInArrow(_scanner(context.broadcast(Block(own)), names[text], "found"), schema)
+        rows = rows.mapInArrow(_scanner(context.broadcast(Block.of(own).parts), names[text], "found"), schema)
+        if (k + 1) % AT_ONCE == 0 and k + 1 < blocks:
+            rows, _ = written(rows, "scanned")
     return rows, names
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -9,7 +10,9 @@ from itertools import combinations
 
 import pytest
 
-from tallyquill.llm import near_dedup, quality_classifier, substring_dedup
+from conftest import SF_DIR
+
+from tallyquill.llm import decontamination, near_dedup, quality_classifier, substring_dedup
 
 LARGEST = (1 << 63) - 1
 LAST = 1 << 63
@@ -199,3 +202,22 @@ def test_a_document_without_id_is_not_the_document_of_id_minus_one(spark):
     alone = {r["doc_id"]: r["log_weight"] for r in quality_classifier.choose(frame.where("doc_id is not null"), labels).collect()}
     assert weights[-1] > 0 > weights[None]
     assert alone[-1] > 0
+
+
+def test_blocks_of_windows_are_plain_data():
+    """Broadcasts are read by workers without a copy of the package."""
+    rows = [{"words": "a b c", "items": ["x"], "n": 3}, {"words": "d", "items": ["y", "z"], "n": 1}]
+    assert b"tallyquill" not in pickle.dumps(decontamination.Block.of(rows).parts)
+
+
+def test_many_blocks_find_what_one_finds(spark):
+    docs, items = (spark.read.parquet(f"{SF_DIR}/{name}.parquet") for name in ("documents", "benchmark"))
+    windows = decontamination.item_windows(items).count()
+
+    def found(most):
+        rows = decontamination.scan(docs, items, most=most).collect()
+        return sorted((r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(r["items"])) for r in rows)
+
+    whole = found(windows)
+    assert len(whole) == docs.count() and any(row[2] for row in whole)
+    assert found(windows // (2 * decontamination.AT_ONCE)) == whole
