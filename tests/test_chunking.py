@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,3 +178,18 @@ def test_semantic_corpus_of_nothing(spark):
     some = spark.createDataFrame([(1, "one two. three four. five six seven.")], "doc_id long, text string")
     assert semantic.chunk_semantic_corpus(none).columns == semantic.chunk_semantic_corpus(some).columns
     assert semantic.chunk_semantic_corpus(none).count() == 0
+
+
+def test_few_documents_are_split_at_a_time(spark):
+    """A worker holds the texts and chunks of some documents, however many a batch has."""
+    rows = [(f"d{i}", "\n\n".join(f"{i} {n} " + "word " * 15 for n in range(30))) for i in range(300)] + [("none", None), ("blank", " \n")]
+    plan = splitter.SPLIT_PLANS["recursive_1000_100"]
+    expected = {(name, i): chunk for name, text in rows if text is not None for i, chunk in enumerate(splitter.chunks_of(text, plan))}
+    keyed = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("struct(doc_id, 1 AS n) AS key", "text").coalesce(1)
+    found = splitter.chunk_overlap(keyed, plan, "key").collect()
+    assert {(r.key.doc_id, r.chunk_index): r.text for r in found} == expected and len(found) == len(expected)
+    schema = pa.schema([("doc_id", pa.string()), ("plan", pa.string()), ("chunk_index", pa.int32()), ("text", pa.string())])
+    whole = pa.RecordBatch.from_pylist([{"doc_id": name, "text": text} for name, text in rows if text is not None])
+    sent = list(splitter._splitter({"": plan}, schema)([whole]))
+    assert max(len(set(batch["doc_id"].to_pylist())) for batch in sent) <= splitter.ROWS
+    assert {(r["doc_id"], r["chunk_index"]): r["text"] for batch in sent for r in batch.to_pylist()} == expected
