@@ -226,3 +226,34 @@ def test_parts_of_several_dimensions(spark, crowds, monkeypatch):
     coded = codes.encode(v, book)
     assert {len(r.code) for r in coded.where("code IS NOT NULL").collect()} == {5}
     assert codes.recall(codes.nearest_coded(q, coded, book, k=5, short=4), q, v, k=5).first()["recall"] >= 0.9
+
+
+@pytest.mark.parametrize("metric", nearest.METRICS)
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e8, 1e20])
+def test_rows_ruled_out_by_single_precision(metric, scale):
+    """Nearly equal distances, copies and lengths of all kinds, in batches of which the later ones have bounds."""
+    pick = np.random.default_rng(5)
+    queries, vectors = pick.normal(size=(7, 6)), pick.normal(size=(2000, 6))
+    vectors[700:900] = vectors[0] + pick.normal(size=(200, 6)) * 1e-8  # closer together than single precision tells
+    vectors[1500:1600] = vectors[0]
+    queries[0] = vectors[0]
+    queries, vectors, ids = queries * scale, vectors * scale, np.array([f"v{i:04d}" for i in range(2000)], dtype=object)
+    best = nearest._Best(queries, 5, metric)
+    for start in range(0, 2000, 600):
+        best.add(ids[start : start + 600], vectors[start : start + 600])
+    normed = (nearest._normed(queries), nearest._normed(vectors)) if metric == "cosine" else (queries, vectors)
+    for i, query in enumerate(normed[0]):
+        far = nearest._exact(np.tile(query, (2000, 1)), normed[1], metric)
+        found = sorted((f, name) for row, f, name in zip(best.rows, best.far, best.ids) if row == i)
+        assert found == sorted(zip(far, ids))[:5]
+
+
+def test_most_rows_are_ruled_out_before_their_distances_are_sorted(monkeypatch):
+    """Rows beyond the first ones are compared with a bound, not ranked."""
+    pick, ranked = np.random.default_rng(6), []
+    partition = np.partition
+    monkeypatch.setattr(nearest.np, "partition", lambda block, *a, **b: ranked.append(block.size) or partition(block, *a, **b))
+    best = nearest._Best(pick.normal(size=(20, 8)), 3, "l2sq")
+    for start in range(0, 40_000, 10_000):
+        best.add(np.arange(start, start + 10_000).astype(object), pick.normal(size=(10_000, 8)))
+    assert sum(ranked) < 20 * 40_000 / 50
