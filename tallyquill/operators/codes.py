@@ -4,7 +4,7 @@
    short parts, and each part has up to 256 centres; a vector's code is the number of the nearest centre
    per part, one byte each. Codes are a column of the stored table, next to two numbers that say what
    the code leaves out: its part of the squared distance, and its product with the way to the mean of all rows.
-2. A search scans ids, codes and these numbers only. Each query has a table of products with all centres, so
+2. A search scans ids, codes and these numbers only. A query's table of products with all centres is made where it is used, so
    the distance to a coded vector is a sum of looked-up numbers. What the code leaves out is known
    as far as the mean; it is used where a query lies nearer to the mean than to the row. A
    task keeps a short list per query.
@@ -70,9 +70,15 @@ class Codes:
         """Minus twice the products of each query's parts with all centres (parts x queries x centres), and squared
         distances of the queries from the origin and the mean."""
         turned = self._parts(queries)
-        products = np.stack([-2 * turned[:, p] @ centres.T for p, centres in enumerate(self.centres)])
-        flat = turned.reshape(len(queries), -1)
-        return products, (flat * flat).sum(axis=1), ((flat - self.mean) ** 2).sum(axis=1)
+        return self.products(turned), *self.lengths(turned)
+
+    def products(self, turned: np.ndarray) -> np.ndarray:
+        """Of rotated queries. They take a few hundred times the room of the queries."""
+        return np.stack([-2 * turned[:, p] @ centres.T for p, centres in enumerate(self.centres)])
+
+    def lengths(self, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = turned.reshape(len(turned), -1)
+        return (flat * flat).sum(axis=1), ((flat - self.mean) ** 2).sum(axis=1)
 
 
 def _apart(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -134,18 +140,20 @@ def encode(vectors: DataFrame, codes: Codes, embedding: str = "embedding") -> Da
 
 
 class _Short(exact._Best):
-    """The shortest lists by coded distance."""
+    """The shortest lists by coded distance. Tables are made for a block of queries at a time."""
 
-    def __init__(self, tables: tuple[np.ndarray, np.ndarray, np.ndarray], k: int):
-        super().__init__(np.zeros((tables[0].shape[1], 0)), k, "l2sq")
-        self.tables, self.lengths, self.from_mean = tables
+    def __init__(self, codes: Codes, turned: np.ndarray, k: int):
+        super().__init__(np.zeros((len(turned), 0)), k, "l2sq")
+        self.codes, self.turned = codes, turned
+        self.lengths, self.from_mean = codes.lengths(turned)
+        self.height = max(1, exact.BLOCK_ELEMENTS // max(1, codes.centres[:, :, 0].size))
 
     def add_codes(self, ids: np.ndarray, lines: np.ndarray, length: np.ndarray, lean: np.ndarray) -> None:
-        height = max(1, exact.BLOCK_ELEMENTS // max(1, len(ids)))
-        for start in range(0, self.tables.shape[1], height):
+        height = min(self.height, max(1, exact.BLOCK_ELEMENTS // max(1, len(ids))))
+        for start in range(0, len(self.turned), height):
             part = slice(start, start + height)
             block = self.lengths[part, None] + length[None]
-            for table, column in zip(self.tables[:, part], lines.T, strict=True):
+            for table, column in zip(self.codes.products(self.turned[part]), lines.T, strict=True):
                 block += table[:, column]
             block += np.where(self.from_mean[part, None] < block, lean[None], 0)
             limit = self.bound[start : start + height]
@@ -162,8 +170,8 @@ class _Short(exact._Best):
 
 def _scanner(sent: Broadcast, k: int, schema: pa.Schema) -> Callable:
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, tables = sent.value
-        best = _Short(tables, k)
+        names, codes, turned = sent.value
+        best = _Short(codes, turned, k)
         for whole in batches:
             for start in range(0, whole.num_rows, exact.ROWS):
                 batch = whole.slice(start, exact.ROWS)
@@ -189,7 +197,7 @@ def short_lists(
     found = spark.createDataFrame([], schema)
     for group in exact._groups(queries.select(qid, embedding), embedding):
         names = group.column(0).combine_chunks().cast(out.field(0).type)
-        sent = spark.sparkContext.broadcast((names, codes.tables(exact._matrix(group.column(1)))))
+        sent = spark.sparkContext.broadcast((names, codes, codes._parts(exact._matrix(group.column(1)))))
         found = found.unionAll(coded.select(vid, *ADDED.names).mapInArrow(_scanner(sent, size, out), schema))
     return exact._ranked(found, qid, vid, size)
 

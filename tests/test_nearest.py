@@ -257,3 +257,23 @@ def test_most_rows_are_ruled_out_before_their_distances_are_sorted(monkeypatch):
     for start in range(0, 40_000, 10_000):
         best.add(np.arange(start, start + 10_000).astype(object), pick.normal(size=(10_000, 8)))
     assert sum(ranked) < 20 * 40_000 / 50
+
+
+def test_a_search_of_codes_sends_no_tables(spark, monkeypatch):
+    """A query's table takes hundreds of times its own room: it is made a block at a time, in the tasks."""
+    pick = np.random.default_rng(7)
+    q, v = frames(spark, pick.normal(size=(50, 4)), pick.normal(size=(300, 4)))
+    book = codes.fit(v)
+    coded = codes.encode(v, book)
+    before = sorted(map(tuple, codes.short_lists(q, coded, book, 6).collect()))
+    monkeypatch.setattr(codes.Codes, "tables", None)
+    made = []
+    products = codes.Codes.products
+    monkeypatch.setattr(codes.Codes, "products", lambda self, turned: made.append(len(turned)) or products(self, turned))
+    monkeypatch.setattr(codes.exact, "BLOCK_ELEMENTS", 4 * 256 * 8)
+    best = codes._Short(book, book._parts(pick.normal(size=(50, 4))), 6)
+    rows = coded.toArrow()
+    lines = np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8).reshape(300, -1)
+    best.add_codes(np.array(rows["id"].to_pylist(), dtype=object), lines, rows["code_length"].to_numpy(), rows["code_lean"].to_numpy())
+    assert max(made) <= 8 and sum(made) == 50
+    assert sorted(map(tuple, codes.short_lists(q, coded, book, 6).collect())) == before
