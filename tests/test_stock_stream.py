@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallyquill.streaming import stock
 
@@ -41,3 +42,22 @@ def test_late_movements_and_a_replayed_batch(spark, tmp_path):
     assert sorted((r.product_id, r.warehouse, r.on_hand, r.movements, str(r.last_moved)) for r in found) == [
         (1, "a", 8, 3, "2024-01-09"), (1, "b", 4, 1, "2024-01-05"), (2, "a", 7, 1, "2024-01-05"), (3, "b", 5, 1, "2024-01-09"),
     ]
+
+
+def test_a_merge_asks_a_batch_for_its_rows_once(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        asked.add(1)
+        return value
+
+    rows = spark.range(60).selectExpr(
+        "cast(id as int) AS product_id", "concat('w', id % 3) AS warehouse", "id AS on_hand", "1L AS movements", "date '2024-01-01' AS last_moved"
+    )
+    udf = F.udf(counted, "long").asNondeterministic()
+    merge = stock.merge_into(str(tmp_path / "out"), rows.schema)
+    merge(rows.where("product_id < 40"), 0)
+    merge(rows.where("product_id >= 20").withColumn("on_hand", udf(F.col("on_hand") + 100)), 1)
+    assert asked.value == 40
+    found = stock._stored(spark, str(tmp_path / "out"), rows.schema).collect()
+    assert sorted((r.product_id, r.on_hand) for r in found) == [(i, i if i < 20 else i + 100) for i in range(60)]
