@@ -259,6 +259,23 @@ def test_most_rows_are_ruled_out_before_their_distances_are_sorted(monkeypatch):
     assert sum(ranked) < 20 * 40_000 / 50
 
 
+def test_later_rows_cost_one_product(monkeypatch):
+    """Rows that no query keeps are ruled out by products in single precision, in small tiles: nothing is sorted."""
+    pick, sorted_rows, tiles = np.random.default_rng(8), [], []
+    best = nearest._Best(pick.normal(size=(300, 8)), 5, "l2sq")
+    lexsort, matmul = np.lexsort, np.matmul
+    monkeypatch.setattr(nearest.np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or lexsort(keys))
+    monkeypatch.setattr(nearest.np, "matmul", lambda *a, out: tiles.append(out.size) or matmul(*a, out=out))
+    monkeypatch.setattr(nearest, "_products", None)
+    for start, away in ((0, 0.0), (10_000, 50.0), (20_000, 50.0)):
+        best.add(np.arange(start, start + 10_000).astype(object), pick.normal(size=(10_000, 8)) + away)
+        if not away:
+            assert sorted_rows
+            sorted_rows.clear()
+    assert not sorted_rows
+    assert sum(tiles) == 300 * 30_000 and max(tiles) <= nearest.TILE_ELEMENTS
+
+
 def test_a_search_of_codes_sends_no_tables(spark, monkeypatch):
     """A query's table takes hundreds of times its own room: it is made a block at a time, in the tasks."""
     pick = np.random.default_rng(7)
