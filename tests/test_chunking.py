@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,17 @@ def test_char_chunks(spark):
         assert [row.chunk_index for row in own] == list(range(len(own)))
 
 
+def test_a_long_paragraph_is_cut_in_one_pass(spark):
+    """Two million characters: seconds, where looking for each piece from the start took a minute."""
+    text = "é😀\nabcdefg" * 200_000
+    frame = docs(spark, text).cache()
+    chunking.chunk_chars(docs(spark, "ab")).count()
+    began = time.monotonic()
+    found = chunking.chunk_chars(frame).collect()
+    assert time.monotonic() - began < 8
+    assert "".join(row.text for row in found) == text and {len(row.text) for row in found} == {chunking.CHARS_PER_CHUNK}
+
+
 def test_blank_documents(spark):
     frame = docs(spark, "", " \n", "a", None)
     found = chunking.blank_documents(frame, chunking.char_pieces(F.col("text"), 100))
