@@ -19,6 +19,8 @@ from tallyquill.session import checkpointed
 # Number of clusters, and the mark that ends a piece.
 CLUSTERS = 3
 PIECE_END = "."
+# Elements of the vectors that one task of the fit over all documents holds, at most.
+PART_ELEMENTS = 32_000_000
 
 
 def piece_texts(text: Column) -> Column:
@@ -98,12 +100,25 @@ def chunk_semantic(docs: DataFrame, k: int = CLUSTERS, embed=hash64) -> DataFram
     return vectors.mapInArrow(group, schema)
 
 
+def _dealt(docs: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
+    """Pieces in parts of at most ``most``. Where each task's documents have no more they stay where they are, as
+    the first centres depend on that; else all are dealt anew, also those of one long document."""
+    counted = docs.select(F.spark_partition_id().alias("part"), F.size(piece_texts(F.col("text"))).cast("bigint").alias("pieces"))
+    sizes = counted.where("pieces > 0").groupBy("part").agg(F.sum("pieces").alias("pieces"))
+    largest, total = sizes.agg(F.max("pieces"), F.sum("pieces")).first()
+    if (largest or 0) <= most:
+        return pieces
+    return pieces.repartition(-(-2 * total // most))
+
+
 def chunk_semantic_corpus(
     docs: DataFrame, k: int = CLUSTERS, seed: int = 0, embed=hash64, width: int = BUCKETS
 ) -> DataFrame:
     """Cluster the pieces of all documents together with one distributed fit, so that
-    cluster numbers mean the same in every document. ``width`` is that of the embedder."""
-    pieces = docs.select("doc_id", F.posexplode(piece_texts(F.col("text"))).alias("position", "piece"))
+    cluster numbers mean the same in every document. ``width`` is that of the embedder. The vectors that
+    one task holds have a bound, whatever the files' splits are."""
+    cut = docs.select("doc_id", F.posexplode(piece_texts(F.col("text"))).alias("position", "piece"))
+    pieces = _dealt(docs, cut, max(1, PART_ELEMENTS // width))
     zeros = F.array_repeat(F.lit(0.0), width)
     embedded = pieces.withColumn("vector", F.coalesce(embed(F.col("piece")), zeros))
     points = checkpointed(embedded).withColumn("features", array_to_vector("vector")).drop("vector")

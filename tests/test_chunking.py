@@ -205,3 +205,24 @@ def test_few_documents_are_split_at_a_time(spark):
     sent = list(splitter._splitter({"": plan}, schema)([whole]))
     assert max(len(set(batch["doc_id"].to_pylist())) for batch in sent) <= splitter.ROWS
     assert {(r["doc_id"], r["chunk_index"]): r["text"] for batch in sent for r in batch.to_pylist()} == expected
+
+
+def test_a_task_of_the_fit_over_all_documents_holds_a_bounded_part(spark, monkeypatch):
+    """All documents in one split, one of them longer than a part."""
+    rows = [(i, ". ".join(f"word{i} and {j}" for j in range(6))) for i in range(30)] + [(99, ".".join("ab cd" for _ in range(150))), (100, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    kept, parts = semantic.checkpointed, []
+
+    def counted(df):
+        points = kept(df)
+        parts.extend(row["count"] for row in points.groupBy(F.spark_partition_id()).count().collect())
+        return points
+
+    monkeypatch.setattr(semantic, "checkpointed", counted)
+    for bound in (32_000_000, 64 * 50):
+        parts.clear()
+        monkeypatch.setattr(semantic, "PART_ELEMENTS", bound, raising=False)
+        found = semantic.chunk_semantic_corpus(frame).collect()
+        assert sum(parts) == 330 and max(parts) <= bound // 64
+        pieces = [(row.doc_id, piece) for row in found for piece in row.text.split("\n")]
+        assert sorted(pieces) == sorted((i, piece) for i, text in rows if text for piece in text.split("."))
