@@ -276,6 +276,49 @@ def test_later_rows_cost_one_product(monkeypatch):
     assert sum(tiles) == 300 * 30_000 and max(tiles) <= nearest.TILE_ELEMENTS
 
 
+@pytest.mark.parametrize("metric", nearest.METRICS)
+@pytest.mark.parametrize("seeds", [1, 80, 4_000_000])
+def test_first_bounds_alter_no_result(spark, points, metric, seeds, monkeypatch):
+    """With fewer first rows than wanted ones, with some, and with all, among them a crowd of copies."""
+    monkeypatch.setattr(nearest, "SEED_ELEMENTS", seeds)
+    monkeypatch.setattr(nearest, "SEED_QUERIES", 2)
+    q, v = frames(spark, *points)
+    assert listed(nearest.nearest(q, v.repartition(3), k=4, metric=metric)) == brute(*points, 4, metric)
+    q, v = q.withColumn("box", F.lit("one")), v.withColumn("box", F.when(F.substring("id", 4, 2) < "50", "one"))
+    own = [None if x is None or i % 100 >= 50 else x for i, x in enumerate(points[1])]
+    assert listed(nearest.nearest_in_group(q, v, "box", k=4, metric=metric)) == brute(points[0], own, 4, metric)
+
+
+def test_tasks_put_out_only_rows_within_the_first_bounds(spark, monkeypatch):
+    """The rows that leave the scan do not grow with the number of tasks."""
+    pick, ranked, left = np.random.default_rng(9), nearest._ranked, []
+    q, v = frames(spark, pick.normal(size=(30, 4)), pick.normal(size=(600, 4)))
+    monkeypatch.setattr(nearest, "_ranked", lambda found, *a: left.append(found.count()) or ranked(found, *a))
+    few = listed(nearest.nearest(q, v.repartition(2), k=5))
+    many = listed(nearest.nearest(q, v.repartition(40), k=5))
+    assert few == many and left == [30 * 5, 30 * 5]
+
+
+def test_bounded_queries_look_at_few_rows(monkeypatch):
+    """With first bounds, products are made in tiles of few stored rows, and only rows within the bounds are compared."""
+    pick, tiles, compared = np.random.default_rng(10), [], []
+    queries, vectors = pick.normal(size=(300, 8)), pick.normal(size=(30_000, 8))
+    first = nearest._Best(queries, 5, "l2sq")
+    first.add(np.arange(3_000).astype(object), vectors[:3_000])
+    matmul, exact = np.matmul, nearest._exact
+    monkeypatch.setattr(nearest.np, "matmul", lambda *a, out: tiles.append(out.shape) or matmul(*a, out=out))
+    monkeypatch.setattr(nearest, "_exact", lambda q, v, m: compared.append(len(q)) or exact(q, v, m))
+    best = nearest._Best(queries, 5, "l2sq", first.bound)
+    for start in range(0, 30_000, 10_000):
+        best.add(np.arange(start, start + 10_000).astype(object), vectors[start : start + 10_000])
+    assert sum(rows * columns for rows, columns in tiles) == 300 * 30_000
+    assert max(columns for _, columns in tiles) <= nearest.TILE_ROWS
+    assert sum(compared) < 300 * 5 * 20
+    whole = nearest._Best(queries, 5, "l2sq")
+    whole.add(np.arange(30_000).astype(object), vectors)
+    assert sorted(zip(best.rows, best.far, best.ids)) == sorted(zip(whole.rows, whole.far, whole.ids))
+
+
 def test_a_search_of_codes_sends_no_tables(spark, monkeypatch):
     """A query's table takes hundreds of times its own room: it is made a block at a time, in the tasks."""
     pick = np.random.default_rng(7)
