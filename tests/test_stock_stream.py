@@ -1,6 +1,10 @@
+import os
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallyquill.plans import streams
 from tallyquill.streaming import stock
 
 SCHEMA = "product_id int, warehouse string, date date, delta long"
@@ -61,3 +65,22 @@ def test_a_merge_asks_a_batch_for_its_rows_once(spark, tmp_path):
     assert asked.value == 40
     found = stock._stored(spark, str(tmp_path / "out"), rows.schema).collect()
     assert sorted((r.product_id, r.on_hand) for r in found) == [(i, i if i < 20 else i + 100) for i in range(60)]
+
+
+def test_kept_stock_holds_its_state_on_disk_and_merges_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "fresh_path", lambda spark, label: f"{tmp_path}/{label}-{uuid.uuid4().hex}")
+    rows = spark.range(300).selectExpr(
+        "id AS l_orderkey", "cast(id % 50 as int) AS product_id", "concat('w', id % 5) AS warehouse", "date '2024-01-01' AS date", "1L AS delta"
+    )
+    names = [*stock.STATE, "spark.sql.shuffle.partitions", stock.ADAPTIVE]
+    before = {name: spark.conf.get(name, None) for name in names}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = streams.kept_stock(spark, rows, stock.on_hand)
+        assert sorted((r.product_id, r.on_hand, r.movements) for r in found.collect()) == [(i, 6, 6) for i in range(50)]
+        assert len(found.inputFiles()) <= 5 * spark.sparkContext.defaultParallelism  # not one per warehouse and state partition
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before["spark.sql.shuffle.partitions"])
+    assert {name: spark.conf.get(name, None) for name in names} == before
+    state = [file for place in tmp_path.glob("checkpoint-*/state") for _, _, files in os.walk(place) for file in files]
+    assert any(file.endswith(".zip") for file in state) and not any(file.endswith(".delta") for file in state)
